@@ -36,7 +36,13 @@ def table(df: DataFrame) -> DataFrame:
     Columnar and compressed, so smaller than a checkpoint; survives the loss of executors.
     """
     path = f"{shared_dir(df.sparkSession)}/motionq-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")  # nothing reads this plan's shuffle files once it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
