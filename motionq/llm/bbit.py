@@ -11,14 +11,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from motionq.llm.shared import list_parts
+from motionq.llm import buckets
+from motionq.llm import cells as C
+from motionq.llm.shared import components, list_parts, table
 
-#: A pair of similarity 0.8 shares no band with a chance of 3e-4, one of 0.85 of 2e-5.
-BANDS, ROWS = 20, 5
+#: A pair of similarity 0.8 shares no band with a chance of 7e-5, one of 0.85 of 2e-6.
+BANDS, ROWS = 18, 4
 #: Minima of which two bits each are kept; WORDS * 32 of the BANDS * ROWS.
-BITS, WORDS = 2, 3
+BITS, WORDS = 2, 2
 SLOTS = WORDS * 64 // BITS
+#: Candidates estimated this far below the threshold are dropped (five standard deviations).
+MARGIN = 0.3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,13 +83,15 @@ def minima(token: np.ndarray, count: int = BANDS * ROWS, seed: int = 5) -> np.nd
     odd = (rng.integers(0, 2**31, count) * 2 + 1).astype(np.uint32)
     mask = rng.integers(0, 2**32, count, dtype=np.uint32)
     out = np.empty((count, token.shape[1]), np.uint32)
+    h, g = np.empty_like(token), np.empty_like(token)
     for k in range(count):
-        h = (token ^ mask[k]) * odd[k]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        h ^= h >> np.uint32(13)
+        np.bitwise_xor(token, mask[k], out=h)
+        np.multiply(h, odd[k], out=h)
+        np.right_shift(h, np.uint32(15), out=g)
+        np.bitwise_xor(h, g, out=h)
+        np.multiply(h, np.uint32(0x2C1B3C6D), out=h)
         h.min(axis=0, out=out[k])
-    return out
+    return out ^ (out >> np.uint32(16))  # the low bits of a product are poor
 
 
 def band_keys(low: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -104,3 +112,188 @@ def signature(low: np.ndarray) -> np.ndarray:
     for s in range(SLOTS):
         out[s // per] |= (low[s].astype(np.uint64) & np.uint64(2**BITS - 1)) << np.uint64(s % per * BITS)
     return out.view(np.int64)
+
+
+def estimate(matches, slots: int = SLOTS, bits: int = BITS):
+    """Similarity from the number of equal slots, corrected for chance collisions of ``bits`` bits."""
+    chance = 2.0**-bits
+    return (matches / slots - chance) / (1 - chance)
+
+
+def _contents(batches):
+    for batch in batches:
+        ids = batch.column("id").to_numpy()
+        for rows, x in multisets(batch.column("coords")):
+            enc, packed = C.pack(x)
+            n = np.full(len(rows), x.shape[1], np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[rows]), pa.array(content_key(x)), pa.array(n), pa.array(enc), pa.array(packed, pa.binary())],
+                names=["id", "k", "n", "enc", "v"],
+            )
+
+
+def _by_size(batch):
+    n = batch.column("n").to_numpy()
+    enc = batch.column("enc").to_numpy()
+    for size in np.unique(n):
+        rows = np.flatnonzero(n == size)
+        yield rows, C.unpack(enc[rows], batch.column("v").take(pa.array(rows)), int(size))
+
+
+def _bands(batches):
+    for batch in batches:
+        k = batch.column("k").to_numpy()
+        _, first = np.unique(k, return_index=True)  # copies meet here already
+        batch, k = batch.take(pa.array(first)), k[first]
+        for rows, x in _by_size(batch):
+            keys = band_keys(minima(tokens(x)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.ravel().astype(np.int64)), pa.array(np.tile(k[rows], BANDS)), pa.array(np.zeros(keys.size, np.int32))],
+                names=["bucket", "k", "f"],
+            )
+
+
+def _signed(batches):
+    for batch in batches:
+        for rows, x in _by_size(batch):
+            words = signature(minima(tokens(x)))
+            part = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, words)], names=[*part.schema.names, "s0", "s1"])
+
+
+SIGNED = "k long, n int, enc tinyint, v binary, s0 long, s1 long"
+
+
+def matching(s0, s1, t0, t1) -> np.ndarray:
+    """Number of equal slots of signatures."""
+    odd = np.uint64(0x5555555555555555)
+    apart = np.zeros(np.broadcast_shapes(s0.shape, t0.shape), np.uint8)
+    for s, t in ((s0, t0), (s1, t1)):
+        x = s.view(np.uint64) ^ t.view(np.uint64)
+        apart += np.bitwise_count((x | (x >> np.uint64(1))) & odd)
+    return SLOTS - apart.astype(int)
+
+
+def shared_values(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Size of the multiset intersection of sorted ``x[i]`` and ``y[i]``, exactly."""
+    flat = np.concatenate([*x, *y])
+    bits = flat.view(np.uint64)
+    _, code = np.unique(bits, return_inverse=True)
+    owner = np.repeat(np.tile(np.arange(len(x)), 2), [*map(len, x), *map(len, y)])
+    side = np.arange(len(flat)) >= sum(map(len, x))
+    order = np.lexsort((side, code, owner))
+    owner, code, side = owner[order], code[order], side[order]
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])])
+    run = np.cumsum(new) - 1
+    right = np.bincount(run, side)
+    left = np.bincount(run) - right
+    return np.bincount(owner[new], np.minimum(left, right), minlength=len(x)).astype(int)
+
+
+def _unpacked(enc, v, n) -> list[np.ndarray]:
+    out: list = [None] * len(n)
+    for size in np.unique(n):
+        at = np.flatnonzero(n == size)
+        for i, row in zip(at, C.unpack(enc[at], v.take(pa.array(at)), int(size)), strict=True):
+            out[i] = row
+    return out
+
+
+def _verified(batches, threshold):
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        col = lambda name, at=batch: at.column(name).to_numpy()
+        na, nb = col("n_a"), col("n_b")
+        both = shared_values(_unpacked(col("enc_a"), batch.column("v_a"), na), _unpacked(col("enc_b"), batch.column("v_b"), nb))
+        ok = both >= threshold * (na + nb - both) - 1e-9
+        yield pa.RecordBatch.from_arrays([pa.array(col("a")[ok]), pa.array(col("b")[ok])], names=["a", "b"])
+
+
+def verify(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
+    """The links ``(a, b)`` among candidate ``pairs`` of content keys: bit counts first, then exactly."""
+    pairs = table(pairs.distinct())
+    nodes = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
+    known = contents.select("k", "n", "enc", "v").join(nodes, "k", "left_semi").dropDuplicates(["k"])
+    known = table(known.mapInArrow(_signed, SIGNED))
+    side = lambda s, names: known.select(F.col("k").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in names])
+    few = ["s0", "s1", "n"]
+    odd = F.lit(0x5555555555555555)
+    differ = sum(
+        (F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(odd)) for s in ("s0", "s1") for x in [F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))]),
+        F.lit(0),
+    )
+    likely = pairs.join(side("a", few), "a").join(side("b", few), "b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
+    likely = likely.where(estimate(SLOTS - differ) >= threshold - MARGIN).select("a", "b")
+    full = likely.join(side("a", ["n", "enc", "v"]), "a").join(side("b", ["n", "enc", "v"]), "b")
+    return full.mapInArrow(lambda it: _verified(it, threshold), "a long, b long")
+
+
+def _between(t: pa.Table, threshold: float) -> pa.Table:
+    """Links between records of different components in a block pair, one for each two components."""
+    t = t.combine_chunks()
+    col = lambda name: t.column(name).to_numpy()
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    left, right = buckets.across(col("o"), i, j)
+    k, n, s0, s1, enc, v = col("k"), col("n"), col("s0"), col("s1"), col("enc"), t.column("v").combine_chunks()
+    _, name = np.unique(col("root"), return_inverse=True)
+    seen: set = set()
+    links: list = []
+    for some in np.array_split(left, max(1, len(left) * len(right) // 1_000_000)):
+        m = matching(s0[some][:, None], s1[some][:, None], s0[right][None], s1[right][None])
+        close = (estimate(m) >= threshold - MARGIN) & (name[some][:, None] != name[right][None])
+        a, b = np.nonzero(close)
+        a, b = some[a], right[b]
+        for part in np.array_split(np.arange(len(a)), max(1, len(a) // 20_000)):
+            p, q = a[part], b[part]
+            new = np.array([(x, y) not in seen for x, y in zip(name[p].tolist(), name[q].tolist(), strict=True)], bool)
+            p, q = p[new], q[new]
+            if not len(p):
+                continue
+            both = shared_values(_unpacked(enc[p], v.take(pa.array(p)), n[p]), _unpacked(enc[q], v.take(pa.array(q)), n[q]))
+            ok = both >= threshold * (n[p] + n[q] - both) - 1e-9
+            for x, y in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
+                pair = (int(name[x]), int(name[y]))
+                if pair not in seen:
+                    seen.update((pair, pair[::-1]))
+                    links.append((k[x], k[y]))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def near_duplicates(points: DataFrame, threshold: float = 0.8, big: int = buckets.BIG, block: int = buckets.BLOCK) -> DataFrame:
+    """``(id, group_id)`` of the records in groups of two or more ids; ``group_id`` is the smallest id.
+
+    Similarity is shared over all values of ``coords`` with multiplicity, regardless of position.
+    Null coords, null ids, and records without two different values have no rows; null values are
+    skipped. Repeated deliveries count once (an id with several contents is in the group of
+    each, listed under the smallest). Only ``id`` and ``coords`` are read.
+
+    Equal contents are one node from the start. A bucket of more than ``big`` nodes is linked to its
+    smallest node first; what stays in different components is then compared in blocks, in place.
+    """
+    contents = table(points.where("id is not null").select("id", "coords").mapInArrow(_contents, "id long, k long, n int, enc tinyint, v binary"))
+    rows = contents.select("k", "n", "enc", "v").mapInArrow(_bands, "bucket long, k long, f int")
+    found = table(buckets.collide(rows, contents.count() * BANDS, big=big))
+    links = table(verify(found.where("bucket is null").select("a", "b"), contents, threshold))
+    large = found.where("bucket is not null").select("bucket", F.col("a").alias("k"))
+    if large.head(1):
+        links = _with_large(large, links, contents, threshold, block)
+    roots = components(links).select(F.col("id").alias("k"), "root")
+    named = contents.select("id", "k").join(roots, "k", "left").select("id", F.coalesce("root", "k").alias("root"))
+    groups = named.groupBy("root").agg(F.min("id").alias("group_id"), F.max("id").alias("last")).where("group_id < last")
+    return named.join(groups, "root").groupBy("id").agg(F.min("group_id").alias("group_id"))
+
+
+def _with_large(large: DataFrame, links: DataFrame, contents: DataFrame, threshold: float, block: int) -> DataFrame:
+    pivots = large.groupBy("bucket").agg(F.min("k").alias("p"))
+    star = large.join(pivots, "bucket").where("p <> k").select(F.least("p", "k").alias("a"), F.greatest("p", "k").alias("b"))
+    links = table(links.unionByName(verify(star, contents, threshold)))
+    roots = components(links).select(F.col("id").alias("k"), "root")
+    named = large.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    named = table(named)
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+    rest = named.join(mixed, "bucket", "left_semi")
+    known = contents.select("k", "n", "enc", "v").join(rest.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    rest = buckets.block_pairs(rest.join(known.mapInArrow(_signed, SIGNED), "k"), block)
+    more = rest.groupBy("bucket", "i", "j").applyInArrow(lambda t: _between(t, threshold), "a long, b long")
+    return table(links.unionByName(more))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motionq.llm import clusters, knn
+from motionq.llm import bbit, clusters, knn
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit.near_duplicates(_read(spark, sf_dir, "points"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clusters(_read(spark, sf_dir, "points")).select("id", "cluster_id")
 
@@ -29,5 +33,5 @@ def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(_read(spark, sf_dir, "points"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clusters, p5_found, p5_nearest)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_clusters, p5_found, p5_nearest)}
 SQL: dict[str, str] = {}
