@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motionq.llm import bbit, clusters, knn
+from motionq.llm import bbit, clusters, knn, prefixjoin
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit.near_duplicates(_read(spark, sf_dir, "points"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = [prefixjoin.as_sets(_read(spark, sf_dir, t), "sketch_id") for t in ("sketches", "usr_sketches")]
+    return prefixjoin.similar_pairs(sets[0].unionByName(sets[1]))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clusters(_read(spark, sf_dir, "points")).select("id", "cluster_id")
 
@@ -33,5 +38,5 @@ def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(_read(spark, sf_dir, "points"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_clusters, p5_found, p5_nearest)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_clusters, p5_found, p5_nearest)}
 SQL: dict[str, str] = {}
