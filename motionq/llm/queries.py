@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motionq.llm import bbit, clusters, knn, prefixjoin
+from motionq.llm import bbit, bpe, clusters, knn, prefixjoin, splitter, wumanber
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,5 +38,28 @@ def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(_read(spark, sf_dir, "points"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_clusters, p5_found, p5_nearest)}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_ids(_read(spark, sf_dir, "documents"))
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items of each document with the number of matching word runs."""
+    return wumanber.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all texts."""
+    return splitter.split(_read(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were cut: those with a second piece."""
+    return splitter.split(_read(spark, sf_dir, "documents"), with_text=False).where("piece = 1").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_clusters, p5_found, p5_nearest, p6_ids, p7_found, p7_leaks, p8_found, p8_pieces)}
 SQL: dict[str, str] = {}
