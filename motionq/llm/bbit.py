@@ -23,6 +23,10 @@ BANDS, ROWS = 18, 4
 #: Minima of which two bits each are kept; WORDS * 32 of the BANDS * ROWS.
 BITS, WORDS = 2, 2
 SLOTS = WORDS * 64 // BITS
+#: Bits of a band key, and of a content key in candidate rows: few bytes to shuffle. What meets by
+#: chance there is told apart by verification.
+KEY_BITS = 40
+ALIAS = (1 << KEY_BITS) - 1
 #: Candidates estimated this far below the threshold are dropped (five standard deviations).
 MARGIN = 0.3
 
@@ -95,13 +99,13 @@ def minima(token: np.ndarray, count: int = BANDS * ROWS, seed: int = 5) -> np.nd
 
 
 def band_keys(low: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """32-bit keys, one row for each band."""
-    out = np.empty((bands, low.shape[1]), np.uint32)
+    """KEY_BITS-bit keys, one row for each band."""
+    out = np.empty((bands, low.shape[1]), np.uint64)
     for b in range(bands):
         key = np.full(low.shape[1], b + 1, np.uint64)
         for r in range(rows):
             key = _mix(key + low[b * rows + r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        out[b] = key.astype(np.uint32)
+        out[b] = key >> np.uint64(64 - KEY_BITS)
     return out
 
 
@@ -147,10 +151,8 @@ def _bands(batches):
         batch, k = batch.take(pa.array(first)), k[first]
         for rows, x in _by_size(batch):
             keys = band_keys(minima(tokens(x)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().astype(np.int64)), pa.array(np.tile(k[rows], BANDS)), pa.array(np.zeros(keys.size, np.int32))],
-                names=["bucket", "k", "f"],
-            )
+            high = (keys << np.uint64(64 - KEY_BITS)).view(np.int64)  # zero bytes together: compresses better
+            yield pa.RecordBatch.from_arrays([pa.array(high.ravel()), pa.array(np.tile(k[rows] & ALIAS, BANDS))], names=["bucket", "k"])
 
 
 def _signed(batches):
@@ -210,23 +212,28 @@ def _verified(batches, threshold):
         yield pa.RecordBatch.from_arrays([pa.array(col("a")[ok]), pa.array(col("b")[ok])], names=["a", "b"])
 
 
-def verify(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
-    """The links ``(a, b)`` among candidate ``pairs`` of content keys: bit counts first, then exactly."""
-    pairs = table(pairs.distinct())
-    nodes = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    known = contents.select("k", "n", "enc", "v").join(nodes, "k", "left_semi").dropDuplicates(["k"])
-    known = table(known.mapInArrow(_signed, SIGNED))
-    side = lambda s, names: known.select(F.col("k").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in names])
-    few = ["s0", "s1", "n"]
+def signed(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """Contents, with signature and alias ``p``, of all that occurs in candidate ``pairs`` of aliases."""
+    nodes = pairs.select(F.col("a").alias("p")).union(pairs.select(F.col("b").alias("p"))).distinct()
+    known = contents.select("k", "n", "enc", "v", F.col("k").bitwiseAND(F.lit(ALIAS)).alias("p"))
+    known = known.join(nodes, "p", "left_semi").select("k", "n", "enc", "v").dropDuplicates(["k"]).mapInArrow(_signed, SIGNED)
+    return table(known.withColumn("p", F.col("k").bitwiseAND(F.lit(ALIAS))))
+
+
+def verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """The links ``(a, b)`` of content keys among candidate ``pairs`` of aliases: bit counts first, then exactly."""
+    few, full = ["s0", "s1", "n"], ["n", "enc", "v"]
+    side = lambda s, by, names: known.select(F.col(by).alias(s), *[F.col(x).alias(f"{x}_{s}") for x in names])
     odd = F.lit(0x5555555555555555)
     differ = sum(
         (F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(odd)) for s in ("s0", "s1") for x in [F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))]),
         F.lit(0),
     )
-    likely = pairs.join(side("a", few), "a").join(side("b", few), "b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
-    likely = likely.where(estimate(SLOTS - differ) >= threshold - MARGIN).select("a", "b")
-    full = likely.join(side("a", ["n", "enc", "v"]), "a").join(side("b", ["n", "enc", "v"]), "b")
-    return full.mapInArrow(lambda it: _verified(it, threshold), "a long, b long")
+    likely = pairs.join(side("a", "p", ["k", *few]), "a").join(side("b", "p", ["k", *few]), "b")
+    likely = likely.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
+    likely = likely.where((estimate(SLOTS - differ) >= threshold - MARGIN) & F.expr("k_a <> k_b")).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
+    whole = likely.join(side("a", "k", full), "a").join(side("b", "k", full), "b")
+    return whole.mapInArrow(lambda it: _verified(it, threshold), "a long, b long")
 
 
 def _between(t: pa.Table, threshold: float) -> pa.Table:
@@ -272,28 +279,29 @@ def near_duplicates(points: DataFrame, threshold: float = 0.8, big: int = bucket
     smallest node first; what stays in different components is then compared in blocks, in place.
     """
     contents = table(points.where("id is not null").select("id", "coords").mapInArrow(_contents, "id long, k long, n int, enc tinyint, v binary"))
-    rows = contents.select("k", "n", "enc", "v").mapInArrow(_bands, "bucket long, k long, f int")
+    rows = contents.select("k", "n", "enc", "v").mapInArrow(_bands, "bucket long, k long")
     found = table(buckets.collide(rows, contents.count() * BANDS, big=big))
-    links = table(verify(found.where("bucket is null").select("a", "b"), contents, threshold))
-    large = found.where("bucket is not null").select("bucket", F.col("a").alias("k"))
-    if large.head(1):
-        links = _with_large(large, links, contents, threshold, block)
+    pairs = found.where("bucket is null").select("a", "b")
+    large = found.where("bucket is not null").select("bucket", F.col("a").alias("p"))
+    some = bool(large.head(1))
+    if some:
+        star = large.join(large.groupBy("bucket").agg(F.min("p").alias("q")), "bucket").where("p <> q")
+        pairs = pairs.unionByName(star.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+    pairs = table(pairs.distinct())
+    known = signed(pairs, contents)
+    links = table(verify(pairs, known, threshold))
+    if some:
+        links = links.unionByName(_inside(large, links, known, threshold, block))
     roots = components(links).select(F.col("id").alias("k"), "root")
     named = contents.select("id", "k").join(roots, "k", "left").select("id", F.coalesce("root", "k").alias("root"))
     groups = named.groupBy("root").agg(F.min("id").alias("group_id"), F.max("id").alias("last")).where("group_id < last")
     return named.join(groups, "root").groupBy("id").agg(F.min("group_id").alias("group_id"))
 
 
-def _with_large(large: DataFrame, links: DataFrame, contents: DataFrame, threshold: float, block: int) -> DataFrame:
-    pivots = large.groupBy("bucket").agg(F.min("k").alias("p"))
-    star = large.join(pivots, "bucket").where("p <> k").select(F.least("p", "k").alias("a"), F.greatest("p", "k").alias("b"))
-    links = table(links.unionByName(verify(star, contents, threshold)))
+def _inside(large: DataFrame, links: DataFrame, known: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Further links inside the large buckets that hold several components."""
     roots = components(links).select(F.col("id").alias("k"), "root")
-    named = large.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    named = table(named)
+    named = large.join(known, "p").drop("p").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    rest = named.join(mixed, "bucket", "left_semi")
-    known = contents.select("k", "n", "enc", "v").join(rest.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
-    rest = buckets.block_pairs(rest.join(known.mapInArrow(_signed, SIGNED), "k"), block)
-    more = rest.groupBy("bucket", "i", "j").applyInArrow(lambda t: _between(t, threshold), "a long, b long")
-    return table(links.unionByName(more))
+    rest = buckets.block_pairs(table(named.join(mixed, "bucket", "left_semi")), block)
+    return table(rest.groupBy("bucket", "i", "j").applyInArrow(lambda t: _between(t, threshold), "a long, b long"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from motionq.llm.shared import partitions
 
-BIG, BLOCK = 64, 2048
+BIG, BLOCK = 128, 2048
 #: Rows that one task should sort.
 TASK_ROWS = 4_000_000
 FOUND = "bucket long, a long, b long, f int"
@@ -35,7 +35,8 @@ def _stream(batches, fits, big):
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     over = None  # the bucket that is being passed on as large
     for batch in batches:
-        new = [batch.column(i).to_numpy() for i in range(3)]
+        new = [batch.column(i).to_numpy() for i in range(2)]
+        new.append(batch.column(2).to_numpy() if batch.num_columns > 2 else np.zeros(batch.num_rows, np.int32))
         bucket, k, f = (np.concatenate(x) for x in zip(held, new, strict=True))
         if not len(k):
             continue
@@ -86,11 +87,11 @@ def _groups(bucket, k, f, fits, big):
 def collide(rows: DataFrame, expected: int, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, big: int = BIG) -> DataFrame:
     """FOUND rows: pairs ``(null, a, b, null)``, ``a < b``, and rows of large buckets ``(bucket, k, null, f)``.
 
-    ``fits(f of one, f of other)`` may refuse pairs and must be symmetric. Pairs may repeat.
+    ``rows`` has ``bucket``, ``k`` and may have ``f``, which ``fits`` needs: ``fits(f of one, f of other)`` may refuse pairs and must be symmetric. Pairs may repeat.
     """
     fits = fits or (lambda a, b: np.ones(len(a), bool))
     n = partitions(rows.sparkSession, -(-expected // TASK_ROWS))
-    rows = rows.select("bucket", "k", "f").repartition(n, "bucket").sortWithinPartitions("bucket", "k")
+    rows = rows.select("bucket", "k", *[c for c in rows.columns if c == "f"]).repartition(n, "bucket").sortWithinPartitions("bucket", "k")
     return rows.mapInArrow(lambda it: _stream(it, fits, big), FOUND)
 
 
