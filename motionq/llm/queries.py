@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motionq.llm import bbit, bpe, clusters, knn, prefixjoin, splitter, wumanber
+from motionq.llm import bbit, bpe, clusters, knn, prefixjoin, quota, splitter, wumanber
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit.near_duplicates(_read(spark, sf_dir, "points"))
 
 
+def p2_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A twentieth of the records, varied."""
+    points = _read(spark, sf_dir, "points")
+    return quota.varied(points, max(1, points.count() // 20))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = [prefixjoin.as_sets(_read(spark, sf_dir, t), "sketch_id") for t in ("sketches", "usr_sketches")]
     return prefixjoin.similar_pairs(sets[0].unionByName(sets[1]))
@@ -61,5 +67,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitter.split(_read(spark, sf_dir, "documents"), with_text=False).where("piece = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_clusters, p5_found, p5_nearest, p6_ids, p7_found, p7_leaks, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_subset, p3_found, p4_found, p4_clusters, p5_found, p5_nearest, p6_ids, p7_found, p7_leaks, p8_found, p8_pieces)}
 SQL: dict[str, str] = {}
