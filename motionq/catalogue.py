@@ -1,4 +1,9 @@
 """All core queries with their SQL twins."""
 
+from motionq.plans import hierarchy, histograms, motion, search, sketches, stores, streams
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+for _plan in (search, hierarchy, histograms, sketches, motion, stores, streams):
+    QUERIES.update(_plan.query.queries)
+    SQL.update(_plan.query.sql)
