@@ -98,9 +98,9 @@ def radius_search(db: DataFrame, queries: DataFrame, radius: float, k: int, key:
     found = rows.groupBy("q", "d").applyInArrow(work, "query long, key long, distance double, n long")
     counts = found.where("key is null").groupBy("query").agg(F.sum("n").alias("within"))
     if k == 0:
-        return counts.select("query", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("distance"), "within")
+        return counts.select("query", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("distance"), "within")
     order = Window.partitionBy("query").orderBy("distance", "key")
-    top = found.where("key is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = found.where("key is not null").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
     return top.join(counts, "query").select("query", "rank", "key", "distance", "within")
 
 

@@ -39,11 +39,11 @@ def cum_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_T_SQL}, l as (select id, clip, coords c, lag(coords) over (partition by clip order by frame, id) p from t)
-select id, round(list_sum(list_transform(range(1, len(c) + 1), lambda i: 0.25::double * p[i] + 0.75::double * c[i])), 3) total, len(c)::int n from l where len(p) = len(c)""")
+select id, round(list_sum(list_transform(range(1, len(c) + 1), lambda i: 0.25::double * p[i] + 0.75::double * c[i])), 4) total, len(c)::int n from l where len(p) = len(c)""")
 def pose_lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pose between each frame and the one before it in its clip."""
     rows = motion.interpolate(trajectories(spark, sf_dir), ["clip"], "frame", "id", "coords", 0.25, BLOCK).where("between is not null")
-    return rows.select("id", F.round(vec.total("between"), 3).alias("total"), F.size("between").alias("n"))
+    return rows.select("id", F.round(vec.total("between"), 4).alias("total"), F.size("between").alias("n"))
 
 
 @query(f"""with {_T_SQL}, o as (select clip, frame // 64 seg, (row_number() over (partition by clip, frame // 64 order by frame, id) - 1) i, x, count(*) over (partition by clip, frame // 64) n from t where abs(x) < 1000),
