@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 TINY, SMALL = 1.0e-16, 1.0e-4
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once: nested calls stay as small as they are written."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def vec3(x, y, z) -> Column:
     as_col = lambda v: (v if isinstance(v, Column) else F.lit(float(v))).cast("double")
     return F.struct(as_col(x).alias("x"), as_col(y).alias("y"), as_col(z).alias("z"))
@@ -110,14 +115,16 @@ def q_lerp(a: Column, b: Column, t) -> Column:
     """Normalised linear interpolation, the shorter way round."""
     w = t if isinstance(t, Column) else F.lit(float(t))
     sign = F.when(q_dot(a, b) < 0, -1.0).otherwise(1.0)
-    raw = quat(*[a[k] * (F.lit(1.0) - w) + b[k] * w * sign for k in ("s", "x", "y", "z")])
-    n = q_norm(raw)
-    return quat(*[F.try_divide(raw[k], n) for k in ("s", "x", "y", "z")])
+    return let(quat(*[a[k] * (F.lit(1.0) - w) + b[k] * w * sign for k in ("s", "x", "y", "z")]), _normal)
+
+
+def _normal(q: Column) -> Column:
+    return quat(*[F.try_divide(q[k], q_norm(q)) for k in ("s", "x", "y", "z")])
 
 
 def q_rotate(q: Column, v: Column) -> Column:
-    p = q_mul(q_mul(q, quat(0.0, v["x"], v["y"], v["z"])), q_conj(q))
-    return vec3(p["x"], p["y"], p["z"])
+    turn = lambda q: let(q_mul(q, quat(0.0, v["x"], v["y"], v["z"])), lambda p: q_mul(p, q_conj(q)))
+    return let(let(q, turn), lambda p: vec3(p["x"], p["y"], p["z"]))
 
 
 def q_axis(axis: int, theta: Column) -> Column:
@@ -148,31 +155,38 @@ def q_to_matrix(q: Column) -> Column:
 
 def orientation_distance(a: Column, b: Column) -> Column:
     """``2 asin(min(|v(conj(a) b)|, 1))``."""
-    d = q_mul(q_conj(a), b)
-    return F.lit(2.0) * F.asin(F.least(F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]), F.lit(1.0)))
+    half = lambda d: F.asin(F.least(F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]), F.lit(1.0)))
+    return F.lit(2.0) * let(let(a, lambda x: let(b, lambda y: q_mul(q_conj(x), y))), half)
 
 
 def axis_angle_to_q(v: Column) -> Column:
-    theta = length(v)
-    k = F.when(theta < SMALL, F.lit(0.5) - theta * theta / F.lit(48.0)).otherwise(F.try_divide(F.sin(theta / F.lit(2.0)), theta))
-    raw = quat(F.cos(theta / F.lit(2.0)), v["x"] * k, v["y"] * k, v["z"] * k)
-    n = q_norm(raw)
-    return quat(*[raw[c] / n for c in ("s", "x", "y", "z")])
+    def turned(v: Column) -> Column:
+        theta = length(v)
+        k = F.when(theta < SMALL, F.lit(0.5) - theta * theta / F.lit(48.0)).otherwise(F.try_divide(F.sin(theta / F.lit(2.0)), theta))
+        return quat(F.cos(theta / F.lit(2.0)), v["x"] * k, v["y"] * k, v["z"] * k)
+
+    return let(let(v, turned), _normal)
 
 
 def q_to_axis_angle(q: Column) -> Column:
-    theta = F.lit(2.0) * F.acos(F.greatest(F.least(q["s"], F.lit(1.0)), F.lit(-1.0)))
-    n = F.sqrt(q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"])
-    k = F.when(n < TINY, F.lit(0.0)).otherwise(F.try_divide(theta, n))
-    return vec3(q["x"] * k, q["y"] * k, q["z"] * k)
+    def scaled(q: Column) -> Column:
+        theta = F.lit(2.0) * F.acos(F.greatest(F.least(q["s"], F.lit(1.0)), F.lit(-1.0)))
+        n = F.sqrt(q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"])
+        k = F.when(n < TINY, F.lit(0.0)).otherwise(F.try_divide(theta, n))
+        return vec3(q["x"] * k, q["y"] * k, q["z"] * k)
+
+    return let(q, scaled)
 
 
 def nearest_axis_angle(v: Column, ref: Column) -> Column:
     """The equivalent of ``v`` (whole turns added along its axis) that is closest to ``ref``."""
-    n = length(v)
-    along = F.when(n < TINY, unit(ref)).otherwise(unit(v))
-    turns = F.round(dot3(along, sub(ref, v)) / F.lit(2.0 * 3.141592653589793))
-    return add(v, scale(along, turns * F.lit(2.0 * 3.141592653589793)))
+    whole = F.lit(2.0 * 3.141592653589793)
+
+    def near(v: Column, ref: Column) -> Column:
+        along = F.when(length(v) < TINY, unit(ref)).otherwise(unit(v))
+        return let(along, lambda a: add(v, scale(a, F.round(dot3(a, sub(ref, v)) / whole) * whole)))
+
+    return let(v, lambda x: let(ref, lambda y: near(x, y)))
 
 
 def to_axes(rotations: Column) -> Column:

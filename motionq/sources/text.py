@@ -25,6 +25,8 @@ def _parsed(texts: DataFrame, parse: Callable[[str], Iterable[tuple]], columns:
             for file, text in zip(pdf["file"], pdf["text"], strict=True):
                 try:
                     rows = list(parse(text or ""))
+                    if any(len(r) != len(columns) for r in rows):
+                        raise ValueError("values are missing")
                 except (ValueError, IndexError) as e:
                     raise ValueError(f"{file}: {e}") from e
                 if rows:
