@@ -149,6 +149,18 @@ def black_pixels(images: DataFrame) -> DataFrame:
     return images.select("img_id", "content").mapInPandas(work, "img_id long, r long, c long")
 
 
+def coloured_pixels(images: DataFrame, red: int = 255) -> DataFrame:
+    """``(img_id, r, c)`` of the pixels of pure red of the given strength."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for img, content in zip(pdf["img_id"], pdf["content"], strict=True):
+                r, c = np.nonzero((read_bmp(content)[..., :3] == (0, 0, red)).all(2))
+                yield pd.DataFrame({"img_id": img, "r": r, "c": c})
+
+    return images.select("img_id", "content").mapInPandas(work, "img_id long, r long, c long")
+
+
 def featurize(images: DataFrame, kind: str) -> DataFrame:
     """``(img_id, feature, patch, hist)`` of bitmap files: kind BICE (per patch), HOUGH or ARP."""
     from motionq.operators import histograms as H

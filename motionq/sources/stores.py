@@ -81,3 +81,15 @@ def config_text(configs: DataFrame, kv: str = "kv") -> DataFrame:
     """``(file, text)`` of maps, keys in order."""
     pairs = F.transform(F.array_sort(F.map_entries(kv)), lambda e: F.concat(e["key"], F.lit(" = "), e["value"]))
     return configs.select("file", F.concat(F.array_join(pairs, "\n"), F.lit("\n")).alias("text"))
+
+
+def write_parameters(plan, path: str, spark: SparkSession) -> None:
+    """The parameters of a hashing plan as one JSON row, to be read by ``read_parameters``."""
+    row = (plan.dim, plan.radius, plan.success, plan.k, plan.m, plan.width, plan.seed)
+    spark.createDataFrame([row], "dim int, radius double, success double, k int, m int, width double, seed int").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_parameters(spark: SparkSession, path: str):
+    from motionq.operators.lsh import Plan
+
+    return Plan(**spark.read.schema("dim int, radius double, success double, k int, m int, width double, seed int").json(path).first().asDict())

@@ -285,3 +285,23 @@ def obj_mesh(texts: DataFrame) -> DataFrame:
                 face += 1
 
     return _parsed(texts, parse, ["face", "corner", "vertex", "x", "y", "z"], "face int, corner int, vertex int, x double, y double, z double")
+
+
+def clips(motion: DataFrame, root: str = "root") -> DataFrame:
+    """Trajectories ``(file, joint, frame, x, y, z)`` of the root bone of motion rows (its first three values are a position)."""
+    at = lambda i: F.get("vals", F.lit(i))
+    return motion.where(F.col("bone") == root).select("file", F.col("bone").alias("joint"), "frame", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
+
+
+def scene(texts: DataFrame, root: str = "Scene", child: str = "Plane") -> DataFrame:
+    """``(file, pos, name)`` of the children of a scene file, in order; files without any have no rows."""
+    n = F.xpath_int("text", F.lit(f"count(/{root}/{child})"))
+    names = F.xpath("text", F.lit(f"/{root}/{child}/@name"))
+    rows = texts.select("file", n.alias("n"), names.alias("names")).where("n > 0")
+    return rows.select("file", "names", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos")).select("file", "pos", F.get("names", F.col("pos")).alias("name"))
+
+
+def patch_names(files_: DataFrame, path: str = "path") -> DataFrame:
+    """Adds ``patch`` of sketch patch files named ``row_col`` on the 8 x 8 grid; null for other names."""
+    r, c = (F.expr(f"try_cast(regexp_extract({path}, '(\\\\d+)_(\\\\d+)\\\\.[^./]*$', {i}) as int)") for i in (1, 2))
+    return files_.withColumn("patch", F.when((r < 8) & (c < 8), r * 8 + c))

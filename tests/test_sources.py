@@ -150,6 +150,30 @@ def test_stream_reset_over_batches_and_index(spark, tmp_path):
     assert sorted(map(str, index.select("table_id", "bucket", "id").collect())) == sorted(map(str, whole.collect()))
 
 
+def test_small_readers(spark, tmp_path):
+    t = read(spark, tmp_path, "s.xml", '<Scene><Plane name="floor"/><Plane/></Scene>')
+    assert rows(text.scene(t)) == [(0, "floor"), (1, None)]
+    m = text.amc(read(spark, tmp_path, "m.amc", "1\nroot 1 2 3 0 0 0\nknee 4\n"))
+    assert rows(text.clips(m)) == [("root", 1, 1.0, 2.0, 3.0)]
+    names = spark.createDataFrame([("a/3_4.png",), ("a/9_1.png",), ("x.png",)], "path string")
+    assert [r.patch for r in text.patch_names(names).collect()] == [28, None, None]
+    p = lsh.Plan(dim=4, radius=2.0, success=0.9, k=4, m=5)
+    stores.write_parameters(p, str(tmp_path / "p"), spark)
+    assert stores.read_parameters(spark, str(tmp_path / "p")) == p
+    g = np.zeros((2, 3, 3), np.uint8)
+    g[1, 2] = (0, 0, 255)
+    df = spark.createDataFrame([(0, bytearray(images.write_bmp(g)))], "img_id long, content binary")
+    assert [tuple(r) for r in images.coloured_pixels(df).collect()] == [(0, 1, 2)]
+
+
+def test_unproject(spark):
+    from motionq.operators import grids
+
+    eye = np.eye(4).tolist()
+    r = spark.range(1).select(grids.unproject(F.lit(480.0), F.lit(0.0), F.lit(0.5), eye, 480, 480).alias("p")).first().p
+    assert (r.x, r.y, r.z) == (1.0, 1.0, 0.0)
+
+
 def test_black_and_gray():
     assert images.gray(np.array([[[1, 2, 4]]], np.uint8))[0, 0] == 2
     gx, gy, m, theta = images.sobel(np.tile(np.arange(5.0), (5, 1)))
