@@ -20,10 +20,12 @@ from motionq.llm import cells as C
 from motionq.llm.shared import components, merge_labels, table
 
 #: Bands and minima in each. Grid cells are GRID * radius / sqrt(columns) wide: a pair just within the
-#: radius then differs in about one of GRID tokens, and is missed by all bands with a chance of 4e-6.
-BANDS, ROWS, GRID = 8, 4, 30
+#: radius then differs in about one of GRID tokens, and is missed by all bands with a chance of 6e-6.
+BANDS, ROWS, GRID = 8, 6, 40
 #: Buckets up to this size are compared by sorted neighbourhood, larger ones by search.
-SMALL_BUCKET = 12
+SMALL_BUCKET = 40
+#: Rows searched from at once from which on the rest of the bucket is gathered.
+GATHER = 12
 
 
 def band_keys(x: np.ndarray, radius: float, band: int, rows: int = ROWS, grid: float = GRID) -> np.ndarray:
@@ -45,13 +47,22 @@ def band_keys(x: np.ndarray, radius: float, band: int, rows: int = ROWS, grid: f
     return key
 
 
+def _parts(rows: np.ndarray, work: int, most: int = 2_000_000) -> list[np.ndarray]:
+    """``rows`` in parts, for matrices of ``work`` entries in all."""
+    return [rows] if work <= most else np.array_split(rows, -(-work // most))
+
+
 def _within(x, a, b, radius):
     d = x[a] - x[b]
     return np.round(np.sqrt(np.einsum("ij,ij->i", d, d)), 6) <= radius
 
 
-def _search(x, sq, member, label, radius):
-    """Label pairs to join among the members of one large bucket."""
+def _search(x, member, label, radius):
+    """Label pairs to join among the members of one large bucket.
+
+    Groups of one label are searched from, smallest first and all but the largest, each against the members
+    not searched from yet. Distances come in single precision about a member; where that could mislead, exactly.
+    """
     pairs: list[tuple[int, int]] = []
     names, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
     if len(names) < 2:
@@ -61,31 +72,55 @@ def _search(x, sq, member, label, radius):
     largest = int(count.argmax())
     unseen = np.ones(len(member), bool)
     done = np.zeros(len(names), bool)
-    limit = (radius + 1e-6) ** 2
+    y = (x[member] - x[member[0]]).astype(np.float32)
+    sq = np.einsum("ij,ij->i", y, y)
+    slack = 8e-6 * sq + 1e-3
+    every = np.arange(len(member))
+    coarse = 3 * len(names) < len(member)  # groups are compared as balls first
+    if coarse:
+        middle = np.zeros((len(names), y.shape[1]), np.float32)
+        np.add.at(middle, inverse, y)
+        middle /= count[:, None]
+        apart = np.sqrt(((y - middle[inverse]) ** 2).sum(1))
+        reach = np.zeros(len(names), np.float32)
+        np.maximum.at(reach, inverse, apart)
+        reach += radius + 0.05 + 1e-3 * reach + 2e-3 * np.sqrt((middle * middle).sum(1))  # single precision
     for seed in np.argsort(count, kind="stable"):
         if seed == largest or done[seed]:
             continue
         front = [int(seed)]
         done[seed] = True
         while front:
-            rows = np.concatenate([rows_by_name[f] for f in front])
+            rows = rows_by_name[front[0]] if len(front) == 1 else np.concatenate([rows_by_name[f] for f in front])
             unseen[rows] = False
-            left = np.flatnonzero(unseen)
             front = []
-            if not len(left):
+            if not unseen.any():
                 break
-            hit = np.zeros(len(left), bool)
-            for part in np.array_split(rows, max(1, len(rows) * len(left) // 2_000_000)):
-                a, b = member[part], member[left]
-                d2 = sq[a][:, None] + sq[b][None] - 2 * (x[a] @ x[b].T)
-                near = d2 <= limit + 1e-11 * sq[a][:, None] + 1e-9
-                near[:, hit] = False
-                i, j = np.nonzero(near)
-                if len(i):
-                    sure = d2[i, j] < (radius - 1e-3) ** 2 - 1e-11 * sq[a][i]
-                    sure[~sure] = _within(x, a[i[~sure]], b[j[~sure]], radius)
-                    hit[j[sure]] = True
-            for name in np.unique(inverse[left[hit]]):
+            if coarse:
+                near = (np.sqrt(C.squared(y[rows], middle)) <= reach).any(0)
+                left = np.flatnonzero(unseen & near[inverse])
+                if not len(left):
+                    break
+                z, sz, most, hit = y[left].T, sq[left], slack[left], np.zeros(len(left), bool)
+            elif len(rows) < GATHER:  # copying the rest costs more than looking past it
+                left, z, sz, most, hit = every, y.T, sq, slack, ~unseen
+            else:
+                left = np.flatnonzero(unseen)
+                z, sz, most, hit = y[left].T, sq[left], slack[left], np.zeros(len(left), bool)
+            for part in _parts(rows, len(rows) * len(left)):
+                d2 = y[part] @ z
+                d2 *= -2
+                d2 += sz
+                d2 += sq[part][:, None]
+                d2 -= radius * radius
+                over = slack[part][:, None]
+                hit |= (d2 < -(over + most)).any(0)
+                close = (d2[:, ~hit] <= over + most[~hit])
+                if close.any():
+                    i, j = np.nonzero(close)
+                    j = np.flatnonzero(~hit)[j]
+                    hit[j[_within(x, member[part[i]], member[left[j]], radius)]] = True
+            for name in np.unique(inverse[left[hit & unseen[left]]]):
                 pairs.append((int(names[seed]), int(names[name])))
                 if name != largest:
                     done[name] = True
@@ -98,7 +133,6 @@ def local_components(x: np.ndarray, radius: float, bands: int = BANDS, rows: int
     n = len(x)
     label = np.arange(n)
     x = x - np.median(x, axis=0)
-    sq = (x * x).sum(1)
     for band in range(bands):
         key = band_keys(x, radius, band, rows, grid)
         order = np.argsort(key, kind="stable")
@@ -116,7 +150,7 @@ def local_components(x: np.ndarray, radius: float, bands: int = BANDS, rows: int
             a, b = order[at], order[at + step]
             differ = label[a] != label[b]
             a, b = a[differ], b[differ]
-            for part in np.array_split(np.arange(len(a)), max(1, len(a) // 100_000)):
+            for part in _parts(np.arange(len(a)), len(a), 100_000):
                 ok = part[_within(x, a[part], b[part], radius)]
                 left.append(a[ok])
                 right.append(b[ok])
@@ -124,7 +158,7 @@ def local_components(x: np.ndarray, radius: float, bands: int = BANDS, rows: int
             label = merge_labels(label, np.concatenate(left), np.concatenate(right))
         for at in np.flatnonzero(size > SMALL_BUCKET):
             member = order[start[at] : start[at] + size[at]]
-            joined = _search(x, sq, member, label[member], radius)
+            joined = _search(x, member, label[member], radius)
             if joined:
                 a, b = np.array(joined).T
                 label = merge_labels(label, a, b)
@@ -142,7 +176,7 @@ def degrees(x: np.ndarray, label: np.ndarray, asks: np.ndarray, answers: np.ndar
         if len(member) < 2:
             continue
         q, m = member[asks[member]], member[answers[member]]
-        for some in np.array_split(q, max(1, len(q) * len(m) // 2_000_000)):
+        for some in _parts(q, len(q) * len(m)):
             if len(some):
                 d2 = C.squared(x[some], x[m])
                 near = d2 <= limit
