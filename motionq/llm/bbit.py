@@ -236,37 +236,61 @@ def verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     return whole.mapInArrow(lambda it: _verified(it, threshold), "a long, b long")
 
 
-def _between(t: pa.Table, threshold: float) -> pa.Table:
-    """Links between records of different components in a block pair, one for each two components."""
-    t = t.combine_chunks()
+def _roots(parent: np.ndarray) -> np.ndarray:
+    roots = parent
+    while not np.array_equal(further := parent[roots], roots):
+        roots = further
+    return roots
+
+
+def _link(t: pa.Table, left: np.ndarray, right: np.ndarray, threshold: float) -> pa.Table:
+    """Links that join different components, of rows ``left`` with rows ``right``; at most one fewer than there are components.
+
+    Pairs are verified likeliest first, and no more once their ends are joined by others: in a dense group nearly
+    every record needs one verification only.
+    """
     col = lambda name: t.column(name).to_numpy()
-    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-    left, right = buckets.across(col("o"), i, j)
     k, n, s0, s1, enc, v = col("k"), col("n"), col("s0"), col("s1"), col("enc"), t.column("v").combine_chunks()
-    _, name = np.unique(col("root"), return_inverse=True)
-    seen: set = set()
+    names, name = np.unique(col("root"), return_inverse=True)
+    parent = np.arange(len(names))
     links: list = []
     for some in np.array_split(left, max(1, len(left) * len(right) // 1_000_000)):
         m = matching(s0[some][:, None], s1[some][:, None], s0[right][None], s1[right][None])
-        close = (estimate(m) >= threshold - MARGIN) & (name[some][:, None] != name[right][None])
-        a, b = np.nonzero(close)
-        a, b = some[a], right[b]
-        for part in np.array_split(np.arange(len(a)), max(1, len(a) // 20_000)):
-            p, q = a[part], b[part]
-            new = np.array([(x, y) not in seen for x, y in zip(name[p].tolist(), name[q].tolist(), strict=True)], bool)
-            p, q = p[new], q[new]
-            if not len(p):
-                continue
+        root = _roots(parent)[name]
+        a, b = np.nonzero((estimate(m) >= threshold - MARGIN) & (root[some][:, None] != root[right][None]))
+        order = np.argsort(-m[a, b], kind="stable")
+        a, b = some[a[order]], right[b[order]]
+        while len(a):
+            p, q = a[:2000], b[:2000]
             both = shared_values(_unpacked(enc[p], v.take(pa.array(p)), n[p]), _unpacked(enc[q], v.take(pa.array(q)), n[q]))
             ok = both >= threshold * (n[p] + n[q] - both) - 1e-9
             for x, y in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
-                pair = (int(name[x]), int(name[y]))
-                if pair not in seen:
-                    seen.update((pair, pair[::-1]))
+                i, j = name[x], name[y]
+                while parent[i] != i:
+                    i = parent[i]
+                while parent[j] != j:
+                    j = parent[j]
+                if i != j:
+                    parent[max(i, j)] = min(i, j)
                     links.append((k[x], k[y]))
+            root = _roots(parent)[name]
+            open_ = root[a[2000:]] != root[b[2000:]]
+            a, b = a[2000:][open_], b[2000:][open_]
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
+def _in_block(t: pa.Table, threshold: float) -> pa.Table:
+    every = np.arange(t.num_rows)
+    return _link(t.combine_chunks(), every, every, threshold)
+
+
+def _to_block(t: pa.Table, threshold: float) -> pa.Table:
+    """Links of the rows that came from elsewhere with those of the block."""
+    t = t.combine_chunks()
+    guest = t.column("guest").to_numpy(zero_copy_only=False)
+    return _link(t, np.flatnonzero(guest), np.flatnonzero(~guest), threshold)
+
+
 def near_duplicates(points: DataFrame, threshold: float = 0.8, big: int = buckets.BIG, block: int = buckets.BLOCK) -> DataFrame:
     """``(id, group_id)`` of the records in groups of two or more ids; ``group_id`` is the smallest id.
 
@@ -299,9 +323,27 @@ def near_duplicates(points: DataFrame, threshold: float = 0.8, big: int = bucket
 
 
 def _inside(large: DataFrame, links: DataFrame, known: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Further links inside the large buckets that hold several components."""
-    roots = components(links).select(F.col("id").alias("k"), "root")
-    named = large.join(known, "p").drop("p").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    rest = buckets.block_pairs(table(named.join(mixed, "bucket", "left_semi")), block)
-    return table(rest.groupBy("bucket", "i", "j").applyInArrow(lambda t: _between(t, threshold), "a long, b long"))
+    """Further links inside the large buckets that hold several components.
+
+    First every bucket is cut into blocks of about ``block`` nodes, each searched for itself, which joins
+    nearly all of a dense group. Then the nodes outside the largest component of their bucket (the guests) visit all
+    blocks of it, so that every pair of different components has met.
+    """
+    rows = table(large.join(known, "p").drop("p"))
+    count = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = table(rows.join(count, "bucket").withColumn("o", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")))
+
+    def mixed(links: DataFrame) -> DataFrame:
+        roots = components(links).select(F.col("id").alias("k"), "root")
+        named = table(rows.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")))
+        sizes = named.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+        first = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("roots"))
+        return named.join(first.where("roots > 1").drop("roots"), "bucket")
+
+    schema = "a long, b long"
+    found = table(mixed(links).drop("largest").groupBy("bucket", "o").applyInArrow(lambda t: _in_block(t, threshold), schema))
+    named = table(mixed(links.unionByName(found)))
+    guests = named.where("root <> largest").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    visits = guests.withColumn("guest", F.lit(True)).unionByName(named.withColumn("guest", F.lit(False))).drop("largest", "blocks")
+    more = table(visits.groupBy("bucket", "o").applyInArrow(lambda t: _to_block(t, threshold), schema))
+    return found.unionByName(more)
