@@ -26,6 +26,8 @@ HEAVY = 200_000
 SAMPLE = 2_000
 #: Shared tokens that may be asked for, and cost of a candidate in units of a combination row.
 LENGTHS, CANDIDATE = (1, 2, 3), 0.5
+#: Combinations that one set may make at most for its own size.
+MOST = 20_000
 
 
 def as_sets(df: DataFrame, key: str, values: str = "h", empty: int | None = -1) -> DataFrame:
@@ -103,8 +105,10 @@ def choose(sample: pa.Table, order: Order, classes: int, threshold: float) -> di
 
 def _length(size: int, chosen: dict[int, int], threshold: float) -> int:
     below = [s for s in chosen if s <= size]
-    length = chosen[max(below)] if below else 1
-    return min(length, need(size, threshold, True))
+    length = min(chosen[max(below)] if below else 1, need(size, threshold, True))
+    while length > 1 and comb(prefix(size, length, threshold, False), length) > MOST:
+        length -= 1  # a large set that the sample lacked
+    return length
 
 
 def _combinations(batches, order: Order, chosen: dict[int, int], threshold: float):

@@ -105,6 +105,14 @@ def test_similar_pairs(spark, threshold, options):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_large_sets_make_bounded_combinations():
+    from math import comb
+
+    for size in (30, 500, 20_000):
+        length = prefixjoin._length(size, {10: 3}, 0.7)
+        assert length == 1 or comb(prefixjoin.prefix(size, length, 0.7, False), length) <= prefixjoin.MOST
+
+
 def test_no_sets(spark):
     df = spark.createDataFrame([(1, None), (2, [-1])], "sketch_id long, h array<int>")
     assert prefixjoin.similar_pairs(prefixjoin.as_sets(df, "sketch_id")).count() == 0
