@@ -216,7 +216,8 @@ def signed(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     """Contents, with signature and alias ``p``, of all that occurs in candidate ``pairs`` of aliases."""
     nodes = pairs.select(F.col("a").alias("p")).union(pairs.select(F.col("b").alias("p"))).distinct()
     known = contents.select("k", "n", "enc", "v", F.col("k").bitwiseAND(F.lit(ALIAS)).alias("p"))
-    known = known.join(nodes, "p", "left_semi").select("k", "n", "enc", "v").dropDuplicates(["k"]).mapInArrow(_signed, SIGNED)
+    known = known.join(nodes, "p", "left_semi").dropDuplicates(["p", "k"])  # p is part of k: no further shuffle
+    known = known.select("k", "n", "enc", "v").mapInArrow(_signed, SIGNED)
     return table(known.withColumn("p", F.col("k").bitwiseAND(F.lit(ALIAS))))
 
 
@@ -317,9 +318,12 @@ def near_duplicates(points: DataFrame, threshold: float = 0.8, big: int = bucket
     if some:
         links = links.unionByName(_inside(large, links, known, threshold, block))
     roots = components(links).select(F.col("id").alias("k"), "root")
-    named = contents.select("id", "k").join(roots, "k", "left").select("id", F.coalesce("root", "k").alias("root"))
-    groups = named.groupBy("root").agg(F.min("id").alias("group_id"), F.max("id").alias("last")).where("group_id < last")
-    return named.join(groups, "root").groupBy("id").agg(F.min("group_id").alias("group_id"))
+    classes = contents.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    tied = classes.join(roots, "k", "left").where("root is not null or lo < hi")  # the others are alone
+    tied = table(tied.select("k", F.coalesce("root", "k").alias("root"), "lo", "hi"))
+    groups = tied.groupBy("root").agg(F.min("lo").alias("group_id"), F.max("hi").alias("last")).where("group_id < last")
+    named = tied.select("k", "root").join(groups, "root").select("k", "group_id")
+    return contents.select("id", "k").join(named, "k").groupBy("id").agg(F.min("group_id").alias("group_id"))
 
 
 def _inside(large: DataFrame, links: DataFrame, known: DataFrame, threshold: float, block: int) -> DataFrame:
