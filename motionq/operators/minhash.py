@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionq.functions import vec
+from motionq.functions.rotation import let
 
 FAMILIES, TRIPLES, PRIME = 3, 10, 2_147_483_647
 
@@ -33,9 +34,11 @@ def sketch(hist: Column, functions: list[tuple[int, int]], threshold: float | No
     hist = hist.cast("array<double>")
     on = bins_on(hist, threshold, share)
     fs = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in functions])
-    values = F.transform(fs, lambda f: F.array_min(F.transform(on, lambda i: ((f["a"] * i + f["b"]) % PRIME).cast("int"))))
-    flat = F.coalesce(F.array_min(hist) == F.array_max(hist), F.lit(True)) | (F.size(on) == 0)
-    return F.when(flat, F.array_repeat(F.lit(-1), len(functions))).otherwise(values)
+    least = lambda bins: F.transform(fs, lambda f: F.array_min(F.transform(bins, lambda i: ((f["a"] * i + f["b"]) % PRIME).cast("int"))))
+    none = F.array_repeat(F.lit(-1), len(functions))
+    varies = F.coalesce(F.array_min(hist) < F.array_max(hist), F.lit(False))
+    # the bins are found once, not once a function
+    return F.when(varies, let(on, lambda bins: F.when(F.size(bins) > 0, least(bins)).otherwise(none))).otherwise(none)
 
 
 def triples(sketches: DataFrame, keys: list[str], h: str = "h", per: int = TRIPLES) -> DataFrame:
