@@ -26,22 +26,34 @@ KINDS = (
 )
 
 
+def _inside(piece: str, enc: bpe.Encoder) -> tuple[int, ...]:
+    """Character position in a piece at which each of its tokens starts, -1 inside a character."""
+    ids = enc.piece(piece)
+    if len(ids) == 1:
+        return (0,)
+    first = np.concatenate([[0], np.cumsum([enc.sizes[i] for i in ids])[:-1]])
+    lead = (np.frombuffer(piece.encode("utf-8", "surrogatepass"), np.uint8) & 0xC0) != 0x80
+    return tuple(np.where(lead[first], np.cumsum(lead)[first] - 1, -1).tolist())
+
+
 def token_starts(text: str, enc: bpe.Encoder) -> np.ndarray:
     """Character position at which each token starts, -1 for a token that starts inside a character."""
-    starts: list[np.ndarray] = []
-    sizes = enc.sizes
-    for at, ids in enc.pieces(text):
-        if len(ids) == 1:
-            starts.append(np.array([at]))
-            continue
-        ends = np.cumsum([sizes[i] for i in ids])
-        first = np.concatenate([[0], ends[:-1]])
-        length = int(ends[-1])
-        piece = text[at : at + length]  # a character has one byte at least
-        raw = np.frombuffer(piece.encode("utf-8", "surrogatepass")[:length], np.uint8)
-        lead = (raw & 0xC0) != 0x80
-        starts.append(np.where(lead[first], at + np.cumsum(lead)[first] - 1, -1))
-    return np.concatenate(starts) if starts else np.zeros(0, int)
+    out: list[int] = []
+    seen = enc.__dict__.setdefault("starts", {})
+    for m in enc.pattern.finditer(text):
+        piece, at = m.group(), m.start()
+        inside = seen.get(piece)
+        if inside is None:
+            inside = _inside(piece, enc)
+            if len(piece) <= 64:
+                if len(seen) >= bpe.REMEMBERED:
+                    seen.clear()
+                seen[piece] = inside
+        if len(inside) == 1:
+            out.append(at)
+        else:
+            out.extend([at + i if i >= 0 else -1 for i in inside])
+    return np.array(out, int)
 
 
 def strengths(text: str, starts: np.ndarray) -> np.ndarray:
@@ -53,12 +65,14 @@ def strengths(text: str, starts: np.ndarray) -> np.ndarray:
     out = np.where(np.append(starts, len(text)) >= 0, 0, -1)
     place = np.append(starts, len(text))
     good = np.flatnonzero(out >= 0)
+    known = place[good]
     for kind, pattern in reversed(KINDS):
-        for m in pattern.finditer(text):
-            lo = np.searchsorted(place[good], m.start() if m.group()[0].isspace() else m.start() + 1)
-            hi = np.searchsorted(place[good], m.end(), side="right")
-            if hi > lo:
-                out[good[hi - 1]] = max(out[good[hi - 1]], kind)
+        spans = [(m.start() + (not text[m.start()].isspace()), m.end()) for m in pattern.finditer(text)]
+        if spans:
+            first, last = np.array(spans).T
+            lo, hi = np.searchsorted(known, first), np.searchsorted(known, last, side="right")
+            at = good[hi[hi > lo] - 1]
+            out[at] = np.maximum(out[at], kind)
     out[0] = out[n] = 4
     return out
 
