@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionq.llm import cells as C
+from motionq.llm.shared import partitions, table
 
 #: Rows of an inverted list; columns of the first block are a quarter of all, this at least.
 LIST_ROWS, FIRST_COLUMNS = 192, 6
@@ -122,6 +123,28 @@ def neighbours(x: np.ndarray, ids: np.ndarray, asks: np.ndarray, answers: np.nda
     return i[keep], j[keep], d[keep]
 
 
+def closest(x, ids, y, names, limit2, k: int):
+    """``(query row, data row, distance)``: for each row of ``x`` its k nearest of ``y``, with ties, within ``limit2``.
+
+    By plain comparison, for queries without a bound worth a test. Rounded distances may tie where squares differ.
+    """
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    if len(x) and len(y):
+        middle = np.median(y, axis=0)
+        x, y = x - middle, y - middle
+        slack = 1e-9 + 1e-11 * (x * x).sum(1)
+        for some in np.array_split(np.arange(len(x)), len(x) * len(y) // 2_000_000 + 1):
+            near = C.squared(x[some], y)
+            near[ids[some][:, None] == names[None]] = np.inf
+            most = limit2[some]
+            if len(y) > k:
+                most = np.minimum(most, np.partition(near, k - 1, axis=1)[:, k - 1])
+            most = (np.sqrt(most + slack[some]) + 2e-6) ** 2 + slack[some]
+            i, j = np.nonzero((near <= most[:, None]) & np.isfinite(near))
+            found.append((some[i], j, exact(x[some[i]], y[j])))
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
 def nearest(points: DataFrame, k: int = 5, radius: float = 6.0, eps0: float = EPS0, **sizes: int) -> DataFrame:
     """``(id, other, distance)``: the k nearest other records within ``radius``, and ties with the k-th.
 
@@ -148,6 +171,110 @@ def nearest(points: DataFrame, k: int = 5, radius: float = 6.0, eps0: float = EP
     return rows.where("not hot").drop("hot").unionByName(merged.drop("hot", "place"))
 
 
+def _asked(batches, cells: C.Cells, splits: dict[int, np.ndarray] | None):
+    """Open records into every cell but their own whose border is within their bound; None: only their number."""
+    for batch in batches:
+        ids, bound = batch.column("id").to_numpy(), batch.column("bound").to_numpy()
+        dimension = np.asarray(batch.column("dimension").to_numpy(zero_copy_only=False), float)
+        for width, rows, x in C.usable(ids, dimension, batch.column("coords")):
+            centres = cells.centres.get(width)
+            if centres is None or len(centres) == 1:
+                continue  # one cell was the whole dimension
+            d2 = C.squared(x, centres)
+            home = d2.argmin(1)
+            gap = C.border(d2, home, centres)
+            slack = 1e-6 + 1e-12 * (x * x).sum(1)
+            reach = gap <= (bound[rows] * (1 + 1e-9) + slack)[:, None]
+            clear = ((gap <= slack[:, None]).sum(1) == 1)  # else the home may have been the other one
+            reach[np.flatnonzero(clear), home[clear]] = False
+            if splits is None:
+                count = reach.sum(0)
+                yield pa.RecordBatch.from_pydict({"dim": np.full(len(count), width, np.int32), "cell": np.arange(len(count), dtype=np.int32), "n": count.astype(np.int64)})
+                continue
+            at, cell = np.nonzero(reach)
+            b = cells.blocks[width][cell]
+            part = ids[rows][at] % splits[width][cell] * b
+            again = np.repeat(np.arange(len(at)), b)
+            part = part[again] + np.arange(len(again)) - np.repeat(np.cumsum(b) - b, b)
+            yield _rows(width, x, ids[rows], at[again], cell[again], part, C.QUERY, bound[rows])
+
+
+def _answering(batches, cells: C.Cells, splits: dict[int, np.ndarray]):
+    """Every record into its own cell, once for each part of the records asking there."""
+    for batch in batches:
+        ids = batch.column("id").to_numpy()
+        dimension = np.asarray(batch.column("dimension").to_numpy(zero_copy_only=False), float)
+        for width, rows, x in C.usable(ids, dimension, batch.column("coords")):
+            if width in splits:
+                cell = C.squared(x, cells.centres[width]).argmin(1)
+                b, n = cells.blocks[width][cell], splits[width][cell]
+                at = np.repeat(np.arange(len(x)), n)
+                part = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) * b[at] + (ids[rows] % b)[at]
+                yield _rows(width, x, ids[rows], at, cell[at], part, C.DATA, np.zeros(len(x)))
+
+
+def _rows(width, x, ids, at, cell, part, role, bound):
+    enc, packed = C.pack(x)
+    columns = [np.full(len(at), width, np.int32), cell.astype(np.int32), part.astype(np.int32), ids[at].astype(np.int64), np.full(len(at), role, np.int8), enc[at]]
+    names = [*(f.split()[0] for f in C.SCHEMA.split(", ")), "bound"]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(packed[at], pa.binary()), pa.array(bound[at])], names=names)
+
+
+def nearest_all(points: DataFrame, k: int = 5, radius: float = 6.0, ask_rows: int = C.HOT_ROWS, **sizes: int) -> DataFrame:
+    """``(id, other, distance)``: the k nearest other records however far, and ties with the k-th.
+
+    As ``nearest``, but ``radius`` only says how far rows are copied at first. Records that find k so near are
+    done; the k-th distance of the others inside their own cell bounds their search, and they are sent to all
+    cells whose border is nearer (without k in their cell: to all). Only a record whose dimension holds k others
+    or fewer has fewer than k rows. Cells asked by more than ``ask_rows`` records are worked in parts.
+    """
+    cells = C.fit(points, radius, **sizes)
+
+    def work(t: pa.Table) -> pa.Table:
+        ids, role, x = C.group(t)
+        asks, answers = (role & C.QUERY) > 0, (role & C.DATA) > 0
+        i, j, d = neighbours(x, ids, asks, answers, k, radius)
+        few = np.flatnonzero(asks & (np.bincount(i, minlength=len(ids)) < k))
+        m = np.flatnonzero(answers)
+        p, q, e = closest(x[few], ids[few], x[m], ids[m], np.full(len(few), np.inf), k)
+        keep = ~np.isin(i, few)
+        none = few[np.bincount(p, minlength=len(few)) == 0]  # nobody in the cell: a row that says so
+        other = pa.concat_arrays([pa.array(ids[np.concatenate([j[keep], m[q]])], pa.int64()), pa.nulls(len(none), pa.int64())])
+        return pa.table({"id": ids[np.concatenate([i[keep], few[p], none])], "other": other, "distance": np.concatenate([d[keep], e, np.full(len(none), np.inf)])})
+
+    schema = "id long, other long, distance double"
+    by_id = Window.partitionBy("id").orderBy("distance")
+    best = lambda df: df.where("other is not null").withColumn("place", F.rank().over(by_id)).where(F.col("place") <= k).drop("place")
+    first = C.assign(points, cells).groupBy("dim", "cell", "part").applyInArrow(work, schema)
+    if all(len(c) == 1 for c in cells.centres.values()):
+        return best(first)
+    first = table(first)
+    kth = F.get(F.array_sort(F.collect_list("distance")), F.lit(k - 1))
+    nearby = best(first)
+    bounds = first.select("id").distinct().join(nearby.groupBy("id").agg(kth.alias("bound")), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    records = points.where("id is not null").select("id", "dimension", "coords")
+    waiting = table(records.join(bounds.where(F.col("bound") > radius), "id"))
+    counted = waiting.mapInArrow(lambda it: _asked(it, cells, None), "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect()
+    splits = {d: np.zeros(len(c), np.int64) for d, c in cells.centres.items() if len(c) > 1}
+    for r in counted:
+        splits[r.dim][r.cell] = -(-r.n // ask_rows)
+
+    def rest(t: pa.Table) -> pa.Table:
+        width, role, ids = t.column("dim")[0].as_py(), t.column("role").to_numpy(), t.column("id").to_numpy()
+        x, bound = C.unpack(t.column("enc").to_numpy(), t.column("v"), width), t.column("bound").to_numpy()
+        q, m = (np.flatnonzero(role == r) for r in (C.QUERY, C.DATA))
+        q, m = (rows[np.unique(ids[rows], return_index=True)[1]] for rows in (q, m))
+        i, j, d = closest(x[q], ids[q], x[m], ids[m], bound[q] ** 2, k)
+        return pa.table({"id": ids[q[i]], "other": ids[m[j]], "distance": d})
+
+    parts = sum(int((n * cells.blocks[d]).sum()) for d, n in splits.items())
+    schema2 = C.SCHEMA + ", bound double"
+    meeting = waiting.mapInArrow(lambda it: _asked(it, cells, splits), schema2).unionByName(records.mapInArrow(lambda it: _answering(it, cells, splits), schema2))
+    meeting = meeting.repartition(partitions(points.sparkSession, min(parts, 4000)), "dim", "cell", "part")
+    further = meeting.groupBy("dim", "cell", "part").applyInArrow(rest, schema)
+    return best(first.unionByName(further).distinct())
+
+
 def pairs(near: DataFrame) -> DataFrame:
     """Pairs ``id_a < id_b`` of which at least one is among the nearest of the other."""
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()

@@ -40,10 +40,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest of every usable record, with distance."""
+    """The 5 nearest within 6.0 of every usable record, with distance; ``p5_nearest_all`` is without the limit."""
     return knn.nearest(_read(spark, sf_dir, "points"))
 
 
+def p5_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every usable record however far, with distance."""
+    return knn.nearest_all(_read(spark, sf_dir, "points"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(_read(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitter.split(_read(spark, sf_dir, "documents"), with_text=False).where("piece = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_subset, p3_found, p4_found, p4_clusters, p5_found, p5_nearest, p6_ids, p7_found, p7_leaks, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_subset, p3_found, p4_found, p4_clusters, p5_found, p5_nearest, p5_nearest_all, p6_ids, p7_found, p7_leaks, p8_found, p8_pieces)}
 _USABLE = """u as (select id, any_value(coords) coords from points where coords is not null and len(coords) = dimension and dimension > 0
   and not list_contains(list_transform(coords, lambda x: x is null), true) and list_min(coords) < list_max(coords) group by id),
 d as (select a.id a, b.id b, round(list_distance(a.coords, b.coords), 6) d from u a join u b on len(a.coords) = len(b.coords) and a.id < b.id),
@@ -93,5 +98,7 @@ select id, cluster_id from c qualify count(*) over (partition by cluster_id) >=
     "p5_found": f"""with {_USABLE}, r as (select a, b, rank() over (partition by a order by d) k from n)
 select distinct least(a, b) id_a, greatest(a, b) id_b from r where k <= 5""",
     "p5_nearest": f"""with {_USABLE}, r as (select a id, b other, d distance, rank() over (partition by a order by d) k from n)
+select id, other, distance from r where k <= 5""",
+    "p5_nearest_all": f"""with {_USABLE}, m as (select a, b, d from d union all select b, a, d from d), r as (select a id, b other, d distance, rank() over (partition by a order by d) k from m)
 select id, other, distance from r where k <= 5""",
 }

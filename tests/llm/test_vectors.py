@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from motionq.llm import cells, clusters, knn, quota
+from motionq.llm.queries import QUERIES
 from motionq.llm.shared import components, merge_labels
 
 SCHEMA = "id long, dimension int, coords array<double>, clip string, cell int, role string"
@@ -57,6 +58,21 @@ def test_nearest(spark, sizes):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("sizes", [*SIZES, {"cell_rows": 40, "hot_rows": 20, "ask_rows": 15}])
+def test_nearest_however_far(spark, sizes):
+    df, rows = points(spark)
+    ids, near = brute(rows, float("inf"))
+    want = set()
+    for a, l in near.items():
+        l.sort()
+        last = l[min(4, len(l) - 1)][0]
+        want |= {(a, b, d) for d, b in l if d <= last}
+    assert {a for a, _, _ in want} == set(ids) and max(d for _, _, d in want) > 6.0
+    got = [tuple(r) for r in knn.nearest_all(df, **sizes).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "p5_nearest_all" in QUERIES
+
+
 @pytest.mark.parametrize("sizes", SIZES)
 def test_clusters(spark, sizes):
     df, rows = points(spark)
