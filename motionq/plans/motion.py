@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motionq.functions import rotation as R
@@ -50,7 +50,7 @@ def pose_lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
 q as (select i, x q from o where clip = (select min(clip) from o where n >= 8) and seg = (select min(seg) from o where n >= 8 and clip = (select min(clip) from o where n >= 8)))
 select clip, seg, round(corr(x, q), 6) score from o join q using (i) where n >= 8 and i < 8 group by 1, 2 order by score desc nulls last, clip, seg limit 50""")
 def curve_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of 64 frames, by the first 8 values of x, correlated with the first such segment."""
+    """Segments of 64 frames, by the first 8 values of x, correlated with the first such segment; ``curve_corr_whole`` takes all."""
     t = trajectories(spark, sf_dir).where("abs(x) < 1000").withColumn("seg", F.expr("frame div 64"))
     per = t.groupBy("clip", "seg").agg(F.array_sort(F.collect_list(F.struct("frame", "id", "x"))).alias("s")).where(F.size("s") >= 8)
     per = per.select("clip", "seg", F.slice(F.transform("s", lambda r: r["x"]), 1, 8).alias("x"))
@@ -58,6 +58,31 @@ def curve_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("clip", "seg", F.round(vec.pearson("x", q), 6).alias("score")).orderBy(F.desc_nulls_last("score"), "clip", "seg").limit(50)
 
 
+#: Equal parts into which a segment is cut by ordinal; a row counts in each part by the share of it that lies there.
+PARTS = 64
+
+
+@query(f"""with {_T_SQL}, o as (select clip, frame // 64 seg, (row_number() over (partition by clip, frame // 64 order by frame, id) - 1) i, x, count(*) over (partition by clip, frame // 64) n from t where abs(x) < 1000),
+v as (select clip, seg, j, sum(x * (least((i + 1) * {PARTS}, (j + 1) * n) - greatest(i * {PARTS}, j * n)) / n) v from o join range({PARTS}) p(j) on i * {PARTS} < (j + 1) * n and j * n < (i + 1) * {PARTS} group by 1, 2, 3 having max(n) > 1),
+k as (select clip, seg from o group by 1, 2 having min(x) < max(x)), q as (select j, v q from v join (select * from k order by clip, seg limit 1) using (clip, seg))
+select clip, seg, round(corr(v, q), 6) score from v join k using (clip, seg) join q using (j) group by 1, 2 order by score desc nulls last, clip, seg limit 50""")
+def curve_corr_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of 64 frames, by all their values of x brought to equal length, correlated with the first segment that varies."""
+    return whole_curves(trajectories(spark, sf_dir).where("abs(x) < 1000"))
+
+
+def whole_curves(t: DataFrame) -> DataFrame:
+    t = t.select("clip", F.expr("frame div 64").alias("seg"), "frame", "id", "x")
+    segment = Window.partitionBy("clip", "seg")
+    t = t.withColumns({"i": F.row_number().over(segment.orderBy("frame", "id")) - 1, "n": F.count("*").over(segment), "least": F.min("x").over(segment), "most": F.max("x").over(segment)})
+    t = t.where("least < most").withColumn("j", F.explode(F.expr(f"sequence(i * {PARTS} div n, ((i + 1) * {PARTS} - 1) div n)")))
+    share = F.expr(f"(least((i + 1) * {PARTS}, (j + 1) * n) - greatest(i * {PARTS}, j * n)) / n")
+    v = t.groupBy("clip", "seg", "j").agg(F.sum(F.col("x") * share).alias("v"))
+    per = v.groupBy("clip", "seg").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("s")).select("clip", "seg", F.transform("s", lambda r: r["v"]).alias("x"))
+    q = per.orderBy("clip", "seg").first()
+    return per.select("clip", "seg", F.round(vec.pearson("x", list(q["x"]) if q else [0.0] * PARTS), 6).alias("score")).orderBy(F.desc_nulls_last("score"), "clip", "seg").limit(50)
+
+
 def curve_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arc-length curve features of segments of 256 frames (numerical integration, checked by tests)."""
     t = trajectories(spark, sf_dir).withColumn("seg", F.expr("frame div 256"))

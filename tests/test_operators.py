@@ -189,3 +189,13 @@ def test_recall(spark):
     ranked = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (1, 7, 3)], "query long, key long, rank long")
     rel = spark.createDataFrame([(1, 5), (1, 7), (2, 5)], "query long, key long")
     assert rows(search.recall_and_rank(ranked, rel, 2)) == [(1, 0.5, 1.0), (2, 0.0, None)]
+
+
+def test_whole_curves_differ_after_the_first_rows(spark):
+    from motionq.plans.motion import whole_curves
+
+    up = [float(i) for i in range(40)]
+    turned = up[:8] + [7.0 - i for i in range(32)]
+    rows = [(c, i, i, x) for c, xs in (("a", up), ("b", turned), ("c", up[:3]), ("d", [1.0, 1.0])) for i, x in enumerate(xs)]
+    score = {r.clip: r.score for r in whole_curves(spark.createDataFrame(rows, "clip string, frame long, id long, x double")).collect()}
+    assert score["a"] == 1.0 and score["b"] < 0 and 0.9 < score["c"] < 1.0 and "d" not in score
