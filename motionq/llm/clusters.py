@@ -193,10 +193,9 @@ def linked(points: DataFrame, radius: float = 6.0, with_degree: bool = False, **
     records, for those records that were looked at in more than one place.
     """
     cells = C.fit(points, radius, **sizes)
-    hot = {d: set(np.flatnonzero(b > 1).tolist()) for d, b in cells.blocks.items()}
 
     def work(t: pa.Table) -> pa.Table:
-        hot_cell = t.column("cell")[0].as_py() in hot.get(t.column("dim")[0].as_py(), ())
+        hot_cell = t.column("part")[0].as_py() >= 0
         ids, role, x = C.group(t)
         label = local_components(x, radius)
         asks, answers = (role & C.QUERY) > 0, (role & C.DATA) > 0

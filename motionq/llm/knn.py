@@ -3,10 +3,10 @@
 Vectors are brought together by overlapping cells (``cells``). Inside a cell they are rotated by a
 random orthogonal matrix and split into inverted lists. A query first scans its own list; its k-th
 distance then bounds everything that follows: further lists are probed only if their border is
-nearer than the bound, and inside a probed list the columns are scanned in blocks. After the first
+nearer than the bound, and inside a probed list the columns are scanned in blocks. After each
 block a hypothesis test (Gao and Long 2023: partial distance of t of D rotated columns against the
-bound times ``t / D * (1 + eps0 / sqrt(t))**2``) abandons most candidates; the others get further
-columns, and those left their exact distance.
+bound times ``t / D * (1 + eps0 / sqrt(t))**2``) abandons candidates; the others get further
+columns, and those left their exact distance. The own list is compared in full: it is what gives the bound.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from motionq.llm.shared import partitions, table
 LIST_ROWS, FIRST_COLUMNS = 192, 6
 #: Significance of the test: a true neighbour is abandoned with a chance of about 1e-5.
 EPS0 = 2.1
+#: One in so many asking records tells how many will ask in a cell.
+ASK_SAMPLE = 16
 #: Above this share of survivors a list is scanned on by whole column blocks, below it pair by pair.
 DENSE = 0.15
 
@@ -41,26 +43,35 @@ def _bound(limit2, t, width, eps0):
     return limit2 * min(1.0, t / width * (1 + eps0 / np.sqrt(t)) ** 2)
 
 
-def scan(x, xr, norms, q, m, limit2, slack, eps0):
-    """Pairs (position in ``q``, position in ``m``) not abandoned against ``limit2`` of each query."""
-    width = xr.shape[1]
-    t = max(FIRST_COLUMNS, width // 4)
-    if t >= width:
-        d2 = C.squared(x[q], x[m])
-        return np.nonzero(d2 <= (limit2 + slack)[:, None])
-    a, b = xr[q, :t], xr[m, :t]
-    part = norms[q][:, None] + norms[m][None] - 2 * (a @ b.T)
-    alive = part <= (_bound(limit2, t, width, eps0) + slack)[:, None]
-    if alive.mean() > DENSE:
-        a, b = xr[q, t:], xr[m, t:]
-        part += (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
-        return np.nonzero(part <= (limit2 + slack)[:, None])
+def blocks(width: int) -> list[tuple[int, int]]:
+    """The column blocks that are scanned one after the other."""
+    t = min(width, max(FIRST_COLUMNS, width // 4))
+    return [(at, min(at + t, width)) for at in range(0, width, t)]
+
+
+def scan(xr, norms, q, m, limit2, slack, eps0):
+    """Pairs (position in ``q``, position in ``m``) not abandoned against ``limit2`` of each query.
+
+    After every block of columns the test drops pairs: whole blocks are multiplied while many are left, then pair by pair.
+    """
+    width, total, rest = xr.shape[1], 0, blocks(xr.shape[1])
+    while rest:
+        (s, e), rest = rest[0], rest[1:]
+        n = norms[s]
+        total = total + (n[q][:, None] + n[m][None] - 2 * (xr[q, s:e] @ xr[m, s:e].T))
+        alive = total <= (_bound(limit2, e, width, eps0) + slack)[:, None]
+        if alive.mean() <= DENSE:
+            break
     i, j = np.nonzero(alive)
-    u = min(width, 2 * t)
-    step = xr[q[i], t:u] - xr[m[j], t:u]
-    total = part[i, j] + np.einsum("ij,ij->i", step, step)
-    keep = total <= _bound(limit2, u, width, eps0)[i] + slack[i]
-    return i[keep], j[keep]
+    total = total[i, j]
+    for s, e in rest:
+        if not len(i):
+            break
+        step = xr[q[i], s:e] - xr[m[j], s:e]
+        total = total + np.einsum("ij,ij->i", step, step)
+        keep = total <= _bound(limit2, e, width, eps0)[i] + slack[i]
+        i, j, total = i[keep], j[keep], total[keep]
+    return i, j
 
 
 def neighbours(x: np.ndarray, ids: np.ndarray, asks: np.ndarray, answers: np.ndarray, k: int, radius: float, eps0: float = EPS0, list_rows: int = LIST_ROWS):
@@ -71,8 +82,7 @@ def neighbours(x: np.ndarray, ids: np.ndarray, asks: np.ndarray, answers: np.nda
         return empty
     x = x - np.median(x, axis=0)
     xr = x @ rotation(width)
-    t = max(FIRST_COLUMNS, width // 4)
-    norms = (xr[:, :t] ** 2).sum(1)
+    norms = {a: (xr[:, a:b] ** 2).sum(1) for a, b in blocks(width)}
     slack = 1e-9 + 1e-11 * (x * x).sum(1)
     lists = max(1, n // list_rows)
     centres = C.kmeans(x, lists, rounds=2, seed=width) if lists > 1 else x[:1]
@@ -110,7 +120,7 @@ def neighbours(x: np.ndarray, ids: np.ndarray, asks: np.ndarray, answers: np.nda
             q, m = asking[reach[:, c]], members[c][answers[members[c]]]
             for some in np.array_split(q, max(1, len(q) * len(m) // 2_000_000)):
                 if len(some) and len(m):
-                    take(some, m, *scan(x, xr, norms, some, m, limit2[some], slack[some], eps0))
+                    take(some, m, *scan(xr, norms, some, m, limit2[some], slack[some], eps0))
     i, j, d = (np.concatenate(part) for part in zip(*found, strict=True)) if found else empty
     if not len(i):
         return empty
@@ -155,78 +165,29 @@ def nearest(points: DataFrame, k: int = 5, radius: float = 6.0, eps0: float = EP
     0 are neighbours. Loss: each test abandons a true neighbour with a chance of about 1e-5.
     """
     cells = C.fit(points, radius, **sizes)
-    hot = {d: np.flatnonzero(b > 1) for d, b in cells.blocks.items()}
 
     def work(t: pa.Table) -> pa.Table:
-        hot_cell = t.column("cell")[0].as_py() in hot.get(t.column("dim")[0].as_py(), ())
+        hot_cell = t.column("part")[0].as_py() >= 0
         ids, role, x = C.group(t)
         i, j, d = neighbours(x, ids, (role & C.QUERY) > 0, (role & C.DATA) > 0, k, radius, eps0)
         return pa.table({"id": ids[i], "other": ids[j], "distance": d, "hot": np.full(len(i), hot_cell)})
 
     rows = C.assign(points, cells).groupBy("dim", "cell", "part").applyInArrow(work, "id long, other long, distance double, hot boolean")
-    if not any(len(h) for h in hot.values()):
+    if cells.inner is None:  # no cell is hot
         return rows.drop("hot")
     by_id = Window.partitionBy("id").orderBy("distance")
     merged = rows.where("hot").withColumn("place", F.rank().over(by_id)).where(F.col("place") <= k)
     return rows.where("not hot").drop("hot").unionByName(merged.drop("hot", "place"))
 
 
-def _asked(batches, cells: C.Cells, splits: dict[int, np.ndarray] | None):
-    """Open records into every cell but their own whose border is within their bound; None: only their number."""
-    for batch in batches:
-        ids, bound = batch.column("id").to_numpy(), batch.column("bound").to_numpy()
-        dimension = np.asarray(batch.column("dimension").to_numpy(zero_copy_only=False), float)
-        for width, rows, x in C.usable(ids, dimension, batch.column("coords")):
-            centres = cells.centres.get(width)
-            if centres is None or len(centres) == 1:
-                continue  # one cell was the whole dimension
-            d2 = C.squared(x, centres)
-            home = d2.argmin(1)
-            gap = C.border(d2, home, centres)
-            slack = 1e-6 + 1e-12 * (x * x).sum(1)
-            reach = gap <= (bound[rows] * (1 + 1e-9) + slack)[:, None]
-            clear = ((gap <= slack[:, None]).sum(1) == 1)  # else the home may have been the other one
-            reach[np.flatnonzero(clear), home[clear]] = False
-            if splits is None:
-                count = reach.sum(0)
-                yield pa.RecordBatch.from_pydict({"dim": np.full(len(count), width, np.int32), "cell": np.arange(len(count), dtype=np.int32), "n": count.astype(np.int64)})
-                continue
-            at, cell = np.nonzero(reach)
-            b = cells.blocks[width][cell]
-            part = ids[rows][at] % splits[width][cell] * b
-            again = np.repeat(np.arange(len(at)), b)
-            part = part[again] + np.arange(len(again)) - np.repeat(np.cumsum(b) - b, b)
-            yield _rows(width, x, ids[rows], at[again], cell[again], part, C.QUERY, bound[rows])
-
-
-def _answering(batches, cells: C.Cells, splits: dict[int, np.ndarray]):
-    """Every record into its own cell, once for each part of the records asking there."""
-    for batch in batches:
-        ids = batch.column("id").to_numpy()
-        dimension = np.asarray(batch.column("dimension").to_numpy(zero_copy_only=False), float)
-        for width, rows, x in C.usable(ids, dimension, batch.column("coords")):
-            if width in splits:
-                cell = C.squared(x, cells.centres[width]).argmin(1)
-                b, n = cells.blocks[width][cell], splits[width][cell]
-                at = np.repeat(np.arange(len(x)), n)
-                part = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) * b[at] + (ids[rows] % b)[at]
-                yield _rows(width, x, ids[rows], at, cell[at], part, C.DATA, np.zeros(len(x)))
-
-
-def _rows(width, x, ids, at, cell, part, role, bound):
-    enc, packed = C.pack(x)
-    columns = [np.full(len(at), width, np.int32), cell.astype(np.int32), part.astype(np.int32), ids[at].astype(np.int64), np.full(len(at), role, np.int8), enc[at]]
-    names = [*(f.split()[0] for f in C.SCHEMA.split(", ")), "bound"]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(packed[at], pa.binary()), pa.array(bound[at])], names=names)
-
-
 def nearest_all(points: DataFrame, k: int = 5, radius: float = 6.0, ask_rows: int = C.HOT_ROWS, **sizes: int) -> DataFrame:
     """``(id, other, distance)``: the k nearest other records however far, and ties with the k-th.
 
     As ``nearest``, but ``radius`` only says how far rows are copied at first. Records that find k so near are
     done; the k-th distance of the others inside their own cell bounds their search, and they are sent to all
     cells whose border is nearer (without k in their cell: to all). Only a record whose dimension holds k others
-    or fewer has fewer than k rows. Cells asked by more than ``ask_rows`` records are worked in parts.
+    or fewer has fewer than k rows. Cells expected (by one in ASK_SAMPLE of the asking records) to be asked by more than
+    ``ask_rows`` records are worked in parts.
     """
     cells = C.fit(points, radius, **sizes)
 
@@ -246,18 +207,21 @@ def nearest_all(points: DataFrame, k: int = 5, radius: float = 6.0, ask_rows: in
     by_id = Window.partitionBy("id").orderBy("distance")
     best = lambda df: df.where("other is not null").withColumn("place", F.rank().over(by_id)).where(F.col("place") <= k).drop("place")
     first = C.assign(points, cells).groupBy("dim", "cell", "part").applyInArrow(work, schema)
-    if all(len(c) == 1 for c in cells.centres.values()):
+    if cells.inner is None and all(len(c) == 1 for c in cells.centres.values()):
         return best(first)
     first = table(first)
     kth = F.get(F.array_sort(F.collect_list("distance")), F.lit(k - 1))
     nearby = best(first)
     bounds = first.select("id").distinct().join(nearby.groupBy("id").agg(kth.alias("bound")), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     records = points.where("id is not null").select("id", "dimension", "coords")
-    waiting = table(records.join(bounds.where(F.col("bound") > radius), "id"))
-    counted = waiting.mapInArrow(lambda it: _asked(it, cells, None), "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect()
-    splits = {d: np.zeros(len(c), np.int64) for d, c in cells.centres.items() if len(c) > 1}
-    for r in counted:
-        splits[r.dim][r.cell] = -(-r.n // ask_rows)
+    waiting = table(records.join(bounds.where(F.col("bound") > radius), "id").withColumn("bound", F.col("bound") + 2e-6))  # bounds are rounded
+    some = waiting.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(ASK_SAMPLE)) == 0)
+    by = ["dim", "cell", "part"]
+    crowds = C.route(some, cells, "ask").groupBy(*by).agg(F.ceil(F.count("*") * ASK_SAMPLE / ask_rows).cast("int").alias("crowd"))
+    crowds = table(crowds.where("crowd > 1"))
+    n = F.coalesce("crowd", F.lit(1))
+    asked = C.route(waiting, cells, "ask").join(crowds, by, "left").withColumn("turn", F.pmod(F.xxhash64("id"), n).cast("int")).drop("crowd")
+    answering = C.route(records, cells, "answer").join(crowds, by, "left").withColumn("turn", F.explode(F.sequence(F.lit(0), n - 1))).drop("crowd")
 
     def rest(t: pa.Table) -> pa.Table:
         width, role, ids = t.column("dim")[0].as_py(), t.column("role").to_numpy(), t.column("id").to_numpy()
@@ -267,11 +231,8 @@ def nearest_all(points: DataFrame, k: int = 5, radius: float = 6.0, ask_rows: in
         i, j, d = closest(x[q], ids[q], x[m], ids[m], bound[q] ** 2, k)
         return pa.table({"id": ids[q[i]], "other": ids[m[j]], "distance": d})
 
-    parts = sum(int((n * cells.blocks[d]).sum()) for d, n in splits.items())
-    schema2 = C.SCHEMA + ", bound double"
-    meeting = waiting.mapInArrow(lambda it: _asked(it, cells, splits), schema2).unionByName(records.mapInArrow(lambda it: _answering(it, cells, splits), schema2))
-    meeting = meeting.repartition(partitions(points.sparkSession, min(parts, 4000)), "dim", "cell", "part")
-    further = meeting.groupBy("dim", "cell", "part").applyInArrow(rest, schema)
+    meeting = asked.unionByName(answering).repartition(partitions(points.sparkSession, cells.expected // C.CELL_ROWS), *by, "turn")
+    further = meeting.groupBy(*by, "turn").applyInArrow(rest, schema)
     return best(first.unionByName(further).distinct())
 
 

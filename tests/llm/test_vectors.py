@@ -42,7 +42,7 @@ def brute(rows, radius):
     return ids, near
 
 
-SIZES = [{}, {"cell_rows": 40}, {"cell_rows": 40, "hot_rows": 20}]
+SIZES = [{}, {"cell_rows": 40}, {"cell_rows": 40, "hot_rows": 20}, {"cell_rows": 20, "hot_rows": 60, "most": 2}, {"cell_rows": 8, "hot_rows": 12, "most": 3}]
 
 
 @pytest.mark.parametrize("sizes", SIZES)
@@ -58,7 +58,7 @@ def test_nearest(spark, sizes):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("sizes", [*SIZES, {"cell_rows": 40, "hot_rows": 20, "ask_rows": 15}])
+@pytest.mark.parametrize("sizes", [*SIZES, {"cell_rows": 40, "hot_rows": 20, "ask_rows": 15}, {"cell_rows": 8, "hot_rows": 12, "most": 3, "ask_rows": 15}])
 def test_nearest_however_far(spark, sizes):
     df, rows = points(spark)
     ids, near = brute(rows, float("inf"))
