@@ -167,13 +167,13 @@ def test_varied_subset(spark):
     assert {r.id for r in quota.varied(df, 10_000).collect()} == set(ids)
 
 
-@pytest.mark.parametrize("fine", [1024, 8])
-def test_varied_subset_covers_what_a_sample_misses(spark, fine):
+@pytest.mark.parametrize("nodes", [512, 4])
+def test_varied_subset_covers_what_a_sample_misses(spark, nodes):
     rng = np.random.default_rng(8)
     crowd = [(i, 6, np.round(rng.normal(0, 1, 6), 2).tolist()) for i in range(1500)]
     sparse = [np.round(rng.uniform(-900, 900, 6), 2) for _ in range(60)]
     twos = [(2000 + 2 * n + m, 6, (c + m).tolist()) for n, c in enumerate(sparse) for m in (0, 1)]
     df = spark.createDataFrame(crowd + twos, "id long, dimension int, coords array<double>")
-    got = [r.id for r in quota.varied(df, 100, fine=fine, sample_rows=150).collect()]
+    got = [r.id for r in quota.varied(df, 100, nodes=nodes, sample_rows=150).collect()]
     assert len(got) == len(set(got)) == 100
     assert {(i - 2000) // 2 for i in got if i >= 2000} == set(range(60))
