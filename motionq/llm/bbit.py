@@ -1,7 +1,7 @@
 """Near-duplicate records by b-bit MinHash.
 
 A record is the multiset of its values; the j-th occurrence of a value is one token. ``BANDS * ROWS``
-minima give the band keys; their two lowest bits, packed into three 64-bit words, are the b-bit
+minima give the band keys; their two lowest bits, packed into two 64-bit words, are the b-bit
 signature. Records (that is, classes of equal multisets) that share a band key are candidates; the
 similarity estimated from bit counts, corrected for chance collisions of b bits, drops most; the
 rest is verified exactly, and components of the links are the groups.
@@ -11,22 +11,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionq.llm import buckets
 from motionq.llm import cells as C
-from motionq.llm.shared import components, list_parts, table
+from motionq.llm.shared import components, dropped, list_parts, table
 
 #: A pair of similarity 0.8 shares no band with a chance of 7e-5, one of 0.85 of 2e-6.
 BANDS, ROWS = 18, 4
 #: Minima of which two bits each are kept; WORDS * 32 of the BANDS * ROWS.
 BITS, WORDS = 2, 2
 SLOTS = WORDS * 64 // BITS
-#: Bits of a band key, and of a content key in candidate rows: few bytes to shuffle. What meets by
-#: chance there is told apart by verification.
+#: Least bits of a band key, and of a content key in candidate rows: few bytes to shuffle. What meets by
+#: chance there is told apart by verification. More rows take more bits (see ``key_bits``).
 KEY_BITS = 40
-ALIAS = (1 << KEY_BITS) - 1
 #: Candidates estimated this far below the threshold are dropped (five standard deviations).
 MARGIN = 0.3
 
@@ -98,14 +97,19 @@ def minima(token: np.ndarray, count: int = BANDS * ROWS, seed: int = 5) -> np.nd
     return out ^ (out >> np.uint32(16))  # the low bits of a product are poor
 
 
-def band_keys(low: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """KEY_BITS-bit keys, one row for each band."""
+def key_bits(rows: int) -> int:
+    """Bits of a key with which a row of ``rows`` shares its bucket by chance once in 256 times at most."""
+    return min(64, max(KEY_BITS, int(rows).bit_length() + 8))
+
+
+def band_keys(low: np.ndarray, bands: int = BANDS, rows: int = ROWS, width: int = KEY_BITS) -> np.ndarray:
+    """Keys of ``width`` bits, one row for each band."""
     out = np.empty((bands, low.shape[1]), np.uint64)
     for b in range(bands):
         key = np.full(low.shape[1], b + 1, np.uint64)
         for r in range(rows):
             key = _mix(key + low[b * rows + r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        out[b] = key >> np.uint64(64 - KEY_BITS)
+        out[b] = key >> np.uint64(64 - width)
     return out
 
 
@@ -144,15 +148,16 @@ def _by_size(batch):
         yield rows, C.unpack(enc[rows], batch.column("v").take(pa.array(rows)), int(size))
 
 
-def _bands(batches):
+def _bands(batches, width):
+    alias = np.int64(-1 if width == 64 else (1 << width) - 1)
     for batch in batches:
         k = batch.column("k").to_numpy()
         _, first = np.unique(k, return_index=True)  # copies meet here already
         batch, k = batch.take(pa.array(first)), k[first]
         for rows, x in _by_size(batch):
-            keys = band_keys(minima(tokens(x)))
-            high = (keys << np.uint64(64 - KEY_BITS)).view(np.int64)  # zero bytes together: compresses better
-            yield pa.RecordBatch.from_arrays([pa.array(high.ravel()), pa.array(np.tile(k[rows] & ALIAS, BANDS))], names=["bucket", "k"])
+            keys = band_keys(minima(tokens(x)), width=width)
+            high = (keys << np.uint64(64 - width)).view(np.int64)  # zero bytes together: compresses better
+            yield pa.RecordBatch.from_arrays([pa.array(high.ravel()), pa.array(np.tile(k[rows] & alias, BANDS))], names=["bucket", "k"])
 
 
 def _signed(batches):
@@ -212,13 +217,17 @@ def _verified(batches, threshold):
         yield pa.RecordBatch.from_arrays([pa.array(col("a")[ok]), pa.array(col("b")[ok])], names=["a", "b"])
 
 
-def signed(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+def _alias(width: int) -> Column:
+    return F.col("k").bitwiseAND(F.lit(-1 if width == 64 else (1 << width) - 1))
+
+
+def signed(pairs: DataFrame, contents: DataFrame, width: int = KEY_BITS) -> DataFrame:
     """Contents, with signature and alias ``p``, of all that occurs in candidate ``pairs`` of aliases."""
     nodes = pairs.select(F.col("a").alias("p")).union(pairs.select(F.col("b").alias("p"))).distinct()
-    known = contents.select("k", "n", "enc", "v", F.col("k").bitwiseAND(F.lit(ALIAS)).alias("p"))
+    known = contents.select("k", "n", "enc", "v", _alias(width).alias("p"))
     known = known.join(nodes, "p", "left_semi").dropDuplicates(["p", "k"])  # p is part of k: no further shuffle
     known = known.select("k", "n", "enc", "v").mapInArrow(_signed, SIGNED)
-    return table(known.withColumn("p", F.col("k").bitwiseAND(F.lit(ALIAS))))
+    return table(known.withColumn("p", _alias(width)))
 
 
 def verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
@@ -304,8 +313,11 @@ def near_duplicates(points: DataFrame, threshold: float = 0.8, big: int = bucket
     smallest node first; what stays in different components is then compared in blocks, in place.
     """
     contents = table(points.where("id is not null").select("id", "coords").mapInArrow(_contents, "id long, k long, n int, enc tinyint, v binary"))
-    rows = contents.select("k", "n", "enc", "v").mapInArrow(_bands, "bucket long, k long")
-    found = table(buckets.collide(rows, contents.count() * BANDS, big=big))
+    total = contents.count()
+    width = key_bits(total * BANDS)
+    keyed = contents.select("k", "n", "enc", "v")
+    banded = lambda df: df.mapInArrow(lambda it: _bands(it, width), "bucket long, k long")
+    found = table(buckets.collide(banded(keyed), total * BANDS, big=big, crowded=buckets.crowds(keyed, banded, total, big)))
     pairs = found.where("bucket is null").select("a", "b")
     large = found.where("bucket is not null").select("bucket", F.col("a").alias("p"))
     some = bool(large.head(1))
@@ -313,10 +325,11 @@ def near_duplicates(points: DataFrame, threshold: float = 0.8, big: int = bucket
         star = large.join(large.groupBy("bucket").agg(F.min("p").alias("q")), "bucket").where("p <> q")
         pairs = pairs.unionByName(star.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
     pairs = table(pairs.distinct())
-    known = signed(pairs, contents)
+    known = signed(pairs, contents, width)
     links = table(verify(pairs, known, threshold))
     if some:
         links = links.unionByName(_inside(large, links, known, threshold, block))
+    dropped(found, pairs, known)
     roots = components(links).select(F.col("id").alias("k"), "root")
     classes = contents.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     tied = classes.join(roots, "k", "left").where("root is not null or lo < hi")  # the others are alone
@@ -331,7 +344,7 @@ def _inside(large: DataFrame, links: DataFrame, known: DataFrame, threshold: flo
 
     First every bucket is cut into blocks of about ``block`` nodes, each searched for itself, which joins
     nearly all of a dense group. Then the nodes outside the largest component of their bucket (the guests) visit all
-    blocks of it, so that every pair of different components has met.
+    blocks of it, in groups of a block's size, so that every pair of different components has met.
     """
     rows = table(large.join(known, "p").drop("p"))
     count = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -341,13 +354,18 @@ def _inside(large: DataFrame, links: DataFrame, known: DataFrame, threshold: flo
         roots = components(links).select(F.col("id").alias("k"), "root")
         named = table(rows.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")))
         sizes = named.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-        first = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("roots"))
+        first = sizes.groupBy("bucket").agg(
+            F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("roots"), F.ceil((F.sum("size") - F.max("size")) / block).cast("int").alias("groups")
+        )
         return named.join(first.where("roots > 1").drop("roots"), "bucket")
 
     schema = "a long, b long"
-    found = table(mixed(links).drop("largest").groupBy("bucket", "o").applyInArrow(lambda t: _in_block(t, threshold), schema))
+    first = mixed(links)
+    found = table(first.drop("largest", "groups").groupBy("bucket", "o").applyInArrow(lambda t: _in_block(t, threshold), schema))
     named = table(mixed(links.unionByName(found)))
-    guests = named.where("root <> largest").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    visits = guests.withColumn("guest", F.lit(True)).unionByName(named.withColumn("guest", F.lit(False))).drop("largest", "blocks")
-    more = table(visits.groupBy("bucket", "o").applyInArrow(lambda t: _to_block(t, threshold), schema))
+    guests = named.where("root <> largest").withColumns({"o": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "g": F.pmod(F.xxhash64("k", F.lit(1)), F.col("groups")).cast("int")})
+    hosts = named.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    visits = guests.withColumn("guest", F.lit(True)).unionByName(hosts.withColumn("guest", F.lit(False))).drop("largest", "blocks", "groups")
+    more = table(visits.groupBy("bucket", "o", "g").applyInArrow(lambda t: _to_block(t, threshold), schema))
+    dropped(rows, named)
     return found.unionByName(more)

@@ -9,6 +9,7 @@ Pieces of any length thus cost n log n. Pieces seen before in a task are looked
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,12 +110,12 @@ class Encoder:
         return out
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple[bytes, str], Encoder] = {}
 
 
 def encoder(ranks: bytes, pattern: str) -> Encoder:
     """One encoder for a worker process and vocabulary."""
-    key = hash((len(ranks), ranks[:64], ranks[-64:], pattern))
+    key = hashlib.sha256(ranks).digest(), pattern
     if key not in _encoders:
         _encoders[key] = Encoder(ranks, pattern)
     return _encoders[key]

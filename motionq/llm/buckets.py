@@ -2,7 +2,8 @@
 
 Rows ``(bucket, k, f)`` are hash partitioned and sorted by bucket, then streamed. Buckets of at most
 BIG keys give their pairs; the rows of larger ones come out as such, for ``block_pairs`` to spread
-over tasks that each compare two blocks of at most about BLOCK keys.
+over tasks that each compare two blocks of at most about BLOCK keys. Buckets that a sample shows to
+be crowded are large from the start: their rows are spread by key and meet no single task.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from motionq.llm.shared import partitions
 BIG, BLOCK = 128, 2048
 #: Rows that one task should sort.
 TASK_ROWS = 4_000_000
+#: Keys of the sample that shows crowded buckets, how many of them must share one, and most such buckets.
+SAMPLE_KEYS, CROWD, MOST_CROWDED = 20_000, 20, 10_000
 FOUND = "bucket long, a long, b long, f int"
 
 
@@ -31,7 +34,7 @@ def _batch(bucket, a, b, f):
     )
 
 
-def _stream(batches, fits, big):
+def _stream(batches, fits, big, crowded):
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     over = None  # the bucket that is being passed on as large
     for batch in batches:
@@ -53,23 +56,29 @@ def _stream(batches, fits, big):
                 bucket, k, f = bucket[more:], k[more:], f[more:]
             over = None
         last = len(k) - int((bucket[::-1] != bucket[-1]).argmax()) if (bucket != bucket[-1]).any() else 0
-        if len(k) - last > big:
+        if len(k) - last > big or _among(bucket[-1:], crowded)[0]:
             over = bucket[-1]
             yield _batch(bucket[last:], k[last:], None, f[last:])
             held = [x[:0] for x in (bucket, k, f)]
         else:
             held = [bucket[last:], k[last:], f[last:]]
-        yield from _groups(bucket[:last], k[:last], f[:last], fits, big)
-    yield from _groups(*held, fits, big)
+        yield from _groups(bucket[:last], k[:last], f[:last], fits, big, crowded)
+    yield from _groups(*held, fits, big, crowded)
 
 
-def _groups(bucket, k, f, fits, big):
+def _among(bucket: np.ndarray, crowded: np.ndarray) -> np.ndarray:
+    if not len(crowded):
+        return np.zeros(len(bucket), bool)
+    return crowded[np.minimum(np.searchsorted(crowded, bucket), len(crowded) - 1)] == bucket
+
+
+def _groups(bucket, k, f, fits, big, crowded):
     if not len(k):
         return
     start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     size = np.diff(np.append(start, len(k)))
     spread = np.repeat(size, size)
-    large = spread > big
+    large = (spread > big) | _among(bucket, crowded)
     if large.any():
         yield _batch(bucket[large], k[large], None, f[large])
     small = np.flatnonzero((spread > 1) & ~large)
@@ -84,15 +93,31 @@ def _groups(bucket, k, f, fits, big):
             yield _batch(None, np.minimum(k[at], k[at + step]), np.maximum(k[at], k[at + step]), None)
 
 
-def collide(rows: DataFrame, expected: int, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, big: int = BIG) -> DataFrame:
+def crowds(keys: DataFrame, to_rows: Callable[[DataFrame], DataFrame], total: int, big: int = BIG) -> list[int]:
+    """Buckets that many of a bounded sample of ``keys(k, ...)`` fall into; ``to_rows`` gives the bucket rows of keys.
+
+    Only where rows are sent depends on it, never which pairs are found.
+    """
+    share = min(1.0, SAMPLE_KEYS / max(total, 1))
+    if total <= big:
+        return []
+    some = keys.where(F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1 << 30)) <= int(share * (1 << 30))).dropDuplicates(["k"])
+    counts = to_rows(some).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > max(CROWD, big * share))
+    return sorted(r.bucket for r in counts.orderBy(F.desc("n"), "bucket").limit(MOST_CROWDED).collect())
+
+
+def collide(rows: DataFrame, expected: int, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, big: int = BIG, crowded: list[int] | None = None) -> DataFrame:
     """FOUND rows: pairs ``(null, a, b, null)``, ``a < b``, and rows of large buckets ``(bucket, k, null, f)``.
 
     ``rows`` has ``bucket``, ``k`` and may have ``f``, which ``fits`` needs: ``fits(f of one, f of other)`` may refuse pairs and must be symmetric. Pairs may repeat.
+    ``crowded`` buckets (see ``crowds``) count as large whatever their size.
     """
     fits = fits or (lambda a, b: np.ones(len(a), bool))
     n = partitions(rows.sparkSession, -(-expected // TASK_ROWS))
-    rows = rows.select("bucket", "k", *[c for c in rows.columns if c == "f"]).repartition(n, "bucket").sortWithinPartitions("bucket", "k")
-    return rows.mapInArrow(lambda it: _stream(it, fits, big), FOUND)
+    rows = rows.select("bucket", "k", *[c for c in rows.columns if c == "f"])
+    place = F.when(F.col("bucket").isin(crowded), F.xxhash64("bucket", "k")).otherwise(F.col("bucket")) if crowded else F.col("bucket")
+    known = np.array(crowded or [], np.int64)
+    return rows.repartition(n, place).sortWithinPartitions("bucket", "k").mapInArrow(lambda it: _stream(it, fits, big, known), FOUND)
 
 
 def block_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -28,6 +28,8 @@ SAMPLE = 2_000
 LENGTHS, CANDIDATE = (1, 2, 3), 0.5
 #: Combinations that one set may make at most for its own size.
 MOST = 20_000
+#: Combinations made at once, and how often the sets of crowded combinations are joined again on longer ones.
+BATCH_KEYS, ROUNDS = 1_000_000, 2
 
 
 def as_sets(df: DataFrame, key: str, values: str = "h", empty: int | None = -1) -> DataFrame:
@@ -113,7 +115,7 @@ def _length(size: int, chosen: dict[int, int], threshold: float) -> int:
 
 def _combinations(batches, order: Order, chosen: dict[int, int], threshold: float):
     for batch in batches:
-        k = batch.column("c").to_numpy()
+        k = batch.column("k").to_numpy()
         for size, rows, x in _matrices(batch.column("s")):
             x = order.sort(x).astype(np.int64).astype(np.uint64)
             own = _length(size, chosen, threshold)
@@ -124,17 +126,20 @@ def _combinations(batches, order: Order, chosen: dict[int, int], threshold: floa
                 if not q:  # no partner of a size that asks for so many
                     continue
                 picks = np.array(list(combinations(range(q), length)))
-                key = np.full((len(rows), len(picks)), length, np.uint64)
-                for l in range(length):
-                    key = key * np.uint64(0x9E3779B97F4A7C15) + x[:, picks[:, l]]
-                    key ^= key >> np.uint64(29)
-                    key *= np.uint64(0xBF58476D1CE4E5B9)
                 index = (picks < p).all(1).astype(np.int32)
-                flag = np.broadcast_to(size * 2 + index, key.shape)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(k[rows], len(picks))), pa.array(flag.ravel().astype(np.int32))],
-                    names=["bucket", "k", "f"],
-                )
+                step = max(1, BATCH_KEYS // len(picks))
+                for at in range(0, len(rows), step):
+                    some = x[at : at + step]
+                    key = np.full((len(some), len(picks)), length, np.uint64)
+                    for l in range(length):
+                        key = key * np.uint64(0x9E3779B97F4A7C15) + some[:, picks[:, l]]
+                        key ^= key >> np.uint64(29)
+                        key *= np.uint64(0xBF58476D1CE4E5B9)
+                    flag = np.broadcast_to(size * 2 + index, key.shape)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(k[rows[at : at + step]], len(picks))), pa.array(flag.ravel().astype(np.int32))],
+                        names=["bucket", "k", "f"],
+                    )
 
 
 def _fits(threshold: float):
@@ -174,26 +179,53 @@ def _in_blocks(t: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
 
-def class_pairs(classes: DataFrame, threshold: float, big: int = buckets.BIG, block: int = buckets.BLOCK, lengths: dict[int, int] | None = None) -> DataFrame:
-    """``(a, b)``, ``a < b``: keys of different sets of ``classes(c, s)`` with Jaccard similarity >= threshold."""
+def class_pairs(classes: DataFrame, threshold: float, big: int = buckets.BIG, block: int = buckets.BLOCK, lengths: dict[int, int] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """``(a, b)``, ``a < b``: keys of different sets of ``classes(c, s)`` with Jaccard similarity >= threshold.
+
+    Sets that share a combination with more than ``big`` others are joined again among themselves, asking for one more
+    shared token, up to ``rounds`` times; only what is crowded even then is compared in pairs of blocks.
+    """
     total = classes.select(F.sum(F.size("s")).alias("n"), F.count("*").alias("c")).first()
     if not total.c:
         return classes.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0)
     counts = classes.select(F.explode("s").alias("v")).groupBy("v").agg(F.count("*").alias("n"))
     order = Order(counts.where(F.col("n") >= total.n / HEAVY).toArrow())  # at most HEAVY rows
     chosen = lengths or choose(classes.orderBy(F.xxhash64("c")).limit(SAMPLE).toArrow(), order, total.c, threshold)
-    rows = classes.mapInArrow(lambda it: _combinations(it, order, chosen, threshold), "bucket long, k long, f int")
-    found = table(buckets.collide(rows, total.c * 60, _fits(threshold), big))
-    pairs = table(found.where("bucket is null").select("a", "b").distinct())
-    both = F.size(F.array_intersect("x", "y"))
-    checked = pairs.join(classes.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(classes.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
-    similar = checked.where(both >= threshold * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+    found = _meeting(classes, order, chosen, threshold, total.c, big)
+    similar = [_checked(found, classes, threshold)]
     large = found.where("bucket is not null").select("bucket", F.col("a").alias("k"), "f")
+    while large.head(1) and rounds:
+        crowded = table(classes.join(large.select(F.col("k").alias("c")).distinct(), "c", "left_semi"))
+        longer = {size: length + 1 for size, length in chosen.items()}
+        sizes = [r.n for r in crowded.select(F.size("s").alias("n")).distinct().collect()]  # distinct sizes only
+        if all(_length(n, longer, threshold) == _length(n, chosen, threshold) for n in sizes):
+            break  # no longer combinations
+        chosen, rounds = longer, rounds - 1
+        found = _meeting(crowded, order, chosen, threshold, crowded.count(), big)
+        similar.append(_checked(found, crowded, threshold))
+        large = found.where("bucket is not null").select("bucket", F.col("a").alias("k"), "f")
     if large.head(1):
         large = large.join(classes.select(F.col("c").alias("k"), "s"), "k")
         blocks = buckets.block_pairs(large, block)
-        similar = similar.unionByName(blocks.groupBy("bucket", "i", "j").applyInArrow(lambda t: _in_blocks(t, threshold), "a long, b long")).distinct()
-    return similar
+        similar.append(blocks.groupBy("bucket", "i", "j").applyInArrow(lambda t: _in_blocks(t, threshold), "a long, b long"))
+    out = similar[0]
+    for more in similar[1:]:
+        out = out.unionByName(more)
+    return out if len(similar) == 1 else out.distinct()
+
+
+def _meeting(classes: DataFrame, order: Order, chosen: dict[int, int], threshold: float, total: int, big: int) -> DataFrame:
+    combined = lambda df: df.mapInArrow(lambda it: _combinations(it, order, chosen, threshold), "bucket long, k long, f int")
+    keyed = classes.select(F.col("c").alias("k"), "s")
+    return table(buckets.collide(combined(keyed), total * 60, _fits(threshold), big, buckets.crowds(keyed, combined, total, big)))
+
+
+def _checked(found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The similar ones of the candidate pairs."""
+    pairs = table(found.where("bucket is null").select("a", "b").distinct())
+    both = F.size(F.array_intersect("x", "y"))
+    checked = pairs.join(classes.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(classes.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
+    return checked.where(both >= threshold * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
 
 
 def similar_pairs(sets: DataFrame, threshold: float = 0.7, **options) -> DataFrame:

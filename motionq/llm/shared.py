@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[str] = []
+_written: set[str] = set()
+#: Path by identity of the DataFrame; modules travel to tasks by value, so nothing here may hold a DataFrame.
+_path_of: dict[int, str] = {}
 _own: list[str] = []
 
 
@@ -43,8 +45,24 @@ def table(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(clean, before)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.add(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _path_of[id(out)] = path
+    return out
+
+
+def _delete(spark: SparkSession, paths) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        _written.discard(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables (of ``table``) that no plan still to run reads."""
+    for t in tables:
+        _delete(t.sparkSession, [p for p in [_path_of.pop(id(t), None)] if p])
 
 
 @atexit.register
@@ -53,10 +71,7 @@ def _clean() -> None:
     if spark is None or spark.sparkContext._jsc is None:
         return
     try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _written:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        _delete(spark, list(_written))
     except Exception:  # noqa: BLE001 - the session may be going down
         pass
 
@@ -118,16 +133,18 @@ def components(edges: DataFrame, small: int = 2_000_000) -> DataFrame:
         levels.append(hook)
         left = hook.select("a", F.col("to").alias("ta"))
         right = hook.select(F.col("a").alias("b"), F.col("to").alias("tb"))
-        edges = table(
+        before, edges = edges, table(
             edges.join(left, "a").join(right, "b").where("ta <> tb")
             .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
         )
+        dropped(before)
     found = edges.repartition(1).mapInArrow(_finish, "id long, root long")
     if not levels:
         return found
     for hook in reversed(levels):
         up = hook.select(F.col("a").alias("id"), "to").join(found.select(F.col("id").alias("to"), "root"), "to", "left")
-        found = table(up.select("id", F.coalesce("root", "to").alias("root")))
+        before, found = found, table(up.select("id", F.coalesce("root", "to").alias("root")))
+        dropped(before, hook)
     least = found.groupBy("root").agg(F.min("id").alias("least"))
     return found.join(least, "root").select("id", F.col("least").alias("root"))
 

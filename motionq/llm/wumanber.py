@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+import uuid
 from collections import Counter
 
 import pyarrow as pa
@@ -80,8 +81,20 @@ class Searcher:
         return hits
 
 
-def _search(batches, items, span):
-    searcher = Searcher(items.value, span)
+_searchers: dict[tuple[str, int], Searcher] = {}
+
+
+def searcher_of(items, span: int, name: str) -> Searcher:
+    """The searcher of a pass, built once for a worker process; that of an earlier pass makes room."""
+    key = name, span
+    if key not in _searchers:
+        _searchers.clear()
+        _searchers[key] = Searcher(items.value, span)
+    return _searchers[key]
+
+
+def _search(batches, items, span, name):
+    searcher = searcher_of(items, span, name)
     for batch in batches:
         rows, item, runs = [], [], []
         for row, text in enumerate(batch.column("text").to_pylist()):
@@ -112,6 +125,6 @@ def leaks(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, pass_cha
     for i in range(passes):
         some = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i)
         sent = documents.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in some.toLocalIterator()])
-        part = rows.mapInArrow(lambda it, sent=sent: _search(it, sent, span), schema)
+        part = rows.mapInArrow(lambda it, sent=sent, name=uuid.uuid4().hex: _search(it, sent, span, name), schema)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.sum("runs").alias("runs"))

@@ -105,6 +105,23 @@ def test_similar_pairs(spark, threshold, options):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_crowded_buckets_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    from motionq.llm import buckets
+
+    keys = spark.range(3000).select(F.col("id").alias("k"))
+    to_rows = lambda df: df.select(F.when(F.col("k") < 1000, 7).otherwise(F.col("k") * 10).cast("long").alias("bucket"), "k")
+    rows = to_rows(keys).unionByName(to_rows(keys.where("k between 2000 and 2001")).withColumn("bucket", F.lit(5).cast("long")))
+    crowded = buckets.crowds(keys, to_rows, 3000)
+    assert crowded == [7]
+    found = buckets.collide(rows.unionByName(rows.limit(50)), 3000, crowded=crowded)
+    assert found.where("bucket = 7").select("a").distinct().count() == found.where("bucket is not null").count() == 1000
+    assert [tuple(r) for r in found.where("bucket is null").select("a", "b").collect()] == [(2000, 2001)]
+    spread = found.where("bucket = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == 4 and max(r["count"] for r in spread) < 400
+
+
 def test_large_sets_make_bounded_combinations():
     from math import comb
 
