@@ -46,8 +46,9 @@ def need(size: int, threshold: float, smaller: bool) -> int:
 
 
 def prefix(size: int, length: int, threshold: float, smaller: bool) -> int:
+    """Tokens of the prefix; 0 if no partner can share ``length``. A larger set may have to give all its tokens."""
     o = need(size, threshold, smaller)
-    return size - o + length if length <= o else 0
+    return 0 if length > (o if smaller else size) else min(size, size - o + length)
 
 
 class Order:
