@@ -45,3 +45,18 @@ def unproject(x: Column, y: Column, depth: Column, inverse: list[list[float]], w
     ndc = [x / F.lit(width / 2) - 1, F.lit(1.0) - y / F.lit(height / 2), depth * 2 - 1, F.lit(1.0)]
     p = [sum((F.lit(float(m)) * c for m, c in zip(row, ndc, strict=True)), F.lit(0.0)) for row in inverse]
     return F.struct(*[F.try_divide(p[i], p[3]).alias(n) for i, n in enumerate("xyz")])
+
+
+def vertex_normals(mesh: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, vertex, nx, ny, nz)``: unit sums of the normals of the triangles at each vertex, weighted by their area.
+
+    ``mesh(keys, face, corner, vertex, x, y, z)``: the first three corners of a face count. Vertices without area have nulls.
+    """
+    at = lambda c, i: F.max(F.when(F.col("corner") == i, F.col(c))).alias(f"{c}{i}")
+    faces = mesh.groupBy(*keys, "face").agg(*[at(c, i) for c in "xyz" for i in range(3)])
+    d = {f"{c}{i}": F.col(f"{c}{i}") - F.col(f"{c}0") for c in "xyz" for i in (1, 2)}
+    cross = [d[f"{a}1"] * d[f"{b}2"] - d[f"{b}1"] * d[f"{a}2"] for a, b in ("yz", "zx", "xy")]
+    normal = faces.select(*keys, "face", *[n.alias(f"n{c}") for n, c in zip(cross, "xyz", strict=True)])
+    sums = mesh.join(normal, [*keys, "face"]).groupBy(*keys, "vertex").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in "xyz"])
+    size = F.sqrt(sum((F.col(f"n{c}") * F.col(f"n{c}") for c in "xyz"), F.lit(0.0)))
+    return sums.select(*keys, "vertex", *[F.round(F.try_divide(f"n{c}", size), 6).alias(f"n{c}") for c in "xyz"])

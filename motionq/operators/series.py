@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionq.tables import table
+
 
 def _blocked(df: DataFrame, order: str, width: int) -> DataFrame:
     return df.withColumn("_block", F.floor(F.col(order) / F.lit(width)))
@@ -62,3 +64,37 @@ def chord_parameter(df: DataFrame, keys: list[str], order: str, tie: str, x: str
     rows = with_previous(df, keys, order, tie, [x, y], width)
     rows = running_total(rows, keys, order, tie, step, width, "length")
     return rows.withColumn("chord", F.try_divide("length", "length_all")).drop("prev", "length_all")
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the place of a row (from 0) in ``order``; equal values of ``order`` get numbers in some order.
+
+    Range partitions are sorted and numbered on their own, and shifted by the sizes of those before.
+    """
+    local = F.monotonically_increasing_id()
+    rows = table(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", local))  # written: partitions must stay
+    rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    at, first = 0, []
+    for p in sorted(sizes):
+        first.append((p, at))
+        at += sizes[p]
+    offsets = rows.sparkSession.createDataFrame(first, "_part long, _first long")
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") + F.col("_first")).drop("_part", "_at", "_first")
+
+
+def running_offsets(df: DataFrame, order: str, count: str, per: int = 4096) -> DataFrame:
+    """``(order, offset)``: the sum of ``count`` over the rows before in ``order``; no task sorts them all."""
+    rows = numbered(df.select(order, F.coalesce(count, F.lit(0)).cast("long").alias("_n")), order, "_row").withColumn("_block", F.expr(f"_row div {per}"))
+    inside = Window.partitionBy("_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("_block").agg(F.sum("_n").alias("_s"))
+    upto = Window.partitionBy(F.expr(f"_block div {per}")).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # 16 million rows share a window
+    far = blocks.groupBy(F.expr(f"_block div {per}").alias("_far")).agg(F.sum("_s").alias("_t")).orderBy("_far").collect()
+    at, table_ = 0, []
+    for r in far:
+        table_.append((r["_far"], at))
+        at += r["_t"]
+    starts = df.sparkSession.createDataFrame(table_, "_far long, _start long")
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_s").over(upto), F.lit(0))).withColumn("_far", F.expr(f"_block div {per}")).join(F.broadcast(starts), "_far")
+    out = rows.withColumn("_own", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(blocks, "_block")
+    return out.select(order, (F.col("_own") + F.col("_before") + F.col("_start")).alias("offset"))

@@ -48,7 +48,7 @@ def hier_filter_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation search within the selected subtrees: filter first, then score, then cut."""
     units, u = read(spark, sf_dir, "units"), usable_points(spark, sf_dir).where("dimension = 32")
     q = u.orderBy("id").first()["coords"]
-    top = H.selected(units, CHOSEN, "unit_path", "parent_path")
+    top = H.selected(units, CHOSEN, "unit_path", "parent_path", sep="/")
     some = units.join(top, units["unit_path"] == top["node"], "left_semi")
     rows = H.within(u, some, "frame", "first_frame", "last_frame")
     scored = rows.select("id", "frame", F.round(vec.pearson("coords", q), 6).alias("score"))
@@ -84,11 +84,9 @@ def parent_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with l as (select * from units where unit_path not in (select parent_path from units where parent_path is not null)), p as (select distinct id, frame from points where frame is not null)
 select l.unit_path, count(*) points, min(p.frame) first_frame, max(p.frame) last_frame from p join l on p.frame between l.first_frame and l.last_frame group by 1""")
 def unit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of ``points`` by leaf unit; the units are a fixed small table, checked before the broadcast."""
+    """Frames of ``points`` by leaf unit, counted by frame first."""
     units = read(spark, sf_dir, "units")
     low = units.join(H.leaves(units, "unit_path", "parent_path"), "unit_path", "left_semi").select("unit_path", "first_frame", "last_frame")
-    if low.limit(100_001).count() > 100_000:
-        raise ValueError("too many units for a range join by broadcast")
     p = read(spark, sf_dir, "points").where("frame is not null").select("id", "frame").distinct()
-    hit = p.join(F.broadcast(low), (F.col("frame") >= F.col("first_frame")) & (F.col("frame") <= F.col("last_frame")))
-    return hit.groupBy("unit_path").agg(F.count("*").alias("points"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+    hit = H.containing(p.groupBy("frame").agg(F.count("*").alias("n")), low, "frame", "first_frame", "last_frame")
+    return hit.groupBy("unit_path").agg(F.sum("n").alias("points"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))

@@ -3,19 +3,56 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motionq.operators.series import numbered
+from motionq.sources import stores
+
+
+IMAGE = "origin string, height int, width int, nChannels int, mode int, data binary"
+
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*.{png,PNG}") -> DataFrame:
-    """``(img_id, path, content)`` of the files of a folder that match; ``img_id`` is the place in path order."""
-    names = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    order = names.select("path").withColumn("img_id", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))  # names only
-    return names.join(order, "path").select("img_id", "path", "content")
+    """``(img_id, path, image)`` of the files of a folder that match; ``img_id`` is the place in path order.
+
+    Spark's image source decodes PNG, JPEG, GIF and bitmaps in the JVM; what is no image has no row and no number.
+    """
+    found = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", pattern).load(folder)
+    order = numbered(found.select(F.col("image.origin").alias("path")), "path", "img_id")
+    return found.withColumn("path", F.col("image.origin")).join(order, "path").select("img_id", "path", "image")
+
+
+def pixels_of(image: dict) -> np.ndarray:
+    """``rows x cols x channels`` (blue, green, red) of a decoded image."""
+    return np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"])
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """``(img_id, image)`` of bitmap files ``(img_id, content)``: the same form as of ``scan``."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [read_bmp(c) for c in pdf["content"]]
+            rows = [{"origin": None, "height": g.shape[0], "width": g.shape[1], "nChannels": g.shape[2], "mode": 8 * (g.shape[2] - 1), "data": g.tobytes()} for g in found]
+            yield pd.DataFrame({"img_id": pdf["img_id"], "image": rows})
+
+    return files.select("img_id", "content").mapInPandas(work, f"img_id long, image struct<{', '.join(c.replace(' ', ': ') for c in IMAGE.split(', '))}>")
+
+
+def write_png(image: np.ndarray) -> bytes:
+    """The PNG file of ``rows x cols x 3`` (blue, green, red) or of gray ``rows x cols``."""
+    h, w = image.shape[:2]
+    rows = (image[..., ::-1] if image.ndim == 3 else image).astype(np.uint8).reshape(h, -1)
+    body = zlib.compress(np.concatenate([np.zeros((h, 1), np.uint8), rows], 1).tobytes())
+    part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    head = struct.pack(">IIBBBBB", w, h, 8, 2 if image.ndim == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", body) + part(b"IEND", b"")
 
 
 def read_bmp(content: bytes) -> np.ndarray:
@@ -108,45 +145,45 @@ def hough_segments(edges: np.ndarray, votes: int = 15, least: int = 10, gap: int
 
 
 def edge_pixels(images: DataFrame, kind: str = "canny") -> DataFrame:
-    """``(img_id, r, c, m, theta)`` of bitmap files ``(img_id, content)``: edge pixels with magnitude and orientation.
+    """``(img_id, r, c, m, theta)`` of images ``(img_id, image)``: edge pixels with magnitude and orientation.
 
     ``kind``: ``canny`` (edges only) or ``sobel`` (all pixels with some gradient).
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for img, content in zip(pdf["img_id"], pdf["content"], strict=True):
-                g = gray(read_bmp(content))
+            for img, image in zip(pdf["img_id"], pdf["image"], strict=True):
+                g = gray(pixels_of(image))
                 _, _, m, theta = sobel(g)
                 r, c = np.nonzero(canny(g) if kind == "canny" else m > 0)
                 yield pd.DataFrame({"img_id": img, "r": r, "c": c, "m": m[r, c], "theta": theta[r, c]})
 
-    return images.select("img_id", "content").mapInPandas(work, "img_id long, r long, c long, m double, theta double")
+    return images.select("img_id", "image").mapInPandas(work, "img_id long, r long, c long, m double, theta double")
 
 
 def segments(images: DataFrame) -> DataFrame:
-    """``(img_id, pos, x1, y1, x2, y2)``: line segments of bitmap files."""
+    """``(img_id, pos, x1, y1, x2, y2)``: line segments of images."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for img, content in zip(pdf["img_id"], pdf["content"], strict=True):
-                found = hough_segments(canny(gray(read_bmp(content))))
+            for img, image in zip(pdf["img_id"], pdf["image"], strict=True):
+                found = hough_segments(canny(gray(pixels_of(image))))
                 yield pd.DataFrame([(img, i, *s) for i, s in enumerate(found)], columns=["img_id", "pos", "x1", "y1", "x2", "y2"])
 
-    return images.select("img_id", "content").mapInPandas(work, "img_id long, pos int, x1 long, y1 long, x2 long, y2 long")
+    return images.select("img_id", "image").mapInPandas(work, "img_id long, pos int, x1 long, y1 long, x2 long, y2 long")
 
 
 def black_pixels(images: DataFrame) -> DataFrame:
-    """``(img_id, r, c)`` of the pixels whose red is 0 (the third channel of a bitmap)."""
+    """``(img_id, r, c)`` of the pixels whose red is 0."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for img, content in zip(pdf["img_id"], pdf["content"], strict=True):
-                image = read_bmp(content)
-                r, c = np.nonzero(image[..., min(2, image.shape[2] - 1)] == 0)
+            for img, image in zip(pdf["img_id"], pdf["image"], strict=True):
+                g = pixels_of(image)
+                r, c = np.nonzero(g[..., min(2, g.shape[2] - 1)] == 0)
                 yield pd.DataFrame({"img_id": img, "r": r, "c": c})
 
-    return images.select("img_id", "content").mapInPandas(work, "img_id long, r long, c long")
+    return images.select("img_id", "image").mapInPandas(work, "img_id long, r long, c long")
 
 
 def coloured_pixels(images: DataFrame, red: int = 255) -> DataFrame:
@@ -154,15 +191,15 @@ def coloured_pixels(images: DataFrame, red: int = 255) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for img, content in zip(pdf["img_id"], pdf["content"], strict=True):
-                r, c = np.nonzero((read_bmp(content)[..., :3] == (0, 0, red)).all(2))
+            for img, image in zip(pdf["img_id"], pdf["image"], strict=True):
+                r, c = np.nonzero((pixels_of(image)[..., :3] == (0, 0, red)).all(2))
                 yield pd.DataFrame({"img_id": img, "r": r, "c": c})
 
-    return images.select("img_id", "content").mapInPandas(work, "img_id long, r long, c long")
+    return images.select("img_id", "image").mapInPandas(work, "img_id long, r long, c long")
 
 
 def featurize(images: DataFrame, kind: str) -> DataFrame:
-    """``(img_id, feature, patch, hist)`` of bitmap files: kind BICE (per patch), HOUGH or ARP."""
+    """``(img_id, feature, patch, hist)`` of images: kind BICE (per patch), HOUGH or ARP."""
     from motionq.operators import histograms as H
 
     if kind == "ARP":
@@ -174,3 +211,49 @@ def featurize(images: DataFrame, kind: str) -> DataFrame:
     else:
         raise ValueError(f"kind is one of {H.KINDS}")
     return bins.select("img_id", F.lit(kind).alias("feature"), "patch", "hist")
+
+
+def window_mean(m: np.ndarray, width: int = 5, sigma: float = 3.0, floor: float = 4.0) -> np.ndarray:
+    """``m`` over its Gaussian mean in a window, that mean being ``floor`` at least; outside of the image is 0."""
+    half = width // 2
+    one = np.exp(-np.arange(-half, half + 1) ** 2 / (2 * sigma * sigma))
+    one = one / one.sum()
+    along = lambda a, axis: np.apply_along_axis(lambda r: np.convolve(r, one, "same"), axis, a)
+    return m / np.maximum(along(along(np.asarray(m, float), 0), 1), floor)
+
+
+def matrices(images: DataFrame, noise: float = 0.0, seed: int = 0) -> DataFrame:
+    """``(img_id, kind, rows, cols, data)``: normalised magnitude and orientation of each image as row-major matrices.
+
+    ``noise``: spread of seeded Gaussian noise added to the gray image first (none by default).
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for img, image in zip(pdf["img_id"], pdf["image"], strict=True):
+                _, _, m, theta = sobel(gray(pixels_of(image)), noise, seed + int(img))
+                both = {"magnitude": window_mean(m), "orientation": theta}
+                yield pd.DataFrame([(img, kind, *v.shape, v.ravel()) for kind, v in both.items()], columns=["img_id", "kind", "rows", "cols", "data"])
+
+    return images.select("img_id", "image").mapInPandas(work, stores.MATRIX)
+
+
+def batch(spark: SparkSession, folder: str, kinds: list[str], path: str, view_id: int, pattern: str = "*.{png,PNG}") -> None:
+    """Encode a folder: scan, featurize for each kind, append to the store at ``path``."""
+    found = scan(spark, folder, pattern)
+    for kind in kinds:
+        stores.write_features(featurize(found, kind).withColumn("view_id", F.lit(view_id)), path)
+
+
+def batch_sketch(spark: SparkSession, folder: str, pattern: str = "*.{png,PNG}") -> DataFrame:
+    """``(patch, hist)`` of a folder of sketch patches named ``row_col``: each file is one patch, described as a whole.
+
+    Other names, and files of too few edge pixels, have no row.
+    """
+    from motionq.operators import histograms as H
+    from motionq.sources import text
+
+    found = text.patch_names(scan(spark, folder, pattern)).where("patch is not null")
+    pixels = edge_pixels(found.select(F.col("patch").cast("long").alias("img_id"), "image")).where("r < 60 and c < 60")
+    bins = H.dense(H.patch_bins(pixels, ["img_id"]), ["img_id"], [("bx", 10), ("by", 10), ("bt", 4)], "n")
+    return bins.select(F.col("img_id").cast("int").alias("patch"), "hist")

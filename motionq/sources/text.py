@@ -10,9 +10,12 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from motionq.operators.series import running_offsets
+from motionq.tables import table
+
 
 def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file, text)``, one row a file."""
@@ -84,26 +87,43 @@ def joints(texts: DataFrame) -> DataFrame:
 def reindexed(rows: DataFrame, img: str = "img_id") -> DataFrame:
     """Images of several files in file order as one store: ids of a file follow those of the files before."""
     count = rows.groupBy("file").agg((F.max(img) + 1).alias("n"))
-    from pyspark.sql import Window
-
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    offset = count.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return rows.join(F.broadcast(offset), "file").withColumn(img, F.col(img) + F.col("offset")).drop("offset")
-
+    return rows.join(running_offsets(count, "file", "n"), "file").withColumn(img, F.col(img) + F.col("offset")).drop("offset")
 
-def points(texts: DataFrame) -> DataFrame:
-    """One point a line; a first line of two integers gives count and dimension, and what follows a point is ignored:
-    ``(file, id, coords)``."""
 
-    def parse(text: str):
-        rows = [r.split() for r in text.splitlines() if r.strip()]
-        dim = None
-        if rows and len(rows[0]) == 2 and all(x.isdigit() for x in rows[0]) and len(rows) - 1 == int(rows[0][0]):
-            dim, rows = int(rows[0][1]), rows[1:]
-        for i, r in enumerate(rows):
-            yield i, [float(x) for x in r[:dim]]
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, n, line)`` of text files by lines, ``n`` counting the lines of a file that aren't blank from 0.
 
-    return _parsed(texts, parse, ["id", "coords"], "id long, coords array<double>")
+    A file may be of any size: it is read in splits, whose lines are numbered where they lie; only the sizes of splits
+    are summed up.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select(at.alias("at"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line")).where(F.trim("line") != "")
+    lines = table(lines)  # written: the numbers must stay
+    split = lines.groupBy("at").agg(F.count("*").alias("n"), F.min("_at").alias("_least"))
+    inside = Window.partitionBy("at.file").orderBy("at.start").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    first = split.select("at", "_least", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("_first"))
+    within = F.row_number().over(Window.partitionBy("at", F.shiftright(F.col("_at") - F.col("_least"), 12)).orderBy("_at")) - 1
+    parts = lines.join(first, "at").withColumn("_part", F.shiftright(F.col("_at") - F.col("_least"), 12)).withColumn("_in", within)
+    sizes = parts.groupBy("at", "_part").agg(F.count("*").alias("n"))
+    before = sizes.select("at", "_part", F.coalesce(F.sum("n").over(Window.partitionBy("at").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = parts.join(before, ["at", "_part"])
+    return out.select("at.file", (F.col("_first") + F.col("_before") + F.col("_in")).alias("n"), "line")
+
+
+def points(lines: DataFrame) -> DataFrame:
+    """One point a line of ``numbered_lines``: ``(file, id, coords)``.
+
+    A first line of two whole numbers that name the count of the other lines and a dimension is no point, and then what
+    follows a point on its line is ignored.
+    """
+    head = lines.where("n = 0").select("file", F.split(F.trim("line"), r"\s+").alias("h"))
+    size = lines.groupBy("file").agg(F.count("*").alias("total")).join(head, "file")
+    whole = (F.size("h") == 2) & F.forall("h", lambda x: x.rlike(r"^\d+$"))
+    given = F.when(whole & (F.try_element_at("h", F.lit(1)).try_cast("long") == F.col("total") - 1), F.try_element_at("h", F.lit(2)).try_cast("int"))
+    rows = lines.join(size.select("file", given.alias("dim")), "file").where("dim is null or n > 0")
+    tokens = F.split(F.trim("line"), r"\s+")
+    tokens = F.when(F.col("dim").isNotNull(), F.slice(tokens, 1, F.col("dim"))).otherwise(tokens)
+    return rows.select("file", (F.col("n") - F.when(F.col("dim").isNotNull(), 1).otherwise(0)).alias("id"), tokens.cast("array<double>").alias("coords"))
 
 
 def parameters(texts: DataFrame) -> DataFrame:
@@ -117,27 +137,35 @@ def parameters(texts: DataFrame) -> DataFrame:
     return _parsed(texts, parse, ["pos", "label", "value"], "pos int, label string, value double")
 
 
-def permutations(texts: DataFrame, families: int = 3, per: int = 10) -> DataFrame:
-    """Tables of hash values, ``families`` times ``per`` of equal length: ``(file, family, i, bin, value)``."""
+def _flat_tokens(lines: DataFrame) -> DataFrame:
+    """``(file, at, token)``: the whole numbers of a file in order, whatever lines they are on."""
+    words = lines.select("file", "n", F.split(F.trim("line"), r"\s+").alias("t"))
+    block = F.expr("n div 4096")
+    inside = Window.partitionBy("file", block).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sums = words.groupBy("file", block.alias("_block")).agg(F.sum(F.size("t")).alias("s"))
+    before = sums.select("file", "_block", F.coalesce(F.sum("s").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = words.withColumns({"_own": F.coalesce(F.sum(F.size("t")).over(inside), F.lit(0)), "_block": block}).join(before, ["file", "_block"])
+    out = own.select("file", (F.col("_own") + F.col("_before")).alias("first"), F.posexplode("t").alias("i", "token"))
+    return out.select("file", (F.col("first") + F.col("i")).alias("at"), F.col("token").cast("long").alias("token"))
 
-    def parse(text: str):
-        t = list(map(int, text.split()))
-        bins = len(t) // (families * per)
-        for at in range(families * per * bins):
-            yield at // (per * bins), at // bins % per, at % bins, t[at]
-
-    return _parsed(texts, parse, ["family", "i", "bin", "value"], "family int, i int, bin int, value int")
 
+def permutations(lines: DataFrame, families: int = 3, per: int = 10) -> DataFrame:
+    """Tables of hash values out of ``numbered_lines``, ``families`` times ``per`` of equal length: ``(file, family, i, bin, value)``."""
+    t = _flat_tokens(lines)
+    bins = t.groupBy("file").agg(F.floor(F.count("*") / (families * per)).alias("bins"))
+    t = t.join(bins, "file").where(F.col("at") < F.col("bins") * families * per)
+    return t.select(
+        "file", F.expr(f"at div ({per} * bins)").cast("int").alias("family"), F.expr(f"(at div bins) % {per}").cast("int").alias("i"), (F.col("at") % F.col("bins")).cast("int").alias("bin"), F.col("token").cast("int").alias("value")
+    )
 
-def sketch_rows(texts: DataFrame, values: int = 30) -> DataFrame:
-    """``N``, then rows of ``values`` hashes, image and patch: ``(file, img_id, patch, h)``."""
 
-    def parse(text: str):
-        t = list(map(int, text.split()))
-        for at in range(1, len(t) - values - 1, values + 2):
-            yield t[at + values], t[at + values + 1], t[at : at + values]
+def sketch_rows(lines: DataFrame, values: int = 30) -> DataFrame:
+    """``N``, then rows of ``values`` hashes, image and patch out of ``numbered_lines``: ``(file, img_id, patch, h)``.
 
-    return _parsed(texts, parse, ["img_id", "patch", "h"], "img_id long, patch int, h array<int>")
+    One row a line, as written; the line of the count may be missing.
+    """
+    t = lines.select("file", "n", F.split(F.trim("line"), r"\s+").cast("array<long>").alias("t")).where(F.size("t") >= values + 2)
+    return t.select("file", F.get("t", F.lit(values)).alias("img_id"), F.get("t", F.lit(values + 1)).cast("int").alias("patch"), F.slice("t", 1, values).cast("array<int>").alias("h"))
 
 
 def colormap(texts: DataFrame) -> DataFrame:

@@ -199,3 +199,52 @@ def test_whole_curves_differ_after_the_first_rows(spark):
     rows = [(c, i, i, x) for c, xs in (("a", up), ("b", turned), ("c", up[:3]), ("d", [1.0, 1.0])) for i, x in enumerate(xs)]
     score = {r.clip: r.score for r in whole_curves(spark.createDataFrame(rows, "clip string, frame long, id long, x double")).collect()}
     assert score["a"] == 1.0 and score["b"] < 0 and 0.9 < score["c"] < 1.0 and "d" not in score
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_deep_hierarchies(spark, small):
+    chain = spark.range(1000).select(F.col("id").alias("n"), F.when(F.col("id") > 0, F.col("id") - 1).alias("p"))
+    got = hierarchy.closure(chain, "n", "p", small)
+    assert got.count() == 500_500 and got.agg(F.max("depth")).first()[0] == 999
+    two = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 2), (4, 3)], "n long, p long")
+    assert rows(hierarchy.closure(two, "n", "p", small).where("node = 4")) == [(1, 4, 2), (1, 4, 2), (2, 4, 1), (3, 4, 1), (4, 4, 0)]
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "n long, p long")
+    with pytest.raises(Exception, match="cycle"):
+        hierarchy.closure(ring, "n", "p", small).collect()
+
+
+def test_selection_by_path(spark):
+    u = spark.createDataFrame([("a", None), ("a/b", "a"), ("a/b/d", "a/b"), ("ab", None)], "n string, p string")
+    for sep in (None, "/"):
+        assert rows(hierarchy.selected(u, ["a/b/d", "a", "ab", "none"], "n", "p", sep)) == [("a",), ("ab",)]
+
+
+def test_wide_indentation(spark):
+    text = ["root", " " * 31 + "x", " " * 32 + "y", " " * 40 + "z", " " * 31 + "w"]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "file string, n int, line string")
+    assert {r["name"]: r.parent for r in hierarchy.indented(df).collect()} == {"root": None, "x": "root", "y": "x", "z": "y", "w": "root"}
+
+
+def test_ranges_without_nested_loops(spark):
+    rng = np.random.default_rng(6)
+    units = [(i, int(a), int(a + n)) for i, (a, n) in enumerate(zip(rng.integers(-500, 500, 60), rng.integers(-2, 90, 60), strict=True))]
+    u = spark.createDataFrame(units, "u long, s long, e long")
+    f = spark.createDataFrame([(i, int(x)) for i, x in enumerate(rng.integers(-600, 700, 300))] + [(999, None)], "id long, frame long")
+    want = {(i, x, k) for i, x in f.collect() if x is not None for k, s, e in units if s <= x <= e}
+    assert {(r.id, r.frame, r.u) for r in hierarchy.containing(f, u, "frame", "s", "e").collect()} == want
+    for small in (100, 0):
+        got = hierarchy.within(f, u, "frame", "s", "e", small)
+        assert sorted(r.id for r in got.collect()) == sorted({i for i, _, _ in want})
+        assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert hierarchy.within(f, u.limit(0), "frame", "s", "e").count() == 0
+
+
+def test_numbered_rows_and_offsets(spark):
+    df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("x"), F.col("id").alias("n"))
+    assert all(r.x == r.at for r in series.numbered(df, "x", "at").collect())
+    got = {r.x: r.offset for r in series.running_offsets(df, "x", "n", 16).collect()}
+    n, total = {r.x: r.n for r in df.collect()}, 0
+    for x in range(1000):
+        assert got[x] == total
+        total += n[x]
+    assert series.numbered(df.limit(0), "x", "at").count() == 0 and series.running_offsets(df.limit(0), "x", "n").count() == 0

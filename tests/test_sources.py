@@ -17,6 +17,10 @@ def read(spark, tmp_path, name, content):
     return text.files(spark, write(tmp_path, name, content))
 
 
+def by_lines(spark, tmp_path, name, content):
+    return text.numbered_lines(spark, write(tmp_path, name, content))
+
+
 def rows(df):
     return [tuple(r) for r in df.drop("file").collect()]
 
@@ -25,11 +29,11 @@ def test_token_formats(spark, tmp_path):
     assert rows(text.point_sets(read(spark, tmp_path, "a", "1 4 3 7 4 8"))) == [(0, 0, 3, 7), (0, 1, 4, 8)]
     assert rows(text.lines(read(spark, tmp_path, "b", "1\n2 0 0 3 4 10 10 10 20"))) == [(0, 0, 0, 0, 3, 4), (0, 1, 10, 10, 10, 20)]
     assert rows(text.joints(read(spark, tmp_path, "c", "root head\n2\n10 20 11 30\n12 22 13 33\n"))) == [(0, "root", 10, 20), (0, "head", 11, 30), (1, "root", 12, 22), (1, "head", 13, 33)]
-    assert rows(text.points(read(spark, tmp_path, "d", "1.5 2\n3 -4e1\n"))) == [(0, [1.5, 2.0]), (1, [3.0, -40.0])]
-    assert rows(text.points(read(spark, tmp_path, "d2", "2 1\n5 9\n6 8\n"))) == [(0, [5.0]), (1, [6.0])]
+    assert rows(text.points(by_lines(spark, tmp_path, "d", "1.5 2\n3 -4e1\n")).orderBy("id")) == [(0, [1.5, 2.0]), (1, [3.0, -40.0])]
+    assert rows(text.points(by_lines(spark, tmp_path, "d2", "2 1\n5 9\n6 8\n")).orderBy("id")) == [(0, [5.0]), (1, [6.0])]
     assert rows(text.parameters(read(spark, tmp_path, "e", "R\n1000\nk\n4\n"))) == [(0, "R", 1000.0), (1, "k", 4.0)]
     assert rows(text.colormap(read(spark, tmp_path, "f", "0 0.5 1\n1 1 1 0.2"))) == [(0, 0.0, 0.5, 1.0), (1, 1.0, 1.0, 1.0)]
-    assert rows(text.permutations(read(spark, tmp_path, "g", "5 6 7 8"), 1, 2)) == [(0, 0, 0, 5), (0, 0, 1, 6), (0, 1, 0, 7), (0, 1, 1, 8)]
+    assert rows(text.permutations(by_lines(spark, tmp_path, "g", "5 6\n\n7 8"), 1, 2).orderBy("family", "i", "bin")) == [(0, 0, 0, 5), (0, 0, 1, 6), (0, 1, 0, 7), (0, 1, 1, 8)]
     assert text.point_sets(read(spark, tmp_path, "h", "")).count() == 0
     with pytest.raises(Exception, match="bad"):
         text.lines(read(spark, tmp_path, "bad", "1 2 0 0")).collect()
@@ -117,7 +121,8 @@ def test_bitmaps_and_features(spark, tmp_path):
     folder = tmp_path / "img"
     folder.mkdir()
     for name in ("b.png", "a.PNG"):
-        write(folder, name, images.write_bmp(g))
+        write(folder, name, images.write_png(g))
+    write(folder, "d.png", b"no picture")
     write(folder, "c.txt", "no")
     files = images.scan(spark, str(folder))
     assert [r.img_id for r in files.orderBy("path").collect()] == [0, 1]
@@ -160,10 +165,45 @@ def test_small_readers(spark, tmp_path):
     p = lsh.Plan(dim=4, radius=2.0, success=0.9, k=4, m=5)
     stores.write_parameters(p, str(tmp_path / "p"), spark)
     assert stores.read_parameters(spark, str(tmp_path / "p")) == p
+    labels = rows(text.parameters(read(spark, tmp_path, "params", stores.parameter_text(p))))
+    assert len(labels) == 11 and labels[0] == (0, "R", 2.0) and labels[7] == (7, "L", 10.0)
     g = np.zeros((2, 3, 3), np.uint8)
     g[1, 2] = (0, 0, 255)
     df = spark.createDataFrame([(0, bytearray(images.write_bmp(g)))], "img_id long, content binary")
-    assert [tuple(r) for r in images.coloured_pixels(df).collect()] == [(0, 1, 2)]
+    assert [tuple(r) for r in images.coloured_pixels(images.decoded(df)).collect()] == [(0, 1, 2)]
+    gray = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    write(tmp_path, "gray.png", images.write_png(gray))
+    found = images.scan(spark, str(tmp_path), "gray.png").first().image
+    assert (images.pixels_of(found)[..., 0] == gray).all()
+
+
+def test_sketch_folder_and_limbs(spark, tmp_path):
+    g = np.full((60, 60, 3), 255, np.uint8)
+    g[10:50, 20:30] = 0
+    folder = tmp_path / "patches"
+    folder.mkdir()
+    for name in ("0_1.png", "7_7.png", "other.png"):
+        write(folder, name, images.write_png(g))
+    write(folder, "1_1.png", images.write_png(np.full((60, 60, 3), 255, np.uint8)))
+    got = {r.patch: r.hist for r in images.batch_sketch(spark, str(folder)).collect()}
+    assert set(got) == {1, 63} and got[1] == got[63] and sum(got[1]) > 50
+    f = spark.createDataFrame([(0, None, [1.0]), (3, None, [2.0])], "img_id long, patch int, hist array<double>")
+    stores.write_xml_features(f, str(tmp_path / "limb0"), "ARP", 2)
+    limbs = stores.read_limbs(spark, {0: str(tmp_path / "limb0"), 1: str(tmp_path / "none")}, 5).collect()
+    assert sorted((r.limb, r.view_id, r.img_id, r.hist) for r in limbs) == [(0, 5, 0, [1.0]), (0, 5, 3, [2.0])]
+    assert stores.read_limbs(spark, {1: str(tmp_path / "none")}, 5).count() == 0
+
+
+def test_matrices(spark, tmp_path):
+    m = spark.createDataFrame([(0, "edges", 2, 2, [1.0, 0.0, 2.5, 3.0]), (7, "edges", 1, 2, [4.0, 5.0]), (7, "magnitude", 1, 1, [9.0])], stores.MATRIX)
+    stores.write_xml_matrices(m, str(tmp_path / "m"), 5)
+    assert sorted(map(tuple, stores.read_xml_matrices(spark, str(tmp_path / "m"), "edges").collect())) == sorted(tuple(r) for r in m.where("kind = 'edges'").collect())
+    assert stores.read_xml_matrices(spark, str(tmp_path / "m"), "orientation").count() == 0
+    top = stores.plane(m, 1, 1).collect()
+    assert [(r.img_id, r.rows, r.data) for r in top] == [(0, 1, [2.5, 3.0])]
+    assert sorted(map(tuple, stores.cells_of(m.where("img_id = 0"), ["img_id"]).collect())) == [(0, 0, 0, 1.0), (0, 0, 1, 0.0), (0, 1, 0, 2.5), (0, 1, 1, 3.0)]
+    w = images.window_mean(np.full((9, 9), 8.0))
+    assert w[4, 4] == pytest.approx(1.0) and w[0, 0] > 1.5 and (images.window_mean(np.ones((3, 3))) == 0.25).all()
 
 
 def test_unproject(spark):
