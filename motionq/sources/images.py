@@ -218,7 +218,7 @@ def window_mean(m: np.ndarray, width: int = 5, sigma: float = 3.0, floor: float
     half = width // 2
     one = np.exp(-np.arange(-half, half + 1) ** 2 / (2 * sigma * sigma))
     one = one / one.sum()
-    along = lambda a, axis: np.apply_along_axis(lambda r: np.convolve(r, one, "same"), axis, a)
+    along = lambda a, axis: np.apply_along_axis(lambda r: np.convolve(r, one)[half : half + len(r)], axis, a)
     return m / np.maximum(along(along(np.asarray(m, float), 0), 1), floor)
 
 
