@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionq.functions import vec
+from motionq.operators import skew
 
 #: Bucket width, in units of the radius.
 WIDTH = 4.0
@@ -72,7 +74,7 @@ def plan(dim: int, points: int, distances, radius: float, success: float = 0.9,
     """The even ``k`` of least estimated time whose tables fit: ``tables * points <= memory / 12``.
 
     ``distances``: from sample queries to sample points; ``costs``: of a hash of one dimension, a bucket hit, and a
-    distance of one dimension.
+    distance of one dimension (``measured_costs``, or relative ones for a plan that doesn't depend on the machine).
     """
     best = None
     for k in range(2, 41, 2):
@@ -88,10 +90,31 @@ def plan(dim: int, points: int, distances, radius: float, success: float = 0.9,
 
 
 def sample_distances(df: DataFrame, key: str, vector: str, queries: int = 100, points: int = 1000, seed: int = 7) -> list[float]:
-    """Distances between bounded samples of queries and of points, by hash of the key."""
-    q = df.orderBy(F.xxhash64(key, F.lit(seed))).limit(queries).select(vec.col(vector).alias("q"))
-    p = df.orderBy(F.xxhash64(key, F.lit(seed + 1))).limit(points).select(vec.col(vector).alias("p"))
-    return [r.d for r in q.join(F.broadcast(p)).select(vec.l2("q", "p").alias("d")).collect() if r.d]  # at most queries * points
+    """Distances between bounded samples of queries and of points, drawn by a mix of the (whole number) key."""
+    mixed = lambda n: F.pmod(F.col(key).cast("long") * 7919 + n, F.lit(104_729))
+    q = df.orderBy(mixed(seed), key).limit(queries).select(vec.col(vector).alias("q"))
+    p = df.orderBy(mixed(seed + 1), key).limit(points).select(vec.col(vector).alias("p"))
+    return [r.d for r in q.join(F.broadcast(p)).select(F.round(vec.l2("q", "p"), 6).alias("d")).collect() if r.d]  # at most queries * points
+
+
+def measured_costs(dim: int, repeats: int = 200_000, seed: int = 0) -> tuple[float, float, float]:
+    """Seconds of a hash of one dimension, of a bucket hit, and of a distance of one dimension, timed here in numpy."""
+    rng = np.random.default_rng(seed)
+    x, a = rng.normal(size=(max(1, repeats // dim), dim)), rng.normal(size=dim)
+    buckets = rng.integers(0, 1000, repeats)
+
+    def timed(work) -> float:
+        best = math.inf
+        for _ in range(3):
+            began = time.perf_counter()
+            work()
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    hash_ = timed(lambda: np.floor((x @ a + 0.5) / WIDTH)) / x.size
+    hit = timed(lambda: np.unique(buckets)) / repeats
+    distance = timed(lambda: np.sqrt(((x - a) ** 2).sum(1))) / x.size
+    return hash_, hit, distance
 
 
 def functions(p: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -123,9 +146,12 @@ def near(df: DataFrame, queries: DataFrame, p: Plan, key: str, vector: str) -> D
 
     Candidates are made distinct before any distance is computed; the distance is exact. A subset of the exact
     result, each of its rows being found with chance ``p.success`` at least. A row is not its own neighbour.
+    Buckets that a sample shows to be crowded are spread over tasks.
     """
     q = bucket_table(queries, p, key, vector).withColumnRenamed(key, "query")
-    pairs = q.join(bucket_table(df, p, key, vector), ["table_id", "bucket"]).where(F.col("query") != F.col(key)).select("query", key).distinct()
+    index, at = bucket_table(df, p, key, vector), ["table_id", "bucket"]
+    hot = skew.hot_keys(index, at, [key], df.count())
+    pairs = skew.join(index, q, at, [key], hot).where(F.col("query") != F.col(key)).select("query", key).distinct()
     left = queries.select(F.col(key).alias("query"), vec.col(vector).alias("q"))
     d = pairs.join(left, "query").join(df.select(key, vec.col(vector).alias("p")), key)
     return d.select("query", F.col(key).alias("key"), F.round(vec.l2("q", "p"), 6).alias("distance")).where(F.col("distance") <= p.radius)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from motionq.functions import vec
 from motionq.functions.rotation import let
+from motionq.operators import skew
 
 FAMILIES, TRIPLES, PRIME = 3, 10, 2_147_483_647
 
@@ -65,6 +66,12 @@ def around(patch: str = "patch") -> Column:
     return F.transform(kept, lambda x: x["r"] * 8 + x["c"])
 
 
+def _hits(postings: DataFrame, query: DataFrame, at: list[str], key: str) -> DataFrame:
+    """The join with the inverted file; frequent triples, which a sample of images shows, are spread."""
+    total = postings.select(F.approx_count_distinct(key)).first()[0]
+    return skew.join(postings, query, at, [key], skew.hot_keys(postings, at, [key], total))
+
+
 def votes(postings: DataFrame, query: DataFrame, by: list[str], key: str = "img_id", neighbours: bool = True) -> DataFrame:
     """``(by, key, votes)``: triples of the query patches found in the inverted file, at the same place or next to it.
 
@@ -72,7 +79,7 @@ def votes(postings: DataFrame, query: DataFrame, by: list[str], key: str = "img_
     """
     q = triples(query, [*by, "patch"])
     q = q.withColumn("near", F.explode(around())) if neighbours else q.withColumn("near", F.col("patch"))
-    hit = q.join(postings.withColumnRenamed("patch", "near"), ["h1", "h2", "h3", "near"])
+    hit = _hits(postings.withColumnRenamed("patch", "near"), q, ["h1", "h2", "h3", "near"], key)
     return hit.groupBy(*by, key).agg(F.count("*").alias("votes"))
 
 
@@ -82,7 +89,7 @@ def vote_then_correlate(postings: DataFrame, db: DataFrame, query: DataFrame, by
     ``db(key, patch, hist)``, ``query(by, patch, h, hist)``. Scores below 1e-5 are dropped.
     """
     q = triples(query, [*by, "patch"])
-    hits = q.join(postings, ["h1", "h2", "h3", "patch"]).groupBy(*by, key, "patch").agg(F.count("*").alias("n"))
+    hits = _hits(postings, q, ["h1", "h2", "h3", "patch"], key).groupBy(*by, key, "patch").agg(F.count("*").alias("n"))
     first = hits.groupBy(*by, key).agg(F.max_by("patch", F.struct("n", -F.col("patch"))).alias("patch"))
     both = first.join(db, [key, "patch"]).join(query.select(*by, "patch", F.col("hist").alias("q")), [*by, "patch"])
     return both.select(*by, key, F.round(vec.pearson("hist", "q"), 6).alias("score")).where("score >= 1e-5")

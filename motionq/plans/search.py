@@ -88,8 +88,7 @@ def eval_recall_mqr(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = vectors(spark, sf_dir)
     q = e.where("vec_id % 20 = 0")
     ranked = search.radius_search(e, q, float("inf"), 20, "vec_id", "v")
-    relevant = q.select(F.col("vec_id").alias("query"), "label").join(e.select(F.col("vec_id").alias("key"), "label"), "label").where("query <> key")
-    return search.recall_and_rank(ranked, relevant.select("query", "key"), 20)
+    return search.recall_by_label(ranked, q, e, "vec_id", "label", 20)
 
 
 @query(f"""with {E_SQL}, q as (select i, v from e where vec_id = 0), s as (select e.vec_id, round(corr(e.v, q.v), 6) score from e join q using (i) group by e.vec_id),

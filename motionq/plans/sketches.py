@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motionq.functions import vec
 from motionq.operators import lsh, minhash
-from motionq.plans.common import E_SQL, Catalogue, read, vectors
+from motionq.plans.common import E_SQL, U_SQL, Catalogue, read, usable_points, vectors
 
 query = Catalogue()
 _FS = minhash.hash_functions()
@@ -68,26 +68,83 @@ def patch_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(64).select(F.col("id").cast("int").alias("patch")).select("patch", F.explode(minhash.around()).alias("near"))
 
 
-LSH = lsh.Plan(dim=64, radius=1.2, success=0.9, k=4, m=4)
+#: Records of 32 coordinates; k is what ``lsh_plan`` finds for them.
+LSH = lsh.Plan(dim=32, radius=6.0, success=0.9, k=4, m=lsh.halves(4, 0.9))
 _A, _B = lsh.functions(LSH)
-_U_SQL = f"""{E_SQL}, a as (select * from (values {", ".join(f"({u}, {j}, {i + 1}, {_A[u, j, i]!r}::double)" for u in range(LSH.m) for j in range(LSH.k // 2) for i in range(64)).replace("np.float64(", "").replace(")::", "::")}) t(u, j, i, a)),
+_L_SQL = f"{U_SQL}, l as (select id, unnest(coords) v, generate_subscripts(coords, 1) i from u where dimension = 32)"
+_U_SQL = f"""{_L_SQL}, a as (select * from (values {", ".join(f"({u}, {j}, {i + 1}, {float(_A[u, j, i])!r}::double)" for u in range(LSH.m) for j in range(LSH.k // 2) for i in range(LSH.dim))}) t(u, j, i, a)),
 b as (select * from (values {", ".join(f"({u}, {j}, {float(_B[u, j])!r}::double)" for u in range(LSH.m) for j in range(LSH.k // 2))}) t(u, j, b)),
-g as (select vec_id, u, j, floor((sum(v * a) / {LSH.radius}::double + any_value(b.b)) / 4.0::double)::bigint h from e join a using (i) join b using (u, j) group by 1, 2, 3),
-k as (select vec_id, u, list(h order by j) h from g group by 1, 2), t as (select x.vec_id, x.u * 10 + y.u table_id, list_concat(x.h, y.h) bucket from k x join k y on x.vec_id = y.vec_id and x.u < y.u)"""
+g as (select id, u, j, floor((sum(v * a) / {LSH.radius}::double + any_value(b.b)) / 4.0::double)::bigint h from l join a using (i) join b using (u, j) group by 1, 2, 3),
+k as (select id, u, list(h order by j) h from g group by 1, 2), t as (select x.id, x.u * 10 + y.u table_id, list_concat(x.h, y.h) bucket from k x join k y on x.id = y.id and x.u < y.u)"""
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usable_points(spark, sf_dir).where(F.col("dimension") == LSH.dim).select("id", F.col("coords").alias("v"))
 
 
 @query(f"with {_U_SQL}, c as (select table_id, bucket, count(*) n from t group by 1, 2) select n size, count(*) buckets from c group by n")
 def lsh_bucket_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lsh.bucket_table(vectors(spark, sf_dir), LSH, "vec_id", "v")
+    t = lsh.bucket_table(records(spark, sf_dir), LSH, "id", "v")
     return t.groupBy("table_id", "bucket").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("buckets"))
 
 
-@query(f"""with {_U_SQL}, c as (select distinct q.vec_id query, d.vec_id "key" from t q join t d using (table_id, bucket) where q.vec_id % 20 = 0 and q.vec_id <> d.vec_id),
-d as (select query, "key", round(sqrt(sum((x.v - y.v) * (x.v - y.v))), 6) distance from c join e x on x.vec_id = query join e y on y.vec_id = "key" and x.i = y.i group by 1, 2)
+@query(f"""with {_U_SQL}, c as (select distinct q.id query, d.id "key" from t q join t d using (table_id, bucket) where q.id % 20 = 0 and q.id <> d.id),
+d as (select query, "key", round(list_distance(x.coords, y.coords), 6) distance from c join u x on x.id = query join u y on y.id = "key")
 select query, "key", distance from d where distance <= {LSH.radius}""")
 def lsh_rnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = vectors(spark, sf_dir)
-    return lsh.near(e, e.where("vec_id % 20 = 0"), LSH, "vec_id", "v")
+    """Queries: every record whose id is divisible by 20, against all of 32 coordinates."""
+    r = records(spark, sf_dir)
+    return lsh.near(r, r.where("id % 20 = 0"), LSH, "id", "v")
+
+
+#: The error function by a published polynomial (fixed values), good to 2e-7.
+_P_SQL = """(1 - (((((1.061405429::double * t - 1.453152027::double) * t) + 1.421413741::double) * t - 0.284496736::double) * t + 0.254829592::double) * t * exp(-x * x / 2)
+  - sqrt(2 / pi()) / x * (1 - exp(-x * x / 2)))"""
+
+
+def _collision_sql(name: str, source: str, x: str) -> str:
+    """Table ``name``: ``source`` with ``p``, the chance that one hash agrees, ``x`` being width over distance."""
+    return f"{name} as (select *, {_P_SQL} p from (select *, 1 / (1 + 0.3275911::double * x / sqrt(2::double)) t from (select *, {x} x from {source})))"
+
+
+@query(f"""with k as (select * from (values (2), (4), (8), (10), (16), (20)) k(k)), {_collision_sql("o", "(select 1)", "4.0::double")}, n as (select k, p, 1 - pow(p, k / 2.0) miss from k, o),
+m as (select k, min(m.range) m from n, range(2, 500) m where pow(miss, m.range - 1) * (1 + m.range * (1 - miss)) <= 0.1::double + 1e-12::double group by k)
+select k, round(p, 5) collision, ceil(ln(0.1::double) / ln(1 - pow(p, k)))::int tables, m::int halves from n join m using (k)""")
+def lsh_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables and half-keys needed for a success of 0.9, by number of hashes."""
+    rows = [(k, round(lsh.collision(lsh.WIDTH, 1), 5), lsh.tables(k, 0.9), lsh.halves(k, 0.9)) for k in (2, 4, 8, 10, 16, 20)]
+    return spark.createDataFrame(rows, "k int, collision double, tables int, halves int")
+
+
+_D_SQL = f"""{U_SQL}, l as (select id, coords from u where dimension = 32), q as (select coords from l order by (id * 7919 + 7) % 104729, id limit 100), w as (select coords from l order by (id * 7919 + 8) % 104729, id limit 1000),
+d as (select round(list_distance(q.coords, w.coords), 6) d from q, w), f as (select d from d where d > 0), {_collision_sql("c", "f", "24.0::double / d")}"""
+
+
+@query(f"""with {_D_SQL}, k as (select 2 * r.range k from range(1, 6) r), {_collision_sql("o", "(select 1)", "4.0::double")}, n as (select k, 1 - pow(p, k / 2.0) miss from k, o),
+m as (select k, min(m.range) m from n, range(2, 500) m where pow(miss, m.range - 1) * (1 + m.range * (1 - miss)) <= 0.1::double + 1e-12::double group by k)
+select k::int k, m::int m, round(sum(m * (m - 1) / 2 * pow(p, k)) / count(*), 3) hits, round(sum(1 - pow(1 - pow(p, k / 2.0), m - 1) * (1 - pow(p, k / 2.0) + m * pow(p, k / 2.0))) / count(*), 3) reached from c, m group by k, m""")
+def lsh_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket hits, and distinct points reached, that are expected of a pair of the sample, by number of hashes."""
+    d = lsh.sample_distances(records(spark, sf_dir), "id", "v")
+    n = max(len(d), 1)
+    rows = []
+    for k in range(2, 11, 2) if d else ():
+        m = lsh.halves(k, 0.9)
+        hits, reached = lsh.expected_collisions(d, k, m, True, LSH.radius)
+        rows.append((k, m, round(hits / n, 3), round(reached / n, 3)))
+    return spark.createDataFrame(rows, "k int, m int, hits double, reached double")
+
+
+@query(f"""with {_D_SQL}, n as (select count(*) points from l), s as (select count(*) n from c), k as (select 2 * r.range k from range(1, 21) r), {_collision_sql("o", "(select 1)", "4.0::double")}, h as (select k, 1 - pow(p, k / 2.0) miss from k, o),
+m as (select k, min(m.range) m from h, range(2, 500) m where pow(miss, m.range - 1) * (1 + m.range * (1 - miss)) <= 0.1::double + 1e-12::double group by k),
+e as (select k, m, sum(m * (m - 1) / 2 * pow(p, k)) hits, sum(1 - pow(1 - pow(p, k / 2.0), m - 1) * (1 - pow(p, k / 2.0) + m * pow(p, k / 2.0))) reached from c, m group by k, m),
+t as (select k, m, m * k / 2 * 32 + (hits + reached * 32) * points / s.n cost from e, n, s where k = 2 or m * (m - 1) / 2 * points <= 1e9 / 12)
+select k::int k, m::int m, (m * (m - 1) / 2)::int tables, 6.0::double radius, 0.9::double success from t order by cost, k limit 1""")
+def lsh_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parameters the planner chooses for records of 32 coordinates, at equal relative costs."""
+    r = records(spark, sf_dir)
+    p = lsh.plan(LSH.dim, r.count(), lsh.sample_distances(r, "id", "v"), LSH.radius)
+    return spark.createDataFrame([(p.k, p.m, p.count, p.radius, p.success)], "k int, m int, tables int, radius double, success double")
 
 
 @query(f"""with {E_SQL}, d as (select q.vec_id, min(d) d from (select q.vec_id, d.vec_id o, round(sqrt(sum((q.v - d.v) * (q.v - d.v))), 6) d from e q join e d on q.i = d.i and q.vec_id <> d.vec_id where q.vec_id % 20 = 0 group by 1, 2) q group by 1)
@@ -98,13 +155,3 @@ def radius_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = vectors(spark, sf_dir)
     first = search.radius_search(e, e.where("vec_id % 20 = 0"), float("inf"), 1, "vec_id", "v")
     return lsh.radius_classes(first, [1.0, 1.1, 1.2])
-
-
-def lsh_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parameters the planner chooses for ``embeddings``."""
-    e = vectors(spark, sf_dir)
-    p = lsh.plan(64, e.count(), lsh.sample_distances(e, "vec_id", "v"), 1.2)
-    return spark.createDataFrame([(p.k, p.m, p.count, p.radius, p.success)], "k int, m int, tables int, radius double, success double")
-
-
-query()(lsh_plan)

@@ -35,6 +35,49 @@ def test_radius_search_blocks(spark):
     assert all(r.within == sum(d[r.query, j] <= 0.4 for j in range(60) if j != r.query) for r in counts)
 
 
+@pytest.mark.parametrize("radius", [0.35, float("inf")])
+def test_radius_search_visits_cells_and_minds_lengths(spark, radius):
+    rng = np.random.default_rng(4)
+    base = rng.uniform(-3, 3, (6, 3))
+    x = {i: np.round(base[0 if i % 3 == 0 else i % 6] + rng.normal(0, 0.1, 3), 2) for i in range(200)}
+    x |= {i: np.round(rng.random(2), 2) for i in range(200, 230)}
+    x[7], x[201] = x[3], x[200]
+    rows_ = [(i, v.tolist(), "x", 1) for i, v in x.items()] + [(300, None, "y", 2), (301, [], "y", 2), (302, [1.0], "z", 3), (None, [1.0], "z", 3), (5, x[5].tolist(), "again", 1)]
+    df = spark.createDataFrame(rows_, "id long, v array<double>, role string, cell int")
+    q = df.where("id % 5 = 0 and role <> 'again'")
+    got = search.radius_search(df, q, radius, 4, "id", "v", block_rows=16, cell_rows=20).collect()
+    counted = {r.query: r.within for r in search.radius_search(df, q, radius, 0, "id", "v", block_rows=16, cell_rows=20).collect()}
+    for i in (i for i in x if i % 5 == 0):
+        d = sorted((round(float(np.sqrt(((x[i] - v) ** 2).sum())), 6), j) for j, v in x.items() if j != i and len(v) == len(x[i]))
+        near = [(e, j) for e, j in d if e <= radius]
+        extra = [(e, j) for e, j in near if j == 5]
+        near = sorted(near + extra)
+        mine = sorted((r["rank"], r.distance, r.key) for r in got if r.query == i)
+        assert [(e, j) for _, e, j in mine] == near[:4]
+        assert counted[i] == len(near) and all(r.within == len(near) for r in got if r.query == i)
+
+
+def test_recall_by_label_is_recall_by_pairs(spark):
+    rng = np.random.default_rng(1)
+    db = spark.createDataFrame([(i, int(rng.integers(0, 3)) if i != 4 else None) for i in range(30)] + [(99, 77)], "id long, label int")
+    q = db.where("id % 4 = 0 or id = 99")
+    ranked = spark.createDataFrame([(int(i), int(j), n + 1) for i in range(0, 30, 4) for n, j in enumerate(rng.permutation([x for x in range(30) if x != i])[:12])], "query long, key long, rank int")
+    relevant = q.select(F.col("id").alias("query"), "label").join(db.select(F.col("id").alias("key"), "label"), "label").where("query <> key").select("query", "key")
+    assert rows(search.recall_by_label(ranked, q, db, "id", "label", 10)) == rows(search.recall_and_rank(ranked, relevant, 10))
+
+
+def test_hot_keys_are_spread(spark):
+    from motionq.operators import skew
+
+    r = spark.range(4000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    a = spark.createDataFrame([(1, "a"), (3500, "b"), (9, "c")], "k long, name string")
+    hot = skew.hot_keys(r, ["k"], ["x"], 4000)
+    assert len(hot) == 1
+    out = skew.join(r, a, ["k"], ["x"], hot, 4)
+    assert sorted(out.columns) == ["k", "name", "x"] and rows(out.groupBy("name").count()) == [("a", 3000), ("b", 1)]
+    assert skew.hot_keys(r.limit(0), ["k"], ["x"], 0) == []
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id long, v array<double>")
     assert search.correlate(empty, [1.0], "id", "v").count() == 0
