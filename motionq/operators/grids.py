@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motionq.operators.histograms import smeared
+
 
 def warp(grid: DataFrame, keys: list[str], dx: int, dy: int, rows: int, cols: int) -> DataFrame:
     """``(keys, x, y, v)`` moved by whole cells; what leaves the canvas is cut."""
@@ -17,15 +19,13 @@ def warp(grid: DataFrame, keys: list[str], dx: int, dy: int, rows: int, cols: in
 def blur(grid: DataFrame, keys: list[str], width: int = 5, sigma: float | None = None) -> DataFrame:
     """``(keys, x, y, v)``: Gaussian blur of the present cells, absent ones being 0; ``sigma`` by the width if not given.
 
-    A bounded set of offsets per cell, one aggregation; cells next to present ones appear.
+    One axis after the other; cells next to present ones appear.
     """
     half = width // 2
     s = sigma or 0.3 * ((width - 1) * 0.5 - 1) + 0.8
     one = [math.exp(-(i * i) / (2 * s * s)) for i in range(-half, half + 1)]
-    total = sum(one) ** 2
-    spread = F.explode(F.array(*[F.struct(F.lit(a - half).alias("a"), F.lit(b - half).alias("b"), F.lit(p * q / total).alias("w")) for a, p in enumerate(one) for b, q in enumerate(one)]))
-    moved = grid.withColumn("o", spread).select(*keys, (F.col("x") + F.col("o.a")).alias("x"), (F.col("y") + F.col("o.b")).alias("y"), (F.col("v") * F.col("o.w")).alias("v"))
-    return moved.groupBy(*keys, "x", "y").agg(F.round(F.sum("v"), 6).alias("v"))
+    moved = smeared(grid.select(*keys, "x", "y", "v"), keys, [w / sum(one) for w in one], ["v"])
+    return moved.withColumn("v", F.round("v", 6))
 
 
 def translation(a: DataFrame, b: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:

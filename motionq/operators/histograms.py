@@ -149,15 +149,26 @@ def gauss_norm(grid: DataFrame, keys: list[str], width: int = 5, sigma: float =
     the grid times the cell), as some published encoders do. The window is a bounded set of offsets.
     """
     half = width // 2
-    offsets = [(a, b, math.exp(-(a * a + b * b) / (2 * sigma * sigma))) for a in range(-half, half + 1) for b in range(-half, half + 1)]
-    total = sum(w for *_, w in offsets)
-    spread = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w / total).alias("w")) for a, b, w in offsets]))
-    moved = grid.withColumn("o", spread).select(*keys, (F.col("x") + F.col("o.a")).alias("x"), (F.col("y") + F.col("o.b")).alias("y"), F.col("o.w").alias("w"), F.col("v").alias("near"))
-    around = moved.groupBy(*keys, "x", "y").agg(F.sum(F.col("w") * F.col("near")).alias("s"), F.sum("w").alias("ws"))
+    one = [math.exp(-(a * a) / (2 * sigma * sigma)) for a in range(-half, half + 1)]
+    one = [w / sum(one) for w in one]
+    around = smeared(grid.select(*keys, "x", "y", F.col("v").alias("s"), F.lit(1.0).alias("ws")), keys, one, ["s", "ws"])
     mean = F.col("s") if mode == "mean" else F.col("v") * F.col("ws")
     return grid.join(around, [*keys, "x", "y"]).select(*keys, "x", "y", F.round(F.col("v") / F.greatest(mean, F.lit(floor)), 6).alias("v"))
 
 
+def smeared(grid: DataFrame, keys: list[str], weights: list[float], values: list[str]) -> DataFrame:
+    """``(keys, x, y, values)``: weighted sums over a window, one axis after the other.
+
+    A cell becomes one row for each weight of an axis and is summed before the next axis, not one for each cell of the window.
+    """
+    half = len(weights) // 2
+    for axis in "xy":
+        spread = F.explode(F.array(*[F.struct(F.lit(i - half).alias("a"), F.lit(w).alias("w")) for i, w in enumerate(weights)]))
+        moved = grid.withColumn("_o", spread).withColumns({axis: F.col(axis) + F.col("_o.a"), **{v: F.col(v) * F.col("_o.w") for v in values}})
+        grid = moved.groupBy(*keys, "x", "y").agg(*[F.sum(v).alias(v) for v in values])
+    return grid
+
+
 def pyramid(grid: DataFrame, keys: list[str], levels: int = 3) -> DataFrame:
     """``(keys, level, x, y, v)``: repeated halving by means of 2 x 2 cells; level 0 is the grid itself."""
     level = grid.select(*keys, "x", "y", "v")
@@ -217,19 +228,11 @@ def diffuse(grid: DataFrame, keys: list[str], reach: int = 20, sigma: float = 5.
     """``(keys, x, y, v)``: the box around the cells of some value, blank cells filled from those above ``threshold``.
 
     Each cell above the threshold adds its Gaussian to blank cells within ``reach``; the result is scaled by its
-    least and greatest value to 0..1000. A bounded set of offsets is joined, not all pairs of cells.
+    least and greatest value to 0..1000. The Gaussian goes along one axis after the other.
     """
     box = grid.where("v > 0").groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    offsets = [(a, b, math.exp(-(a * a + b * b) / (2 * sigma * sigma))) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
-    spread = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in offsets])) if len(offsets) <= 200 else None
-    strong = grid.where(F.col("v") > threshold)
-    if spread is None:
-        table = grid.sparkSession.createDataFrame(offsets, "a int, b int, w double")
-        strong = strong.join(F.broadcast(table)).select(*keys, "x", "y", "v", F.struct("a", "b", "w").alias("o"))
-    else:
-        strong = strong.withColumn("o", spread)
-    gift = strong.select(*keys, (F.col("x") + F.col("o.a")).alias("x"), (F.col("y") + F.col("o.b")).alias("y"), (F.col("v") * F.col("o.w")).alias("g"))
-    gift = gift.groupBy(*keys, "x", "y").agg(F.sum("g").alias("g"))
+    strong = grid.where(F.col("v") > threshold).select(*keys, "x", "y", F.col("v").alias("g"))
+    gift = smeared(strong, keys, [math.exp(-(a * a) / (2 * sigma * sigma)) for a in range(-reach, reach + 1)], ["g"])
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
     cells = grid.select(*keys, "x", "y", "v").join(gift, [*keys, "x", "y"], "full").join(box, keys).where(inside)
     v = F.coalesce("v", F.lit(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionq.functions import vec
@@ -57,6 +57,19 @@ def angular_velocity(v: np.ndarray, dv: np.ndarray) -> np.ndarray:
     return dv + a * w + b * np.cross(v, w)
 
 
+def overlapping(keys_: DataFrame, group: list[str], part: str, time: str) -> DataFrame:
+    """Keys of a series cut into parts, with the first key of each part also as the last of the part before it.
+
+    Parts without keys are passed over. One summary row a part tells which comes before which.
+    """
+    rest = [c for c in keys_.columns if c not in (*group, part, time)]
+    order = F.struct(time, *rest)
+    first = keys_.groupBy(*group, part).agg(F.min(order).alias("_first"))
+    before = first.withColumn("_before", F.lag(part).over(Window.partitionBy(*group).orderBy(part))).where("_before is not null")
+    ends = before.select(*group, F.col("_before").alias(part), "_first.*")
+    return keys_.unionByName(ends)
+
+
 def up_sample(keys_: DataFrame, group: list[str], fps: float, kind: str = "natural", nearest: bool = True) -> DataFrame:
     """``(group, t, rx, ry, rz, wx, wy, wz)``: cubic spline through axis-angle keys ``(group, t, rx, ry, rz)`` at a new rate.
 

@@ -17,12 +17,14 @@ def start(spark: SparkSession, particles: int, dim: int, seed: int = 1, low: flo
     """``(pid, x, v)``: seeded positions in [low, high], at rest."""
     if particles > PARTICLES:
         raise ValueError(f"at most {PARTICLES} particles")
-    x = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: _uniform(F.col("pid"), i, F.lit(seed)) * F.lit(high - low) + F.lit(low))
+    x = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: _uniform(F.col("pid"), F.lit(0), i, F.lit(0), seed) * F.lit(high - low) + F.lit(low))
     return spark.range(particles).select(F.col("id").alias("pid")).select("pid", x.alias("x"), F.array_repeat(F.lit(0.0), dim).alias("v"))
 
 
-def _uniform(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
+def _uniform(particle: Column, step: Column, dim: Column, draw: Column, seed: int) -> Column:
+    """A number in [0, 1) for a particle, step, dimension and draw: two rounds of a multiplicative congruence."""
+    mixed = particle.cast("long") * 7919 + step.cast("long") * 104_729 + dim.cast("long") * 1_299_709 + draw.cast("long") * 15_485_863 + seed * 32_452_843
+    return (mixed % 2_147_483_647 * 48_271 % 2_147_483_647) / F.lit(2_147_483_647.0)
 
 
 def refine(swarm: DataFrame, cost: Callable[[Column], Column], steps: int, seed: int = 1) -> tuple[Sequence[float], float, DataFrame]:
@@ -56,7 +58,7 @@ def _pull(best: Column, seed: int, step: int) -> Callable[[Column], Column]:
 
     def speed(i: Column) -> Column:
         at = lambda c: F.get(c, i)
-        r1, r2 = (_uniform(F.lit(seed), F.lit(step), F.col("pid"), i, F.lit(n)) for n in (1, 2))
+        r1, r2 = (_uniform(F.col("pid"), F.lit(step + 1), i, F.lit(n), seed) for n in (1, 2))
         v = at(F.col("v")) * F.lit(INERTIA) + F.lit(SOCIAL) * r1 * (at(best) - at(F.col("x"))) + F.lit(OWN) * r2 * (at(F.col("p")) - at(F.col("x")))
         return F.greatest(F.least(v, F.lit(TOP)), F.lit(-TOP))
 
@@ -93,3 +95,32 @@ def lucas_kanade(db, sketch, levels: int = 3, rounds: int = 10):
                 break
             d = d + np.linalg.solve(a, [(gx * e).sum(), (gy * e).sum()])
     return tuple(float(x) for x in d)
+
+
+def aligned(db: DataFrame, sketch: DataFrame, keys: list[str], levels: int = 3, rounds: int = 10, most: int = 1_000_000) -> DataFrame:
+    """``(keys, dx, dy)``: ``lucas_kanade`` of grid ``sketch(x, y, v)`` on each grid of ``db(keys, x, y, v)``.
+
+    Absent cells are 0. The sketch (at most ``most`` cells, checked) is sent to the tasks; a group is one image.
+    """
+    import numpy as np
+    import pandas as pd
+
+    cells = sketch.limit(most + 1).toPandas()
+    if len(cells) > most:
+        raise ValueError("the sketch has too many cells")
+    shape = (int(cells["x"].max()) + 1, int(cells["y"].max()) + 1) if len(cells) else (1, 1)
+
+    def grid(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(shape)
+        pdf = pdf[(pdf["x"] >= 0) & (pdf["x"] < shape[0]) & (pdf["y"] >= 0) & (pdf["y"] < shape[1])]
+        out[pdf["x"].to_numpy(int), pdf["y"].to_numpy(int)] = pdf["v"]
+        return out
+
+    drawn = grid(cells)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        dx, dy = lucas_kanade(grid(pdf), drawn, levels, rounds)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "dx": [dx], "dy": [dy]})
+
+    kinds = ", ".join(f"{k} {db.schema[k].dataType.simpleString()}" for k in keys)
+    return db.select(*keys, "x", "y", "v").groupBy(*keys).applyInPandas(work, f"{kinds}, dx double, dy double")

@@ -98,3 +98,14 @@ def running_offsets(df: DataFrame, order: str, count: str, per: int = 4096) -> D
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_s").over(upto), F.lit(0))).withColumn("_far", F.expr(f"_block div {per}")).join(F.broadcast(starts), "_far")
     out = rows.withColumn("_own", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(blocks, "_block")
     return out.select(order, (F.col("_own") + F.col("_before") + F.col("_start")).alias("offset"))
+
+
+def draw(df: DataFrame, order: str, n: int, seed: int) -> DataFrame:
+    """``df`` drawn ``n`` times with replacement, with ``draw``, the number of the draw; places in ``order`` are drawn by congruences."""
+    rows = numbered(df, order, "_row")
+    total = rows.count()
+    if not total:
+        return df.withColumn("draw", F.lit(0).cast("long")).limit(0)
+    x = ((F.col("id") + 1) * 7919 + seed * 104_729) % 2_147_483_647
+    place = x * 48_271 % 2_147_483_647 * 16_807 % 2_147_483_647 % total
+    return df.sparkSession.range(n).select(F.col("id").alias("draw"), place.alias("_row")).join(rows, "_row").drop("_row")

@@ -27,12 +27,12 @@ def blur_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.blur(histograms.grid(spark, sf_dir), ["img"])
 
 
-@query(f"""with {U_SQL}, c as (select clip, coords[1] x, coords[2] y, frame % 2 half from u where clip is not null and frame is not null and abs(coords[1]) < 1000 and abs(coords[2]) < 1000)
+@query(f"""with {U_SQL}, c as (select clip, coords[1] x, coords[2] y, frame % 2 half from u where clip is not null and frame is not null)
 select clip, round(avg(x) filter (where half = 1) - avg(x) filter (where half = 0), 6) dx, round(avg(y) filter (where half = 1) - avg(y) filter (where half = 0), 6) dy from c group by clip having min(half) = 0 and max(half) = 1""")
 def joint_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Between the odd and the even frames of a clip."""
     u = usable_points(spark, sf_dir).where("clip is not null and frame is not null and size(coords) >= 2")
-    c = u.select("clip", "frame", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y")).where("abs(x) < 1000 and abs(y) < 1000")
+    c = u.select("clip", "frame", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
     return grids.translation(c.where("frame % 2 = 0"), c.where("frame % 2 = 1"), ["clip"])
 
 

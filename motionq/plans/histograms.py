@@ -82,10 +82,10 @@ k as (select *, least(floor(t / {math.pi / 8!r}::double), 7)::int k from t), a a
 o as (select img, r, c, k bin, (1.0::double - part) * m m from a union all select img, r, c, k + 1 bin, part * m m from a where k < 7)"""
 
 
-@query(f"with {_PIXELS}, {_SPLIT} select img, bin, round(sum(m), 4) m, count(*) n from o where m <> 0 group by img, bin")
+@query(f"with {_PIXELS}, {_SPLIT} select img, r, c, bin, round(sum(m), 6) m, count(*) n from o where m <> 0 group by all")
 def orient_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = H.orientation_split(pixels(spark, sf_dir), ["img", "r", "c"])
-    return o.groupBy("img", "bin").agg(F.round(F.sum("m"), 4).alias("m"), F.count("*").alias("n"))
+    return o.groupBy("img", "r", "c", "bin").agg(F.round(F.sum("m"), 6).alias("m"), F.count("*").alias("n"))
 
 
 @query(f"""with {_PIXELS}, {_SPLIT}, d as (select img, r // 16 x, c // 16 y, bin, sum(m) m from o where m <> 0 group by all), q as (select x, y, bin, m q from d where img = 0),
@@ -116,18 +116,18 @@ def gauss_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.gauss_norm(grid(spark, sf_dir), ["img"])
 
 
-@query(f"""with {_GRID}, a as (select img, x // 2 x, y // 2 y, avg(v) v from g group by all), b as (select img, x // 2 x, y // 2 y, avg(v) v from a group by all)
-select img, 0 "level", x, y, round(v, 6) v from g union all select img, 1, x, y, round(v, 6) from a union all select img, 2, x, y, round(v, 6) from b""")
+@query(f"""with {_GRID}, a as (select img, x // 2 x, y // 2 y, avg(v) v from g group by all), b as (select img, x // 2 x, y // 2 y, avg(v) v from a group by all), c as (select img, x // 2 x, y // 2 y, avg(v) v from b group by all)
+select img, 0 "level", x, y, round(v, 6) v from g union all select img, 1, x, y, round(v, 6) from a union all select img, 2, x, y, round(v, 6) from b union all select img, 3, x, y, round(v, 6) from c""")
 def pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.pyramid(grid(spark, sf_dir), ["img"], 2)
+    return H.pyramid(grid(spark, sf_dir), ["img"])
 
 
 @query(f"""with {_PIXELS}, s as (select *, unnest([1, 2]) side from p), z as (select *, r + (case side when 1 then 5.0::double else -5.0::double end) * cos(theta) a, c + (case side when 1 then 5.0::double else -5.0::double end) * sin(theta) b from s),
 k as (select *, unnest([0, 1, 2, 3]) k from z)
-select side, k, sum(greatest(least(case when k < 2 then ceil(a) else floor(a) end, 479), 0))::bigint pr, sum(greatest(least(case when k % 2 = 0 then ceil(b) else floor(b) end, 479), 0))::bigint pc, count(*) n from k group by side, k""")
+select img, r, c, side, k, greatest(least(case when k < 2 then ceil(a) else floor(a) end, 479), 0)::int pr, greatest(least(case when k % 2 = 0 then ceil(b) else floor(b) end, 479), 0)::int pc, count(*) n from k group by all""")
 def pixel_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = H.project_pixels(pixels(spark, sf_dir), ["img", "m"], 5.0, 480, 480)
-    return p.groupBy("side", "k").agg(F.sum("pr").alias("pr"), F.sum("pc").alias("pc"), F.count("*").alias("n"))
+    return p.groupBy("img", "r", "c", "side", "k", "pr", "pc").agg(F.count("*").alias("n"))
 
 
 @query(f"with {_PIXELS} select img, min(r) x0, min(c) y0, max(r) x1, max(c) y1 from p where m > 25 group by img")
@@ -135,26 +135,38 @@ def bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).where("m > 25").groupBy("img").agg(F.min("r").alias("x0"), F.min("c").alias("y0"), F.max("r").alias("x1"), F.max("c").alias("y1"))
 
 
-@query(f"""with {_PIXELS} select img, round(sum(sqrt(pow(cos(theta) * cos(theta) * m * (r - 240)::double, 2) + pow(sin(theta) * sin(theta) * m * (c - 240)::double, 2))), 3) response from p group by img""")
+@query(f"""with {_PIXELS} select img, r, c, theta, m, round(sqrt(pow(cos(theta) * cos(theta) * m * (r - 240)::double, 2) + pow(sin(theta) * sin(theta) * m * (c - 240)::double, 2)), 6) response from p""")
 def edge_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response with the magnitude as length and the position as gradient."""
     gx, gy = ((F.col(c) - F.lit(240)).cast("double") for c in ("r", "c"))
-    p = pixels(spark, sf_dir).withColumn("e", H.edge_response(F.col("m"), F.col("theta"), gx, gy))
-    return p.groupBy("img").agg(F.round(F.sum("e"), 3).alias("response"))
+    return pixels(spark, sf_dir).withColumn("response", F.round(H.edge_response(F.col("m"), F.col("theta"), gx, gy), 6))
 
 
-@query(f"""with {_GRID}, box as (select img, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from g where v > 0 group by img), o as (select * from range(-3, 4) a(a), range(-3, 4) b(b)),
+@query(f"""with {_GRID}, box as (select img, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from g where v > 0 group by img), o as (select * from range(-20, 21) a(a), range(-20, 21) b(b)),
 gift as (select img, x + a x, y + b y, sum(v * exp(-((a * a + b * b)::double) / 50.0::double)) gift from g, o where v > 60 group by 1, 2, 3),
 c as (select img, x, y, case when coalesce(v, 0) > 60 then v else coalesce(v, 0) + coalesce(gift, 0) end v from g full join gift using (img, x, y) join box using (img) where x between x0 and x1 and y between y0 and y1)
 select img, x, y, round(coalesce((v - min(v) over i) * 1000 / nullif(max(v) over i - min(v) over i, 0), 0), 6) v from c window i as (partition by img)""")
 def contour_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.diffuse(grid(spark, sf_dir), ["img"], reach=3, sigma=5.0, threshold=60.0)
+    return H.diffuse(grid(spark, sf_dir), ["img"], reach=20, sigma=5.0, threshold=60.0)
 
 
-def edge_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Message passing (iterative, checked by tests)."""
-    one = pixels(spark, sf_dir).groupBy("img", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).agg(F.min("theta").alias("theta"), F.max("m").alias("m"))
-    return H.edge_lengths(one, ["img"], 2.0, 480, 480, 2)
+def _length_sql(rounds: int) -> str:
+    four = " union all ".join(
+        f"select img, r, c, theta, {side} side, greatest(least({f}(r + {sign} * cos(theta)), 479), 0)::int pr, greatest(least({g}(c + {sign} * sin(theta)), 479), 0)::int pc from o"
+        for side, sign in ((1, "2.0::double"), (2, "-2.0::double")) for f in ("ceil", "floor") for g in ("ceil", "floor")
+    )
+    out = [_PIXELS, "o as (select img, r::int r, c::int c, min(theta) theta, max(m) m from p group by 1, 2, 3)", f"z as ({four})"]
+    out.append(f"l as (select z.img, z.r, z.c, side, pr, pc, 0.25::double * exp(-(z.theta - o.theta) * (z.theta - o.theta) / {2 * math.pi / 5!r}::double) w from z join o on o.img = z.img and o.r = pr and o.c = pc)")
+    out.append("s0 as (select img, r, c, m, 0.0::double m1, 0.0::double m2 from o)")
+    for i in range(rounds):
+        one = lambda s: f"m * coalesce(sum(w) filter (where side = {s}), 0) + coalesce(sum(w * n.m{s}) filter (where side = {s}), 0) m{s}"
+        old = f"(select l.*, h.m1, h.m2 from l join s{i} h on h.img = l.img and h.r = pr and h.c = pc)"
+        out.append(f"s{i + 1} as (select s.img, s.r, s.c, s.m, {one(1)}, {one(2)} from s{i} s left join {old} n on n.img = s.img and n.r = s.r and n.c = s.c group by 1, 2, 3, 4)")
+    return f"with {', '.join(out)} select img, r, c, round(m1 + m2 + m, 6) length from s{rounds}"
 
 
-query()(edge_length)
+@query(_length_sql(3))
+def edge_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message passing, three rounds."""
+    one = pixels(spark, sf_dir).groupBy("img", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).agg(F.min("theta").alias("theta"), F.max("m").alias("m"))
+    return H.edge_lengths(one, ["img"], 2.0, 480, 480)

@@ -22,14 +22,14 @@ def corr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {E_SQL}, q as (select i, v from e where vec_id = 0), w as (select * from (values {", ".join(f"({p}, {w})" for p, w in LIMBS.items())}) t(limb, weight)),
-c as (select e.vec_id, (i - 1) // 9 limb, corr(e.v, q.v) c from e join q using (i) where i <= 63 group by 1, 2)
+c as (select e.vec_id, least((i - 1) // 9, 6) limb, corr(e.v, q.v) c from e join q using (i) group by 1, 2)
 select vec_id, round(sum(c * weight::double), 6) score from c join w using (limb) group by vec_id order by score desc, vec_id desc limit 50""")
 def limb_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = vectors(spark, sf_dir)
     q = vector_of(e, 0)
-    parts = F.array(*[F.struct(F.lit(p).alias("limb"), vec.piece("v", 9 * p, 9).alias("part")) for p in LIMBS])
+    parts = F.array(*[F.struct(F.lit(p).alias("limb"), vec.piece("v", 9 * p, 9 if p < 6 else 10).alias("part")) for p in LIMBS])
     db = e.select("vec_id", F.explode(parts).alias("x")).select("vec_id", "x.limb", "x.part")
-    return search.fused(db, {p: q[9 * p : 9 * p + 9] for p in LIMBS}, LIMBS, "vec_id", "limb", "part")
+    return search.fused(db, {p: q[9 * p : 9 * p + 9 if p < 6 else None] for p in LIMBS}, LIMBS, "vec_id", "limb", "part")
 
 
 @query(f"""with {E_SQL}, q as (select i, v from e where vec_id = 1 and (i - 1) // 8 in {SKETCH}),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionq.functions import vec
+from motionq.operators import reduce, series
 from motionq.plans.common import E_SQL, Catalogue, read, vectors
 from motionq.sources import stores, text
 
@@ -73,17 +74,26 @@ def empty_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("sketch_id", (F.coalesce(F.array_max(F.transform("h", lambda x: F.coalesce(x, F.lit(-1)))), F.lit(-1)) == -1).alias("empty"))
 
 
+@query("""with n as (select count(*) n from embeddings), o as (select vec_id, label, row_number() over (order by vec_id) - 1 seat from embeddings),
+d as (select r.range draw, ((((r.range + 1) * 7919 + 7 * 104729) % 2147483647 * 48271 % 2147483647) * 16807 % 2147483647) % n.n place from range(0, (select n // 10 from n)) r, n)
+select draw, vec_id, label from d join o on d.place = o.seat""")
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of the vectors, drawn with replacement (seeded sampling operator)."""
-    return read(spark, sf_dir, "embeddings").select("vec_id", "label").sample(withReplacement=True, fraction=0.1, seed=7)
+    """A tenth of the vectors, drawn with replacement by their places in order."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return series.draw(e, "vec_id", e.count() // 10, 7).select("draw", "vec_id", "label")
 
 
+@query(f"with {E_SQL} select vec_id, 64 n, round(sum(v * v), 5) norm from e group by vec_id")
 def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors on as many principal components as keep 95 % of the variance (signs are arbitrary)."""
-    from motionq.operators import reduce
-
-    return reduce.project(vectors(spark, sf_dir), "vec_id", "v", 0.95)
-
-
-query()(sample_rows)
-query()(pca_project)
+    """Vectors on all principal components, which keep their lengths."""
+    p = reduce.project(vectors(spark, sf_dir), "vec_id", "v", 64)
+    return p.select("vec_id", F.size("pc").alias("n"), F.round(vec.dot("pc", "pc"), 5).alias("norm"))
+
+
+@query("select i.range::int i, j.range::int j, 0.0::double covariance, true falling from range(6) i, range(6) j where i.range < j.range")
+def pca_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first components that keep 95 % of the variance are uncorrelated and ever less varied."""
+    p = reduce.project(vectors(spark, sf_dir), "vec_id", "v", 0.95)
+    x = p.select("vec_id", F.posexplode(F.slice("pc", 1, 6)).alias("i", "x"))
+    both = x.join(x.select("vec_id", F.col("i").alias("j"), F.col("x").alias("y")), "vec_id").where("i < j").groupBy("i", "j")
+    return both.agg((F.round(F.covar_samp("x", "y"), 6) + 0.0).alias("covariance"), (F.var_samp("x") >= F.var_samp("y") - 1e-9).alias("falling"))
