@@ -1,4 +1,4 @@
-"""Scalar helpers that run on the driver: error function, seeded random draws, small matrices, splines."""
+"""Numpy helpers: small matrices, frames, splines, rational curves."""
 
 from __future__ import annotations
 
@@ -7,23 +7,6 @@ import math
 import numpy as np
 
 
-def erf(x: float) -> float:
-    return math.erf(x)
-
-
-def random_ints(rng: np.random.Generator, low: int, high: int, size=None):
-    """Integers in [low, high], both included."""
-    return rng.integers(low, high + 1, size)
-
-
-def gaussian(rng: np.random.Generator, size=None):
-    return rng.normal(size=size)
-
-
-def cauchy(rng: np.random.Generator, size=None):
-    return rng.standard_cauchy(size=size)
-
-
 def matrix_inverse(m: np.ndarray, damping: float = 0.0) -> np.ndarray:
     """Inverse, or with ``damping`` the damped pseudo-inverse ``m' (m m' + damping^2 I)^-1``."""
     m = np.asarray(m, float)
@@ -61,42 +44,54 @@ def spline(t: np.ndarray, y: np.ndarray, kind: str = "natural", slopes: tuple[fl
     if n < 3 and kind != "clamped" or n < 2:
         return np.zeros_like(y)
     h = np.diff(t)
-    shape = (-1,) + (1,) * (y.ndim - 1)
-    rise = np.diff(y, axis=0) / h.reshape(shape)
-    a, rhs = np.zeros((n, n)), np.zeros_like(y)
-    inner = np.arange(1, n - 1)
-    a[inner, inner - 1], a[inner, inner + 1] = h[:-1], h[1:]
-    a[inner, inner] = 2 * (h[:-1] + h[1:])
+    rise = np.diff(y, axis=0) / h.reshape((-1,) + (1,) * (y.ndim - 1))
+    if kind == "periodic":
+        m = _cyclic(np.roll(h, 1), 2 * (np.roll(h, 1) + h), h, 6 * (rise - np.roll(rise, 1, axis=0)))
+        return np.concatenate([m, m[:1]])
+    low, mid, up, rhs = np.zeros(n), np.ones(n), np.zeros(n), np.zeros_like(y)
+    low[1:-1], mid[1:-1], up[1:-1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
     rhs[1:-1] = 6 * np.diff(rise, axis=0)
-    if kind == "natural":
-        a[0, 0] = a[-1, -1] = 1
-    elif kind == "clamped":
-        a[0, :2], a[-1, -2:] = (2 * h[0], h[0]), (h[-1], 2 * h[-1])
+    if kind == "clamped":
+        mid[0], up[0], low[-1], mid[-1] = 2 * h[0], h[0], h[-1], 2 * h[-1]
         rhs[0], rhs[-1] = 6 * (rise[0] - slopes[0]), 6 * (slopes[1] - rise[-1])
-    elif kind == "periodic":
-        a[0, 0], a[0, -1] = 1, -1
-        a[-1, 0], a[-1, 1] = 2 * h[0], h[0]
-        a[-1, -2], a[-1, -1] = h[-1], 2 * h[-1]
-        rhs[-1] = 6 * (rise[0] - rise[-1])
-    else:
+    elif kind != "natural":
         raise ValueError(kind)
-    return np.linalg.solve(a, rhs) if n <= 64 or kind == "periodic" else _thomas(a, rhs)
+    return _thomas(low, mid, up, rhs)
 
 
-def _thomas(a: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-    n = len(rhs)
-    low, mid, up = np.append(0, np.diag(a, -1)), np.diag(a).copy(), np.append(np.diag(a, 1), 0)
-    x = rhs.copy()
-    for i in range(1, n):
+def _thomas(low: np.ndarray, mid: np.ndarray, up: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """Solution of a tridiagonal system given by its diagonals (``low[0]`` and ``up[-1]`` don't count)."""
+    mid, x = mid.astype(float), np.array(rhs, float)
+    for i in range(1, len(mid)):
         w = low[i] / mid[i - 1]
         mid[i] -= w * up[i - 1]
         x[i] -= w * x[i - 1]
     x[-1] /= mid[-1]
-    for i in range(n - 2, -1, -1):
+    for i in range(len(mid) - 2, -1, -1):
         x[i] = (x[i] - up[i] * x[i + 1]) / mid[i]
     return x
 
 
+def _cyclic(low: np.ndarray, mid: np.ndarray, up: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """As ``_thomas``, where ``low[0]`` joins the first row with the last and ``up[-1]`` the last with the first."""
+    n = len(mid)
+    if n < 3:
+        a = np.diag(mid.astype(float))
+        for i in range(n):
+            a[i, i - 1] += low[i]
+            a[i, (i + 1) % n] += up[i]
+        return np.linalg.solve(a, rhs)
+    g = -mid[0]
+    inner = mid.astype(float)
+    inner[0] -= g
+    inner[-1] -= up[-1] * low[0] / g
+    u = np.zeros(n)
+    u[0], u[-1] = g, up[-1]
+    x, z = _thomas(low, inner, up, rhs), _thomas(low, inner, up, u)
+    ratio = (x[0] + low[0] / g * x[-1]) / (1 + z[0] + low[0] / g * z[-1])
+    return x - z.reshape((-1,) + (1,) * (x.ndim - 1)) * ratio
+
+
 def spline_at(t: np.ndarray, y: np.ndarray, m: np.ndarray, at: np.ndarray, order: int = 0) -> np.ndarray:
     """Value (order 0) or derivative of the spline with second derivatives ``m``; clamped to the ends."""
     y = np.asarray(y, float)

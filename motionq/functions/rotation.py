@@ -159,6 +159,30 @@ def orientation_distance(a: Column, b: Column) -> Column:
     return F.lit(2.0) * let(let(a, lambda x: let(b, lambda y: q_mul(q_conj(x), y))), half)
 
 
+def q_decompose(q: Column, axis: Column) -> tuple[Column, Column]:
+    """``(swing, twist)`` with ``q = swing * twist``, the twist turning about the unit ``axis``; null for half turns across it."""
+    along = lambda q: q["x"] * axis["x"] + q["y"] * axis["y"] + q["z"] * axis["z"]
+    twist = let(q, lambda q: let(along(q), lambda d: _normal(quat(q["s"], axis["x"] * d, axis["y"] * d, axis["z"] * d))))
+    return let(q, lambda q: let(twist, lambda t: q_mul(q, q_conj(t)))), twist
+
+
+def q_log(q: Column) -> Column:
+    """Half of the axis angle of a unit quaternion."""
+    return scale(q_to_axis_angle(q), F.lit(0.5))
+
+
+def q_exp(v: Column) -> Column:
+    """The unit quaternion whose ``q_log`` is ``v``."""
+    return axis_angle_to_q(scale(v, F.lit(2.0)))
+
+
+def orthogonal(v: Column) -> tuple[Column, Column]:
+    """Two unit vectors that make a right-handed system with the unit vector ``v``."""
+    side = F.when(F.abs(v["x"]) < 0.9, vec3(1, 0, 0)).otherwise(vec3(0, 1, 0))
+    first = let(side, lambda s: unit(cross(v, s)))
+    return first, let(first, lambda f: cross(v, f))
+
+
 def axis_angle_to_q(v: Column) -> Column:
     def turned(v: Column) -> Column:
         theta = length(v)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motionq.functions import rotation as R
 from motionq.operators.histograms import smeared
 
 
@@ -60,3 +61,32 @@ def vertex_normals(mesh: DataFrame, keys: list[str]) -> DataFrame:
     sums = mesh.join(normal, [*keys, "face"]).groupBy(*keys, "vertex").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in "xyz"])
     size = F.sqrt(sum((F.col(f"n{c}") * F.col(f"n{c}") for c in "xyz"), F.lit(0.0)))
     return sums.select(*keys, "vertex", *[F.round(F.try_divide(f"n{c}", size), 6).alias(f"n{c}") for c in "xyz"])
+
+
+def inside_sphere(v: Column, centre: Column, radius: Column) -> Column:
+    return R.let(R.sub(v, centre), lambda d: R.dot3(d, d)) <= radius * radius
+
+
+def inside_capsule(v: Column, a: Column, b: Column, radius: Column) -> Column:
+    """Within ``radius`` of the segment from ``a`` to ``b``."""
+    way, off = R.sub(b, a), R.sub(v, a)
+    t = F.greatest(F.least(F.coalesce(F.try_divide(R.dot3(off, way), R.dot3(way, way)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return inside_sphere(v, R.let(t, lambda t: R.add(a, R.scale(way, t))), radius)
+
+
+def inside_cylinder(v: Column, a: Column, b: Column, radius: Column) -> Column:
+    """Between the discs of ``radius`` about ``a`` and ``b``; a cylinder without height holds nothing."""
+    way, off = R.sub(b, a), R.sub(v, a)
+    t = F.try_divide(R.dot3(off, way), R.dot3(way, way))
+    return F.coalesce(R.let(t, lambda t: t.between(0.0, 1.0) & inside_sphere(v, R.add(a, R.scale(way, t)), radius)), F.lit(False))
+
+
+def plane_side(v: Column, point: Column, normal: Column) -> Column:
+    """Signed distance to the plane through ``point`` with unit ``normal``."""
+    return R.dot3(R.sub(v, point), normal)
+
+
+def posture_range(frames: DataFrame, keys: list[str], frame: str, interval: int = 5) -> DataFrame:
+    """``(keys, first, last, ticks)``: the range 0 to n - 1 of a sequence of n different frames, and its marks every ``interval``."""
+    n = frames.where(F.col(frame).isNotNull()).groupBy(*keys).agg(F.countDistinct(frame).alias("n"))
+    return n.select(*keys, F.lit(0).cast("long").alias("first"), (F.col("n") - 1).alias("last"), F.expr(f"(n - 1) div {interval} + 1").alias("ticks"))

@@ -64,6 +64,7 @@ class Plan:
     m: int
     width: float = WIDTH
     seed: int = 7
+    norm: int = 2
 
     @property
     def count(self) -> int:
@@ -118,9 +119,10 @@ def measured_costs(dim: int, repeats: int = 200_000, seed: int = 0) -> tuple[flo
 
 
 def functions(p: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Directions ``(m, k / 2, dim)`` and offsets ``(m, k / 2)``; seeded."""
+    """Directions ``(m, k / 2, dim)``, Gaussian for norm 2 and Cauchy for norm 1, and offsets ``(m, k / 2)``; seeded."""
     rng = np.random.default_rng(p.seed)
-    return rng.normal(size=(p.m, p.k // 2, p.dim)), rng.uniform(0, p.width, (p.m, p.k // 2))
+    draw = rng.normal if p.norm == 2 else lambda size: rng.standard_cauchy(size)
+    return draw(size=(p.m, p.k // 2, p.dim)), rng.uniform(0, p.width, (p.m, p.k // 2))
 
 
 def half_keys(df: DataFrame, p: Plan, key: str, vector: str) -> DataFrame:
@@ -154,7 +156,7 @@ def near(df: DataFrame, queries: DataFrame, p: Plan, key: str, vector: str) -> D
     pairs = skew.join(index, q, at, [key], hot).where(F.col("query") != F.col(key)).select("query", key).distinct()
     left = queries.select(F.col(key).alias("query"), vec.col(vector).alias("q"))
     d = pairs.join(left, "query").join(df.select(key, vec.col(vector).alias("p")), key)
-    return d.select("query", F.col(key).alias("key"), F.round(vec.l2("q", "p"), 6).alias("distance")).where(F.col("distance") <= p.radius)
+    return d.select("query", F.col(key).alias("key"), F.round(vec.distance("q", "p", "l2" if p.norm == 2 else "l1"), 6).alias("distance")).where(F.col("distance") <= p.radius)
 
 
 def radius_classes(nearest: DataFrame, bounds: list[float], distance: str = "distance") -> DataFrame:
@@ -166,6 +168,12 @@ def radius_classes(nearest: DataFrame, bounds: list[float], distance: str = "dis
 
 
 def degraded(df: DataFrame, key: str, vector: str, share: float, seed: int = 3) -> DataFrame:
-    """Copies of vectors with about ``share`` of their values set to 0, by a hash of key and position."""
-    gone = lambda i: F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(1000)) < int(share * 1000)
+    """Copies of vectors with about ``share`` of their values set to 0, by a mix of (whole number) key and position."""
+    gone = lambda i: (F.col(key).cast("long") * 7919 + i * 104_729 + seed * 15_485_863) % 1009 * 48_271 % 1009 < int(share * 1009)
     return df.withColumn(vector, F.transform(vec.col(vector), lambda x, i: F.when(gone(i), 0.0).otherwise(x)))
+
+
+def statistics(index: DataFrame) -> DataFrame:
+    """``(table_id, rows, buckets, largest)`` of a bucket table."""
+    sizes = index.groupBy("table_id", "bucket").agg(F.count("*").alias("n"))
+    return sizes.groupBy("table_id").agg(F.sum("n").alias("rows"), F.count("*").alias("buckets"), F.max("n").alias("largest"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from motionq.operators import lsh
+from motionq.operators.series import with_previous
+from motionq.tables import fresh
 
 
 def accumulate(votes: DataFrame, key: str, order: list[str], score: str, reset: str) -> DataFrame:
@@ -66,3 +70,64 @@ def insert_into_index(points: DataFrame, plan: lsh.Plan, key: str, vector: str,
         lsh.bucket_table(batch, plan, key, vector).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return points.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def drained(df: DataFrame, mode: str, key: str | None = None) -> DataFrame:
+    """Run a stream over all that is there, into tables of the shared folder, and give its result.
+
+    ``append``: all rows; ``complete``: those of the last batch; ``update``: the last row of each ``key``. Batches are
+    written under their numbers, so a repeated one counts once; state and progress lie in the shared folder too.
+    """
+    path, checkpoint = fresh(df.sparkSession), fresh(df.sparkSession)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    schema = StructType([*df.schema.fields, StructField("batch", IntegerType())])
+    try:
+        rows = df.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    except AnalysisException:  # no batch at all
+        rows = df.sparkSession.createDataFrame([], schema)
+    if mode == "append":
+        return rows.drop("batch")
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        return rows.where(F.col("batch") == F.lit(last)).drop("batch")
+    return latest(rows, key)
+
+
+def requery(strokes: DataFrame, keys: list[str], search: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **trigger):
+    """Start a query that answers anew for the sessions that drew something, at every trigger.
+
+    Strokes are kept at ``path/strokes``; ``search`` gets all strokes of the changed sessions and gives rows with ``keys``,
+    written to ``path/answers`` under the batch number. ``answers`` reads them.
+    """
+
+    def again(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/strokes/batch={number}")
+        changed = spark.read.parquet(f"{path}/strokes/batch={number}").select(*keys).distinct()
+        drawn = spark.read.parquet(f"{path}/strokes").where(F.col("batch") <= number).drop("batch").join(changed, keys, "left_semi")
+        search(drawn).write.mode("overwrite").parquet(f"{path}/answers/batch={number}")
+
+    return strokes.writeStream.foreachBatch(again).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def answers(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The answers of ``requery`` of the last batch in which each session drew."""
+    rows = spark.read.parquet(f"{path}/answers")
+    last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [*keys, "batch"]).drop("batch")
+
+
+def replay(strokes: DataFrame, keys: list[str], time: str, tie: str, width: int = 3600) -> DataFrame:
+    """Strokes with ``elapsed`` seconds since the first of their session and ``wait`` since the one before, to be shown again in time.
+
+    Rows without time are left out. ``width``: seconds in a block of a long session.
+    """
+    at = strokes.where(F.col(time).isNotNull()).withColumn("_s", F.unix_micros(F.col(time).cast("timestamp")) / 1e6)
+    first = at.groupBy(*keys).agg(F.min("_s").alias("_first"))
+    rows = with_previous(at, keys, "_s", tie, ["_s"], width)
+    wait = F.coalesce(F.col("_s") - F.col("prev._s"), F.lit(0.0))
+    return rows.join(first, keys).withColumns({"elapsed": F.round(F.col("_s") - F.col("_first"), 6), "wait": F.round(wait, 6)}).drop("_s", "_first", "prev")
