@@ -8,9 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths written, and path by identity of the DataFrame (no DataFrame may lie here: modules travel to tasks by value).
+#: Paths written; modules travel to tasks by value, so no DataFrame may lie here.
 _written: set[str] = set()
-_path_of: dict[int, str] = {}
 _own: list[str] = []
 
 
@@ -49,7 +48,7 @@ def table(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(clean, before)
     out = spark.read.schema(df.schema).parquet(path)
-    _path_of[id(out)] = path
+    out.__dict__["_path"] = path
     return out
 
 
@@ -64,7 +63,9 @@ def _delete(spark: SparkSession, paths) -> None:
 def dropped(*tables: DataFrame) -> None:
     """Delete the files of tables (of ``table``) that no plan still to run reads."""
     for t in tables:
-        _delete(t.sparkSession, [p for p in [_path_of.pop(id(t), None)] if p])
+        path = t.__dict__.pop("_path", None)
+        if path:
+            _delete(t.sparkSession, [path])
 
 
 @atexit.register
