@@ -21,7 +21,7 @@ BIG, BLOCK = 128, 2048
 #: Rows that one task should sort.
 TASK_ROWS = 4_000_000
 #: Keys of the sample that shows crowded buckets, how many of them must share one, and most such buckets.
-SAMPLE_KEYS, CROWD, MOST_CROWDED = 20_000, 20, 10_000
+SAMPLE_KEYS, CROWD, MOST_CROWDED = 6_000, 12, 10_000
 FOUND = "bucket long, a long, b long, f int"
 
 

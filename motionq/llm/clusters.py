@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionq.llm import cells as C
-from motionq.llm.shared import components, merge_labels, table
+from motionq.llm.shared import components, dropped, merge_labels, table
 
 #: Bands and minima in each. Grid cells are GRID * radius / sqrt(columns) wide: a pair just within the
 #: radius then differs in about one of GRID tokens, and is missed by all bands with a chance of 6e-6.
@@ -244,23 +244,59 @@ def described(members: DataFrame, typical: int = 3) -> DataFrame:
     return size.join(medoids, "cluster_id").select("cluster_id", "size", "links", F.transform("best", lambda b: -b["m"]).alias("medoids"))
 
 
-def split_loose(points: DataFrame, members: DataFrame, radius: float = 6.0, spread: float = 2.0, rounds: int = 4) -> DataFrame:
-    """``(id, cluster_id, medoid)``: members farther than ``spread * radius`` from their medoid leave.
+#: Members of highest degree that may become medoids in one round, and rows that one task compares with them.
+CANDIDATES, MEMBER_ROWS = 512, 50_000
 
-    The medoid of a cluster is its record of highest degree (ties: smaller id). Those who leave form
-    the next group of the cluster around their own medoid; after ``rounds`` the rest keeps the last
-    medoid, so every member has exactly one. Needs ``degree``.
+
+def split_loose(points: DataFrame, members: DataFrame, radius: float = 6.0, spread: float = 2.0, candidates: int = CANDIDATES) -> DataFrame:
+    """``(id, cluster_id, medoid)``: every member of a cluster with the medoid of its group, at most ``spread * radius`` away.
+
+    The first medoid of a cluster is its record of highest degree (ties: smaller id), the next the one of highest degree among
+    those too far from all before, and so on; members go to the first medoid near enough. Needs ``degree``.
+    A round takes its medoids from the ``candidates`` members of highest degree that are left, which gives the same as
+    one medoid a round; rounds go on until nobody is left. A cluster is compared in blocks of about ``MEMBER_ROWS``.
     """
-    x = points.select("id", "coords").where("coords is not null").dropDuplicates(["id"])
-    left = table(members.join(x, "id"))
-    done: DataFrame | None = None
-    for turn in range(rounds):
-        medoid = left.groupBy("cluster_id").agg(F.max_by(F.struct("id", "coords"), F.struct("degree", -F.col("id"))).alias("m"))
-        d2 = F.aggregate(F.zip_with("coords", "m.coords", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        far = left.join(medoid, "cluster_id").withColumn("far", F.sqrt(d2) > spread * radius)
-        far = table(far)
-        stay = far if turn == rounds - 1 else far.where("not far")
-        stay = stay.select("id", "cluster_id", F.col("m.id").alias("medoid"))
-        done = stay if done is None else done.unionByName(stay)
-        left = far.where("far").drop("m", "far")
-    return done
+    x = points.select("id", "coords").where("coords is not null and id is not null").dropDuplicates(["id"])
+    left = table(members.select("id", "cluster_id", "degree").join(x, "id"))
+    limit, done = spread * radius, []
+
+    def choose(t: pa.Table) -> pa.Table:
+        ids, degree = t.column("id").to_numpy(), t.column("degree").to_numpy()
+        order = np.lexsort((ids, -degree))
+        x = np.array(t.column("coords").to_pylist(), float)[order]
+        free, picked = np.ones(len(x), bool), []
+        for i in range(len(x)):
+            if free[i]:
+                picked.append(i)
+                free &= np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 6) > limit
+        return t.take(pa.array(order[picked])).append_column("turn", pa.array(np.arange(len(picked), dtype=np.int32)))
+
+    def gather(near: pa.Table, medoids: pa.Table) -> pa.Table:
+        medoids = medoids.sort_by("turn")
+        x, m = (np.array(t.column("coords").to_pylist(), float) for t in (near, medoids))
+        medoid = np.full(near.num_rows, -1)
+        for k in range(len(m) if near.num_rows else 0):
+            open_ = np.flatnonzero(medoid < 0)
+            medoid[open_[np.round(np.sqrt(((x[open_] - m[k]) ** 2).sum(1)), 6) <= limit]] = k
+        named = pa.array(np.where(medoid < 0, 0, medoids.column("id").to_numpy()[np.maximum(medoid, 0)]) if near.num_rows else np.zeros(0, int), pa.int64(), mask=medoid < 0)
+        return near.drop_columns(["salt"]).append_column("medoid", named)
+
+    rows = "id long, cluster_id long, degree long, coords array<double>"
+    order = [F.desc("degree"), F.col("id")]
+    while left.head(1):
+        sizes = left.groupBy("cluster_id").agg(F.ceil(F.count("*") / MEMBER_ROWS).cast("int").alias("blocks"))
+        salted = left.join(sizes, "cluster_id").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+        part, whole = Window.partitionBy("cluster_id", "salt").orderBy(*order), Window.partitionBy("cluster_id").orderBy(*order)
+        top = salted.withColumn("r", F.row_number().over(part)).where(F.col("r") <= candidates)
+        top = top.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= candidates).select("id", "cluster_id", "degree", "coords")
+        medoids = top.groupBy("cluster_id").applyInArrow(choose, f"{rows}, turn int")
+        each = medoids.join(sizes, "cluster_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        by = ["cluster_id", "salt"]
+        before, named = left, table(salted.groupBy(*by).cogroup(each.groupBy(*by)).applyInArrow(gather, f"{rows}, medoid long"))
+        dropped(before)
+        done.append(named.where("medoid is not null").select("id", "cluster_id", "medoid"))
+        left = named.where("medoid is null").drop("medoid")
+    out = left.select("id", "cluster_id", F.lit(None).cast("long").alias("medoid")) if not done else done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

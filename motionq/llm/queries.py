@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from motionq.llm import bbit, bpe, clusters, knn, prefixjoin, quota, splitter, wumanber
 
@@ -35,17 +36,19 @@ def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.described(clusters.clusters(_read(spark, sf_dir, "points"), with_degree=True))
 
 
+def p4_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters split so that no member is farther than 12.0 from the medoid of its group: each group with its size."""
+    points = _read(spark, sf_dir, "points")
+    groups = clusters.split_loose(points, clusters.clusters(points, with_degree=True))
+    return groups.groupBy("cluster_id", "medoid").agg(F.count("*").alias("size"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.pairs(knn.nearest(_read(spark, sf_dir, "points")))
 
 
 def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest within 6.0 of every usable record, with distance; ``p5_nearest_all`` is without the limit."""
-    return knn.nearest(_read(spark, sf_dir, "points"))
-
-
-def p5_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest of every usable record however far, with distance."""
+    """The 5 nearest of every usable record, however far, with distance."""
     return knn.nearest_all(_read(spark, sf_dir, "points"))
 
 
@@ -72,7 +75,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitter.split(_read(spark, sf_dir, "documents"), with_text=False).where("piece = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_subset, p3_found, p4_found, p4_clusters, p5_found, p5_nearest, p5_nearest_all, p6_ids, p7_found, p7_leaks, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_subset, p3_found, p4_found, p4_clusters, p4_split, p5_found, p5_nearest, p6_ids, p7_found, p7_leaks, p8_found, p8_pieces)}
 _USABLE = """u as (select id, any_value(coords) coords from points where coords is not null and len(coords) = dimension and dimension > 0
   and not list_contains(list_transform(coords, lambda x: x is null), true) and list_min(coords) < list_max(coords) group by id),
 d as (select a.id a, b.id b, round(list_distance(a.coords, b.coords), 6) d from u a join u b on len(a.coords) = len(b.coords) and a.id < b.id),
@@ -95,10 +98,11 @@ j as (select p.id a, q.id b, count(*) c from s p join s q on p.v = q.v and p.id
 select a id_a, b id_b from j join n x on x.id = a join n y on y.id = b where c >= 0.7::double * (x.n + y.n - c) - 1e-9::double""",
     "p4_found": f"""with recursive {_USABLE}, {_REACHED}, c as (select id, min(root) cluster_id from r group by id)
 select id, cluster_id from c qualify count(*) over (partition by cluster_id) >= 5""",
+    "p4_clusters": f"""with recursive {_USABLE}, {_REACHED}, c as (select id, min(root) cluster_id from r group by id), g as (select a id, count(*) degree from n group by 1),
+m as (select cluster_id, c.id, degree from c join g on c.id = g.id qualify count(*) over (partition by cluster_id) >= 5)
+select cluster_id, count(*) size, (sum(degree) / 2)::bigint links, list(id order by degree desc, id)[1:3] medoids from m group by cluster_id""",
     "p5_found": f"""with {_USABLE}, r as (select a, b, rank() over (partition by a order by d) k from n)
 select distinct least(a, b) id_a, greatest(a, b) id_b from r where k <= 5""",
-    "p5_nearest": f"""with {_USABLE}, r as (select a id, b other, d distance, rank() over (partition by a order by d) k from n)
-select id, other, distance from r where k <= 5""",
-    "p5_nearest_all": f"""with {_USABLE}, m as (select a, b, d from d union all select b, a, d from d), r as (select a id, b other, d distance, rank() over (partition by a order by d) k from m)
+    "p5_nearest": f"""with {_USABLE}, m as (select a, b, d from d union all select b, a, d from d), r as (select a id, b other, d distance, rank() over (partition by a order by d) k from m)
 select id, other, distance from r where k <= 5""",
 }

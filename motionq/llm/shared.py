@@ -1,84 +1,15 @@
-"""Lineage cuts, connected components and Arrow/numpy helpers shared by the operators here."""
+"""Connected components and Arrow/numpy helpers shared by the operators here."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_written: set[str] = set()
-#: Path by identity of the DataFrame; modules travel to tasks by value, so nothing here may hold a DataFrame.
-_path_of: dict[int, str] = {}
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only a local master may go without the setting (tests); it then gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="motionq-"))
-    return "file://" + _own[0]
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table into the shared folder and read it again.
-
-    Columnar and compressed, so smaller than a checkpoint; survives the loss of executors.
-    """
-    path = f"{shared_dir(df.sparkSession)}/motionq-{uuid.uuid4().hex}"
-    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")  # nothing reads this plan's shuffle files once it is written
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(clean, before)
-    _written.add(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _path_of[id(out)] = path
-    return out
-
-
-def _delete(spark: SparkSession, paths) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-        _written.discard(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete the files of tables (of ``table``) that no plan still to run reads."""
-    for t in tables:
-        _delete(t.sparkSession, [p for p in [_path_of.pop(id(t), None)] if p])
-
-
-@atexit.register
-def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None or spark.sparkContext._jsc is None:
-        return
-    try:
-        _delete(spark, list(_written))
-    except Exception:  # noqa: BLE001 - the session may be going down
-        pass
-
-
-def partitions(spark: SparkSession, least: int = 0) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), least)
+from motionq.tables import dropped, partitions, shared_dir, table
 
+__all__ = ["components", "dropped", "list_parts", "merge_labels", "partitions", "rows_of", "shared_dir", "table"]
 
 # ---------------------------------------------------------------- connected components
 

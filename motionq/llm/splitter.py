@@ -116,6 +116,17 @@ def cuts(kind: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[
     return start[ends[:-1]], ends[1:]
 
 
+def _fitting(text, kind, place, enc, limit, overlap):
+    """Cuts whose pieces, encoded on their own, are within the limit: fewer tokens a piece where one came out longer."""
+    most = limit
+    while True:
+        a, b = cuts(kind, most, overlap)
+        over = max(len(enc.encode(text[place[x] : place[y]])) for x, y in zip(a, b, strict=True)) - limit
+        if over <= 0 or most - over <= 2 * overlap:
+            return a, b
+        most -= over
+
+
 def _split(batches, ranks, pattern, limit, overlap, with_text):
     enc = bpe.encoder(ranks.value, pattern)
     if not hasattr(enc, "sizes"):
@@ -132,8 +143,8 @@ def _split(batches, ranks, pattern, limit, overlap, with_text):
                 if len(starts) <= limit:
                     a, b, place = [0], [len(starts)], None
                 else:
-                    a, b = cuts(strengths(text, starts), limit, overlap)
                     place = np.append(starts, len(text))
+                    a, b = _fitting(text, strengths(text, starts), place, enc, limit, overlap)
             rows.extend([row] * len(a))
             number.extend(range(len(a)))
             first.extend(a)
@@ -148,7 +159,8 @@ def split(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, with
     """``(doc_id, piece, first_token, last_token, text)``: ordered pieces of at most ``limit`` tokens.
 
     ``piece`` counts from 0; ``last_token`` is exclusive; a piece starts ``overlap`` tokens before the
-    end of the one before (some more where that is inside a character). A text within the limit is
+    end of the one before (some more where that is inside a character). Pieces are within the limit also when encoded on
+    their own, but for single characters beyond it. A text within the limit is
     one piece; an empty or null text has none. Needs ``0 <= overlap < limit / 2``. No shuffle.
     """
     if not 0 <= overlap < limit / 2:

@@ -70,7 +70,7 @@ def test_nearest_however_far(spark, sizes):
     assert {a for a, _, _ in want} == set(ids) and max(d for _, _, d in want) > 6.0
     got = [tuple(r) for r in knn.nearest_all(df, **sizes).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    assert "p5_nearest_all" in QUERIES
+    assert "p5_nearest" in QUERIES
 
 
 @pytest.mark.parametrize("sizes", SIZES)
@@ -94,9 +94,15 @@ def test_loose_members_get_other_medoids(spark):
     df = spark.createDataFrame(chain, "id long, dimension int, coords array<double>")
     found = clusters.clusters(df, with_degree=True)
     assert {r.cluster_id for r in found.collect()} == {0}
-    split = {r.id: r.medoid for r in clusters.split_loose(df, found, rounds=6).collect()}
-    assert len(split) == 12 and len(set(split.values())) > 2
-    assert all(abs(i - m) * 5 <= 12 for i, m in split.items())
+    degree = {r.id: r.degree for r in found.collect()}
+    want, open_ = {}, sorted(degree, key=lambda i: (-degree[i], i))
+    while open_:
+        near = [i for i in open_ if abs(i - open_[0]) * 5 <= 12]
+        want |= {i: open_[0] for i in near}
+        open_ = [i for i in open_ if i not in near]
+    for candidates in (512, 1, 3):
+        assert {r.id: r.medoid for r in clusters.split_loose(df, found, candidates=candidates).collect()} == want
+    assert clusters.split_loose(df, found.limit(0)).count() == 0
 
 
 def test_empty(spark):
