@@ -43,7 +43,9 @@ def l1(a: Vec, b: Vec) -> Column:
 
 
 def linf(a: Vec, b: Vec) -> Column:
-    return F.array_max(zipped(a, b, lambda x, y: F.abs(x - y)))
+    """Greatest difference; null when lengths differ or a value is null."""
+    d = zipped(a, b, lambda x, y: F.abs(x - y))
+    return F.when(~F.exists(d, lambda x: x.isNull()), F.array_max(d))
 
 
 def lp(a: Vec, b: Vec, p: float) -> Column:

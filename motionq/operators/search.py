@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionq.functions import vec
+from motionq.functions import batch, vec
 
 #: Rows of a block of queries or of data; rows that a cell should hold, most cells of a vector length, and sample of their centres.
 BLOCK_ROWS, CELL_ROWS, CELLS, SAMPLE_ROWS = 20_000, 4_096, 256, 20_000
-#: Most rows of a query part that is broadcast (a canvas has 64 patches).
+#: Most patches of a sketch (a canvas has 64), which go to all tasks.
 PATCHES = 64
 
 
@@ -29,16 +29,13 @@ def correlate(db: DataFrame, query: Sequence[float], key: str, vector: str, k: i
 
     Rows without correlation (null, other length, constant vector) are left out.
     """
-    score = F.round(vec.pearson(vector, query) * F.lit(float(weight)), 6)
+    score = F.round(batch.against(vector, query) * F.lit(float(weight)), 6)
     return best(db.select(key, score.alias("score")).where("score is not null"), "score", key, k)
 
 
 def fused(db: DataFrame, query: dict[int, Sequence[float]], weights: dict[int, float], key: str, part: str, vector: str, k: int | None = 50) -> DataFrame:
     """``(key, score)``: weighted correlations of body parts, accumulated by key; missing parts add nothing."""
-    score = None
-    for p, q in query.items():
-        term = F.when(F.col(part) == p, vec.pearson(vector, q) * F.lit(float(weights[p])))
-        score = term if score is None else F.coalesce(score, term)
+    score = batch.by_part(part, vector, query, weights)
     out = db.select(key, score.alias("s")).groupBy(key).agg(F.round(F.sum(F.coalesce("s", F.lit(0.0))), 6).alias("score"))
     return best(out, "score", key, k)
 
@@ -48,16 +45,18 @@ def patch_search(db: DataFrame, sketch: DataFrame, key: str = "img_id", k: int |
 
     ``db(key, patch, hist)``, ``sketch(patch, hist)`` with at most PATCHES rows; empty patches add 0.
     """
-    if sketch.limit(PATCHES + 1).count() > PATCHES:
+    drawn = sketch.select("patch", "hist").limit(PATCHES + 1).collect()
+    if len(drawn) > PATCHES:
         raise ValueError("a sketch has at most 64 patches")
-    both = db.join(F.broadcast(sketch.select("patch", F.col("hist").alias("q"))), "patch")
-    out = both.groupBy(key).agg(F.round(F.sum(F.coalesce(vec.pearson("hist", "q"), F.lit(0.0))), 6).alias("score"))
+    known = {r.patch: list(r.hist) for r in drawn if r.patch is not None and r.hist is not None and None not in r.hist}
+    both = db.where(F.col("patch").isin([r.patch for r in drawn if r.patch is not None]))
+    out = both.select(key, F.coalesce(batch.by_part("patch", "hist", known), F.lit(0.0)).alias("s")).groupBy(key).agg(F.round(F.sum("s"), 6).alias("score"))
     return best(out, "score", key, k)
 
 
 def nearest(db: DataFrame, query: Sequence[float], key: str, vector: str, k: int = 50, norm: str | float = "l2sq") -> DataFrame:
     """``(key, distance)`` of the ``k`` nearest by the chosen norm, ties to the smaller key."""
-    d = F.round(vec.distance(vector, query, norm), 6)
+    d = F.round(batch.against(vector, query, norm), 6)
     return best(db.select(key, d.alias("distance")).where("distance is not null"), "distance", key, k, largest=False)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionq.functions import vec
+from motionq.functions import batch
 from motionq.operators import hierarchy as H
 from motionq.operators import search
 from motionq.plans.common import U_SQL, Catalogue, read, usable_points
@@ -51,7 +51,7 @@ def hier_filter_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = H.selected(units, CHOSEN, "unit_path", "parent_path", sep="/")
     some = units.join(top, units["unit_path"] == top["node"], "left_semi")
     rows = H.within(u, some, "frame", "first_frame", "last_frame")
-    scored = rows.select("id", "frame", F.round(vec.pearson("coords", q), 6).alias("score"))
+    scored = rows.select("id", "frame", F.round(batch.against("coords", q), 6).alias("score"))
     return search.best(scored.where("score is not null"), "score", "id", 50)
 
 

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from motionq.functions import batch, vec
 from motionq.functions import rotation as R
-from motionq.functions import vec
 from motionq.operators import curves, motion, refine, series
 from motionq.plans.common import U_SQL, Catalogue, read, usable_points, vector_of, vectors
 
@@ -69,7 +69,7 @@ def whole_curves(t: DataFrame) -> DataFrame:
     v = t.groupBy("clip", "seg", "j").agg(F.sum(F.col("x") * share).alias("v"))
     per = v.groupBy("clip", "seg").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("s")).select("clip", "seg", F.transform("s", lambda r: r["v"]).alias("x"))
     q = per.orderBy("clip", "seg").first()
-    return per.select("clip", "seg", F.round(vec.pearson("x", list(q["x"]) if q else [0.0] * PARTS), 6).alias("score")).orderBy(F.desc_nulls_last("score"), "clip", "seg").limit(50)
+    return per.select("clip", "seg", F.round(batch.against("x", list(q["x"]) if q else [0.0] * PARTS), 6).alias("score")).orderBy(F.desc_nulls_last("score"), "clip", "seg").limit(50)
 
 
 @query(f"""with {_T_SQL}, g as (select clip, frame // 256 seg, count(*) points, min(x) < max(x) or min(y) < max(y) varies from t group by 1, 2)

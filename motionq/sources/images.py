@@ -257,3 +257,16 @@ def batch_sketch(spark: SparkSession, folder: str, pattern: str = "*.{png,PNG}")
     pixels = edge_pixels(found.select(F.col("patch").cast("long").alias("img_id"), "image")).where("r < 60 and c < 60")
     bins = H.dense(H.patch_bins(pixels, ["img_id"]), ["img_id"], [("bx", 10), ("by", 10), ("bt", 4)], "n")
     return bins.select(F.col("img_id").cast("int").alias("patch"), "hist")
+
+
+def extract_edges(spark: SparkSession, folder: str, path: str, reach: float = 2.0, rounds: int = 3, pattern: str = "*.{png,PNG}") -> None:
+    """The edge images of a folder as a matrix store: response from estimated length, orientation and gradients of edge pixels."""
+    from motionq.operators import histograms as H
+
+    found = scan(spark, folder, pattern)
+    size = found.agg(F.max("image.height").alias("h"), F.max("image.width").alias("w")).first()
+    pixels = edge_pixels(found).withColumns({"r": F.col("r").cast("int"), "c": F.col("c").cast("int")})
+    lengths = H.edge_lengths(pixels, ["img_id"], reach, size.h or 1, size.w or 1, rounds)
+    gx, gy = F.col("m") * F.cos("theta"), F.col("m") * F.sin("theta")
+    cells = pixels.join(lengths, ["img_id", "r", "c"]).select("img_id", F.col("r").alias("x"), F.col("c").alias("y"), H.edge_response(F.col("length"), F.col("theta"), gx, gy).alias("v"))
+    stores.write_matrices(stores.from_cells(cells, ["img_id"], size.h or 1, size.w or 1).withColumn("kind", F.lit("edges")), path)

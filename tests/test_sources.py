@@ -194,6 +194,16 @@ def test_sketch_folder_and_limbs(spark, tmp_path):
     assert stores.read_limbs(spark, {1: str(tmp_path / "none")}, 5).count() == 0
 
 
+def test_extracted_edges(spark, tmp_path):
+    folder = tmp_path / "edges"
+    folder.mkdir()
+    write(folder, "a.png", images.write_png(picture()[90:330, 90:420]))
+    images.extract_edges(spark, str(folder), str(tmp_path / "store"))
+    m = stores.read_matrices(spark, str(tmp_path / "store"), "edges").first()
+    v = np.reshape(m.data, (m.rows, m.cols))
+    assert v.shape == (240, 330) and v[60, 55:70].max() > 0 and v[:5].max() == 0
+
+
 def test_matrices(spark, tmp_path):
     m = spark.createDataFrame([(0, "edges", 2, 2, [1.0, 0.0, 2.5, 3.0]), (7, "edges", 1, 2, [4.0, 5.0]), (7, "magnitude", 1, 1, [9.0])], stores.MATRIX)
     stores.write_xml_matrices(m, str(tmp_path / "m"), 5)
