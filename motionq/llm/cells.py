@@ -311,7 +311,7 @@ def route(points: DataFrame, cells: Cells, kind: str) -> DataFrame:
 def assign(points: DataFrame, cells: Cells) -> DataFrame:
     """Rows of SCHEMA for records to meet, hash partitioned by cell and block pair, ready for a grouped map."""
     n = partitions(points.sparkSession, sum(len(c) for c in cells.centres.values()) if cells.inner is None else cells.expected // CELL_ROWS)
-    return route(points, cells, "meet").drop("bound").repartition(n, "dim", "cell", "part")
+    return route(points.select("id", "dimension", "coords"), cells, "meet").drop("bound").repartition(n, "dim", "cell", "part")
 
 
 def group(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

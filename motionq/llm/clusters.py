@@ -26,6 +26,8 @@ BANDS, ROWS, GRID = 8, 6, 40
 SMALL_BUCKET = 40
 #: Rows searched from at once from which on the rest of the bucket is gathered.
 GATHER = 12
+#: Searches in a row that found nothing after which lone records are compared in batches, and size of a batch.
+QUIET, BATCH = 8, 128
 
 
 def band_keys(x: np.ndarray, radius: float, band: int, rows: int = ROWS, grid: float = GRID) -> np.ndarray:
@@ -57,9 +59,12 @@ def _within(x, a, b, radius):
     return np.round(np.sqrt(np.einsum("ij,ij->i", d, d)), 6) <= radius
 
 
-def _search(x, member, label, radius):
+def _search(x, member, label, radius, before=()):
     """Label pairs to join among the members of one large bucket.
 
+    ``before``: keys of the members in earlier bands. Members that shared a bucket there are not compared again: they are
+    joined already, or not linked.
+
     Groups of one label are searched from, smallest first and all but the largest, each against the members
     not searched from yet. Distances come in single precision about a member; where that could mislead, exactly.
     """
@@ -85,27 +90,45 @@ def _search(x, member, label, radius):
         reach = np.zeros(len(names), np.float32)
         np.maximum.at(reach, inverse, apart)
         reach += radius + 0.05 + 1e-3 * reach + 2e-3 * np.sqrt((middle * middle).sum(1))  # single precision
-    for seed in np.argsort(count, kind="stable"):
-        if seed == largest or done[seed]:
+    seeds = [s for s in np.argsort(count, kind="stable").tolist() if s != largest]
+    quiet, next_ = 0, 0
+    while next_ < len(seeds):
+        seed, next_ = seeds[next_], next_ + 1
+        if done[seed]:
+            continue
+        if quiet >= QUIET and count[seed] == 1:
+            batch = [seed]
+            while next_ < len(seeds) and len(batch) < BATCH and count[seeds[next_]] == 1:
+                if not done[seeds[next_]]:
+                    batch.append(seeds[next_])
+                next_ += 1
+            done[batch] = True
+            rows = np.array([rows_by_name[b][0] for b in batch])
+            i, j = _lone(x, y, sq, slack, member, rows, unseen, before, radius)
+            unseen[rows] = False
+            pairs.extend((int(names[a]), int(names[b])) for a, b in set(zip(inverse[i].tolist(), inverse[j].tolist(), strict=True)) if a != b)
+            quiet = 0 if len(i) > 8 * len(batch) else quiet
             continue
-        front = [int(seed)]
+        known = len(pairs)
+        front = [seed]
         done[seed] = True
         while front:
             rows = rows_by_name[front[0]] if len(front) == 1 else np.concatenate([rows_by_name[f] for f in front])
             unseen[rows] = False
             front = []
-            if not unseen.any():
-                break
-            if coarse:
+            open_ = unseen
+            for key in before:
+                if len(rows) == 1 or (key[rows] == key[rows[0]]).all():
+                    open_ = open_ & (key != key[rows[0]])
+            if coarse and open_.any():
                 near = (np.sqrt(C.squared(y[rows], middle)) <= reach).any(0)
-                left = np.flatnonzero(unseen & near[inverse])
-                if not len(left):
-                    break
-                z, sz, most, hit = y[left].T, sq[left], slack[left], np.zeros(len(left), bool)
-            elif len(rows) < GATHER:  # copying the rest costs more than looking past it
-                left, z, sz, most, hit = every, y.T, sq, slack, ~unseen
+                open_ = open_ & near[inverse]
+            if not open_.any():
+                break
+            if len(rows) < GATHER and 4 * np.count_nonzero(open_) > len(every):  # copying the rest costs more than looking past it
+                left, z, sz, most, hit = every, y.T, sq, slack, ~open_
             else:
-                left = np.flatnonzero(unseen)
+                left = np.flatnonzero(open_)
                 z, sz, most, hit = y[left].T, sq[left], slack[left], np.zeros(len(left), bool)
             for part in _parts(rows, len(rows) * len(left)):
                 d2 = y[part] @ z
@@ -120,23 +143,48 @@ def _search(x, member, label, radius):
                     i, j = np.nonzero(close)
                     j = np.flatnonzero(~hit)[j]
                     hit[j[_within(x, member[part[i]], member[left[j]], radius)]] = True
-            for name in np.unique(inverse[left[hit & unseen[left]]]):
+            for name in np.unique(inverse[left[hit & open_[left]]]):
                 pairs.append((int(names[seed]), int(names[name])))
                 if name != largest:
                     done[name] = True
                     front.append(int(name))
+        quiet = quiet + 1 if len(pairs) == known else 0
     return pairs
 
 
+def _lone(x, y, sq, slack, member, rows, unseen, before, radius):
+    """Links ``(one of rows, another unseen one)``, but for those that shared a bucket in an earlier band."""
+    out = [(np.zeros(0, int), np.zeros(0, int))]
+    group = before[0][rows] if len(before) else np.zeros(len(rows), np.uint64)
+    for name in np.unique(group):
+        some = rows[group == name]
+        open_ = unseen & (before[0] != name) if len(before) else unseen
+        for key in before[1:]:
+            if len(some) == 1 or (key[some] == key[some[0]]).all():
+                open_ = open_ & (key != key[some[0]])
+        left = np.flatnonzero(open_)
+        for part in _parts(left, len(some) * len(left)):
+            d2 = y[some] @ y[part].T
+            d2 *= -2
+            d2 += sq[part]
+            d2 += (sq[some] - slack[some] - radius * radius)[:, None]
+            i, j = np.nonzero(d2 <= slack[part])
+            i, j = some[i], part[j]
+            near = _within(x, member[i], member[j], radius)
+            out.append((i[near], j[near]))
+    return tuple(np.concatenate(a) for a in zip(*out, strict=True))
+
+
 def local_components(x: np.ndarray, radius: float, bands: int = BANDS, rows: int = ROWS, grid: float = GRID) -> np.ndarray:
     """Smallest row number of the component of each row, over links found in any band."""
     n = len(x)
     label = np.arange(n)
     x = x - np.median(x, axis=0)
+    before: list[np.ndarray] = []
     for band in range(bands):
-        key = band_keys(x, radius, band, rows, grid)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        own = band_keys(x, radius, band, rows, grid)
+        order = np.argsort(own, kind="stable")
+        key = own[order]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, n))
         spread = np.repeat(size, size)
@@ -158,10 +206,11 @@ def local_components(x: np.ndarray, radius: float, bands: int = BANDS, rows: int
             label = merge_labels(label, np.concatenate(left), np.concatenate(right))
         for at in np.flatnonzero(size > SMALL_BUCKET):
             member = order[start[at] : start[at] + size[at]]
-            joined = _search(x, member, label[member], radius)
+            joined = _search(x, member, label[member], radius, [k[member] for k in before])
             if joined:
                 a, b = np.array(joined).T
                 label = merge_labels(label, a, b)
+        before.append(own)
     return label
 
 

@@ -126,35 +126,57 @@ def neighbours(x: np.ndarray, ids: np.ndarray, asks: np.ndarray, answers: np.nda
         return empty
     order = np.lexsort((d, i))
     i, j, d = i[order], j[order], d[order]
-    first = np.searchsorted(i, i)
-    place = np.arange(len(i)) - first
-    last = d[np.minimum(first + k - 1, np.searchsorted(i, i, side="right") - 1)]
-    keep = (place < k) | (d <= last)
+    first, end = np.searchsorted(i, i), np.searchsorted(i, i, side="right")
+    keep = d <= d[np.minimum(first + k, end) - 1]
     return i[keep], j[keep], d[keep]
 
 
 def closest(x, ids, y, names, limit2, k: int):
     """``(query row, data row, distance)``: for each row of ``x`` its k nearest of ``y``, with ties, within ``limit2``.
 
-    By plain comparison, for queries without a bound worth a test. Rounded distances may tie where squares differ.
+    Nothing is lost: partial distances abandon only what is beyond the limit already. Rounded distances may tie where squares
+    differ.
     """
     found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     if len(x) and len(y):
-        middle = np.median(y, axis=0)
+        middle, width = np.median(y, axis=0), y.shape[1]
         x, y = x - middle, y - middle
-        slack = 1e-9 + 1e-11 * (x * x).sum(1)
-        for some in np.array_split(np.arange(len(x)), len(x) * len(y) // 2_000_000 + 1):
+        slack = 1e-9 + 1e-11 * ((x * x).sum(1) + (y * y).sum(1).max())
+        xr = np.concatenate([x, y]) @ rotation(width)
+        norms = {s: (xr[:, s:e] ** 2).sum(1) for s, e in blocks(width)}
+        data = np.arange(len(x), len(x) + len(y))
+        bound = np.isfinite(limit2)
+        for some in _shares(np.flatnonzero(bound), len(y)):
+            i, j = scan(xr, norms, some, data, (np.sqrt(limit2[some]) + 2e-6) ** 2, slack[some], np.inf)
+            found.append(_best(x, ids, y, names, some[i], j, k))
+        for some in _shares(np.flatnonzero(~bound), len(y)):
             near = C.squared(x[some], y)
             near[ids[some][:, None] == names[None]] = np.inf
-            most = limit2[some]
+            most = np.full(len(some), np.inf)
             if len(y) > k:
-                most = np.minimum(most, np.partition(near, k - 1, axis=1)[:, k - 1])
+                most = np.partition(near, k - 1, axis=1)[:, k - 1]
             most = (np.sqrt(most + slack[some]) + 2e-6) ** 2 + slack[some]
             i, j = np.nonzero((near <= most[:, None]) & np.isfinite(near))
-            found.append((some[i], j, exact(x[some[i]], y[j])))
+            found.append(_best(x, ids, y, names, some[i], j, k))
     return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
+def _shares(rows: np.ndarray, many: int) -> list[np.ndarray]:
+    return [part for part in np.array_split(rows, len(rows) * many // 2_000_000 + 1) if len(part)]
+
+
+def _best(x, ids, y, names, i, j, k: int):
+    """The k nearest of the pairs of each query, and ties with the k-th."""
+    other = ids[i] != names[j]
+    i, j = i[other], j[other]
+    d = exact(x[i], y[j])
+    order = np.lexsort((d, i))
+    i, j, d = i[order], j[order], d[order]
+    first, end = np.searchsorted(i, i), np.searchsorted(i, i, side="right")
+    keep = d <= d[np.minimum(first + k, end) - 1]
+    return i[keep], j[keep], d[keep]
+
+
 def nearest(points: DataFrame, k: int = 5, radius: float = 6.0, eps0: float = EPS0, **sizes: int) -> DataFrame:
     """``(id, other, distance)``: the k nearest other records within ``radius``, and ties with the k-th.
 

@@ -7,7 +7,7 @@ from motionq.llm import cells, clusters, knn, quota
 from motionq.llm.queries import QUERIES
 from motionq.llm.shared import components, merge_labels
 
-SCHEMA = "id long, dimension int, coords array<double>, clip string, cell int, role string"
+SCHEMA = "id long, dimension int, coords array<double>, clip string, cell int, role string, bound double"
 
 
 def points(spark):
@@ -22,7 +22,7 @@ def points(spark):
     rows += [(500, 8, rows[0][2]), (501, 8, rows[0][2]), (7, 8, rows[7][2]), (7, 8, rows[7][2])]
     rows += [(600, 8, None), (601, 8, []), (602, 8, [1.0] * 8), (603, 9, [1.0, 2.0]), (604, 8, [1.0] * 7 + [None]), (605, None, [1.0, 2.0]), (None, 8, rows[0][2]), (606, 2, [float("nan"), 1.0])]
     rows += [(700, 2, [10737417.25, 1.123456789]), (701, 2, [10737417.25, 3.5])]
-    return spark.createDataFrame([(*r, "x", 1, "y") for r in rows], SCHEMA), rows
+    return spark.createDataFrame([(*r, "x", 1, "y", 0.5) for r in rows], SCHEMA), rows
 
 
 def brute(rows, radius):
@@ -111,6 +111,17 @@ def test_empty(spark):
     assert knn.nearest(empty).count() == 0 and clusters.clusters(empty).count() == 0 and quota.varied(empty, 3).count() == 0
 
 
+def test_clusters_of_many_lone_records():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0, 1.2, (300, 8)), rng.normal(3, 4, (500, 8)), rng.uniform(-12, 12, (700, 8))]).round(2)
+    a, b = np.nonzero(np.round(np.sqrt(cells.squared(x, x)), 6) <= 6.0)
+    want = merge_labels(np.arange(len(x)), a, b)
+    assert (clusters.local_components(x, 6.0, bands=10) == want).all()
+    for radius in (2.0, 3.5):
+        a, b = np.nonzero(np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 6) <= radius)
+        assert (clusters.local_components(x, radius, bands=10) == merge_labels(np.arange(len(x)), a, b)).all()
+
+
 def test_packing_is_exact():
     x = np.array([[1.25, -3.5], [1e7 + 0.25, 2.0], [0.1234567, 1.0], [1e300, -1e300]])
     enc, packed = cells.pack(x)
