@@ -195,3 +195,16 @@ def parents_of_paths(paths: DataFrame, path: str = "path", sep: str = "/") -> Da
     parts = F.split(path, sep)
     parent = F.array_join(F.slice(parts, 1, F.size(parts) - 1), sep)
     return paths.select(path, F.when(F.size(parts) > 1, parent).alias("parent"), F.element_at(parts, -1).alias("name"), (F.size(parts) - 1).alias("level"))
+
+
+def folders(files: DataFrame, path: str = "path", sep: str = "/") -> DataFrame:
+    """``(path, parent, level, leaf)`` of all folders on the way to files or leaf folders at ``path``, each once; null paths are left out.
+
+    A folder is a leaf if no other folder lies in it.
+    """
+    parts = F.split(path, sep)
+    above = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", 1, i), sep))
+    every = files.where(F.col(path).isNotNull()).select(parts.alias("parts")).select(F.explode(above).alias("path")).distinct()
+    rows = parents_of_paths(every, "path", sep).select("path", "parent", "level")
+    inner = rows.where("parent is not null").select(F.col("parent").alias("path")).distinct().withColumn("_inner", F.lit(True))
+    return rows.join(inner, "path", "left").withColumn("leaf", F.col("_inner").isNull()).drop("_inner")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,29 +71,39 @@ def overlapping(keys_: DataFrame, group: list[str], part: str, time: str) -> Dat
     return keys_.unionByName(ends)
 
 
-def up_sample(keys_: DataFrame, group: list[str], fps: float, kind: str = "natural", nearest: bool = True) -> DataFrame:
+def up_sample(keys_: DataFrame, group: list[str], fps: float, kind: str = "natural", nearest: bool = True, bone: str | None = None) -> DataFrame:
     """``(group, t, rx, ry, rz, wx, wy, wz)``: cubic spline through axis-angle keys ``(group, t, rx, ry, rz)`` at a new rate.
 
-    A group is one bone of one clip (or of a segment of it): bounded by the length of a take. With ``nearest``,
+    A group is one bone of one clip (or of a segment of it): bounded by the length of a take. With ``bone``, a column that
+    follows the group in the result, a group holds all bones of a take and each is taken for itself. With ``nearest``,
     keys are first unwrapped. ``kind``: natural, clamped (ends at rest) or periodic. Keys at one time: the first counts.
     """
-    types = ", ".join(f"{k} {keys_.schema[k].dataType.simpleString()}" for k in group)
+    by = [*group, bone] if bone else group
+    types = ", ".join(f"{k} {keys_.schema[k].dataType.simpleString()}" for k in by)
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "rx", "ry", "rz"]).drop_duplicates("t")
-        t, v = pdf["t"].to_numpy(float), pdf[["rx", "ry", "rz"]].to_numpy(float)
+    def one(t: np.ndarray, v: np.ndarray) -> np.ndarray:
+        first = np.concatenate([[True], np.diff(t) > 0])
+        t, v = t[first], v[first]
         v = unwrap(v) if nearest else v
         at = np.arange(int(np.floor((t[-1] - t[0]) * fps + 1e-9)) + 1) / fps + t[0]
         m = spline(t, v, kind)
         r, d = spline_at(t, v, m, at), spline_at(t, v, m, at, 1)
-        w = angular_velocity(r, d)
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(at) for k in group})
-        for i, c in enumerate("xyz"):
-            out[f"r{c}"], out[f"w{c}"] = r[:, i], w[:, i]
-        return out.assign(t=at)[[*group, "t", "rx", "ry", "rz", "wx", "wy", "wz"]]
+        return np.column_stack([at, r, angular_velocity(r, d)])
 
-    rows = keys_.select(*group, "t", "rx", "ry", "rz").dropna()
-    return rows.groupBy(*group).applyInPandas(work, f"{types}, t double, rx double, ry double, rz double, wx double, wy double, wz double")
+    def work(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        t, *v = (rows.column(c).to_numpy() for c in ("t", "rx", "ry", "rz"))
+        own = pc.rank(rows.column(bone), tiebreaker="min").to_numpy() if bone else np.zeros(len(t), np.int64)
+        order = np.lexsort((*v[::-1], t, own))
+        parts = np.split(order, np.flatnonzero(np.diff(own[order].astype(np.int64))) + 1)
+        v = np.column_stack(v)
+        found = [one(t[p], v[p]) for p in parts]
+        again = pa.array(np.repeat([p[0] for p in parts], [len(x) for x in found]))
+        values = np.concatenate(found)
+        return pa.table({**{k: rows.column(k).take(again) for k in by}, **{c: values[:, i] for i, c in enumerate(("t", "rx", "ry", "rz", "wx", "wy", "wz"))}})
+
+    rows = keys_.select(*by, "t", "rx", "ry", "rz").dropna(subset=["t", "rx", "ry", "rz", *([bone] if bone else [])])
+    return rows.groupBy(*group).applyInArrow(work, f"{types}, t double, rx double, ry double, rz double, wx double, wy double, wz double")
 
 
 def joint_probability(points: DataFrame, box: tuple[tuple[float, float], ...], bins: int, group: list[str], columns: list[str]) -> DataFrame:
@@ -104,3 +115,8 @@ def joint_probability(points: DataFrame, box: tuple[tuple[float, float], ...], b
     n = points.where(inside).groupBy(*group, *cells).agg(F.count("*").alias("n"))
     total = n.groupBy(*group).agg(F.sum("n").alias("t"))
     return n.join(total, group).withColumn("p", F.round(F.col("n") / F.col("t"), 6)).drop("n", "t")
+
+
+def frame_at(time_ms: Column, fps: float, frames: Column) -> Column:
+    """The frame (from 0) that is shown at a time when a sequence of ``frames`` runs at ``fps`` and repeats."""
+    return F.pmod(F.floor(time_ms * F.lit(fps / 1000.0)).cast("long"), frames.cast("long"))

@@ -266,6 +266,38 @@ def clip_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.clips(m.drop("file").withColumnRenamed("clip", "file")).withColumnRenamed("file", "clip")
 
 
+@query(f"""with {E_SQL}, o as (select vec_id, label, vec_id // {ROWS} blk, (row_number() over (partition by label, vec_id // {ROWS} order by vec_id) - 1)::int frame from embeddings)
+select 'h' || o.label || '_' || blk clip, frame, case when i <= 6 then 'hips' else 'chest' end joint, case when i > 6 then 'hips' end parent, 40.0::double fps, round(sum(v), 6) total, count(*)::int n from e join o using (vec_id) where i <= 9 group by all""")
+def bvh_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hierarchy and motion files of two joints."""
+    path, e = fresh(spark), vectors(spark, sf_dir)
+    head = """HIERARCHY
+ROOT hips
+{
+  OFFSET 0 0 0
+  CHANNELS 6 Xposition Yposition Zposition Zrotation Xrotation Yrotation
+  JOINT chest
+  {
+    OFFSET 0 5.21 0
+    CHANNELS 3 Zrotation Xrotation Yrotation
+    End Site
+    {
+      OFFSET 0 1.5 0
+    }
+  }
+}
+MOTION
+Frames: {n}
+Frame Time: 0.025
+"""
+    name = F.concat(F.lit("h"), F.col("label").cast("string"), F.lit("_"), F.expr(f"vec_id div {ROWS}").cast("string"), F.lit(".bvh"))
+    line = F.array_join(F.transform(F.slice("v", 1, 9), lambda x: x.cast("string")), " ")
+    stores.write_files(_text_files(e, name, line, "vec_id", head, "\n"), path)
+    texts = text.files(spark, path)
+    rows = text.bvh_motion(texts).join(text.bvh_joints(texts).select("file", "joint", "parent"), ["file", "joint"])
+    return rows.select(F.regexp_extract("file", r"(h\d+_\d+)\.bvh$", 1).alias("clip"), "frame", "joint", "parent", F.round("fps", 6).alias("fps"), F.round(vec.total("vals"), 6).alias("total"), F.size("vals").alias("n"))
+
+
 def _skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, n = fresh(spark), read(spark, sf_dir, "nation").withColumn("k", F.col("n_nationkey").cast("string"))
     bone = F.format_string("  begin\n    id %1$s\n    name b%1$s\n    direction 0 1 %1$s\n    length %1$s.5\n    axis 0 0 %1$s xyz\n    dof rx ry\n    limits (-10 10)\n           (-20 %1$s)\n  end", "k")

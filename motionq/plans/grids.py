@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionq.operators import grids
+from motionq.operators import grids, motion
 from motionq.plans import histograms
 from motionq.plans.common import U_SQL, Catalogue, read, usable_points
 
@@ -41,3 +41,10 @@ def playback_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames shown at the first ten ticks of five frames each."""
     u = read(spark, sf_dir, "units").where("last_frame >= first_frame").withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(9)).cast("array<long>")))
     return u.select("unit_path", "tick", grids.playback(F.col("tick") * 5, F.col("first_frame"), F.col("last_frame")).alias("frame"))
+
+
+@query("select unit_path, t.range tick, (floor(t.range * 30 * 0.024::double))::bigint % (last_frame - first_frame + 1) frame from units, range(50) t where last_frame >= first_frame")
+def playback_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames shown at ticks of 30 milliseconds at 24 frames a second."""
+    u = read(spark, sf_dir, "units").where("last_frame >= first_frame").withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(49)).cast("array<long>")))
+    return u.select("unit_path", "tick", motion.frame_at(F.col("tick") * 30, 24.0, F.col("last_frame") - F.col("first_frame") + 1).alias("frame"))

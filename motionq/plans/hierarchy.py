@@ -90,3 +90,10 @@ def unit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "points").where("frame is not null").select("id", "frame").distinct()
     hit = H.containing(p.groupBy("frame").agg(F.count("*").alias("n")), low, "frame", "first_frame", "last_frame")
     return hit.groupBy("unit_path").agg(F.sum("n").alias("points"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+
+
+@query("""select unit_path path, parent_path parent, (len(string_split(unit_path, '/')) - 1)::int "level", unit_path not in (select parent_path from units where parent_path is not null) leaf from units""")
+def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole tree out of the paths of its leaves."""
+    units = read(spark, sf_dir, "units")
+    return H.folders(H.leaves(units, "unit_path", "parent_path"), "unit_path")

@@ -124,7 +124,7 @@ def up_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = t.select("clip", "seg", "frame", F.explode(bones).alias("bone"), "coords")
     r = lambda i: F.radians(F.get("coords", F.col("bone") * 3 + i))
     k = t.select("clip", "bone", "seg", (F.col("frame") / 30.0).alias("t"), r(0).alias("rx"), r(1).alias("ry"), r(2).alias("rz"))
-    up = motion.up_sample(motion.overlapping(k, ["clip", "bone"], "seg", "t"), ["clip", "bone", "seg"], 60.0, nearest=False)
+    up = motion.up_sample(motion.overlapping(k, ["clip", "bone"], "seg", "t"), ["clip", "seg"], 60.0, nearest=False, bone="bone")
     at = k.select("clip", "bone", "seg", F.round(F.col("t") * 60).cast("long").alias("tick")).distinct()
     up = up.withColumn("tick", F.round(F.col("t") * 60).cast("long")).join(at, ["clip", "bone", "seg", "tick"])
     return up.select("clip", F.expr("tick div 2").alias("frame"), "bone", *[F.round(c, 6).alias(c) for c in ("rx", "ry", "rz")])

@@ -29,10 +29,12 @@ def write_features(features: DataFrame, path: str, mode: str = "append", by: tup
 def write_files(files: DataFrame, folder: str) -> None:
     """One file for each row ``(name, content)``, written by the tasks; a repeated task writes the same again."""
 
+    place = qualified(files.sparkSession, folder)
+
     def put(rows) -> None:
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system, base = fs.FileSystem.from_uri(place)
         system.create_dir(base, recursive=True)
         for r in rows:
             with system.open_output_stream(f"{base}/{r.name}") as out:
@@ -57,9 +59,21 @@ def read_features(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _on_system(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark takes it for."""
+    system, p = _on_system(spark, path)
+    whole = system.makeQualified(p).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, p = _on_system(spark, path)
+    return system.exists(p)
 
 
 def read_limbs(spark: SparkSession, paths: dict[int, str], view_id: int) -> DataFrame:

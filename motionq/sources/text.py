@@ -291,6 +291,65 @@ def asf_edges(texts: DataFrame) -> DataFrame:
     return _parsed(texts, parse, ["parent", "child"], "parent string, child string")
 
 
+def _bvh(text: str) -> tuple[list[tuple], list[list[float]], float | None]:
+    """Joints ``(joint, parent, offset, channels)`` in order, rows of values, and frames a second of a hierarchy and motion file."""
+    joints: list[tuple] = []
+    above: list[str | None] = [None]
+    name: str | None = None
+    head, _, body = text.partition("MOTION")
+    for t in (line.split() for line in head.splitlines()):
+        if not t:
+            continue
+        word = t[0].upper()
+        if word in ("ROOT", "JOINT"):
+            name = " ".join(t[1:])
+        elif word == "END":
+            name = None  # an end site has an offset only
+        elif word == "{":
+            if name is not None:
+                joints.append((name, above[-1], [], []))
+            above.append(name)
+        elif word == "}":
+            above.pop()
+        elif word in ("OFFSET", "CHANNELS") and above[-1] is not None:
+            joints[-1][2 if word == "OFFSET" else 3].extend([float(x) for x in t[1:]] if word == "OFFSET" else t[2:])
+    fps, rows = None, []
+    for line in body.splitlines():
+        t = line.replace(":", ": ").split()
+        if t[:2] == ["Frame", "Time:"]:
+            fps = 1 / float(t[2]) if float(t[2]) else None
+        elif t and t[0] != "Frames:":
+            rows.append([float(x) for x in t])
+    return joints, rows, fps
+
+
+def bvh_joints(texts: DataFrame) -> DataFrame:
+    """Joints of hierarchy and motion files: ``(file, pos, joint, parent, offset, channels)``; the root's parent is null, end sites are left out."""
+
+    def parse(text: str):
+        for pos, (joint, parent, offset, channels) in enumerate(_bvh(text)[0]):
+            yield pos, joint, parent, offset, channels
+
+    kinds = "pos int, joint string, parent string, offset array<double>, channels array<string>"
+    return _parsed(texts, parse, ["pos", "joint", "parent", "offset", "channels"], kinds)
+
+
+def bvh_motion(texts: DataFrame) -> DataFrame:
+    """Motion of such files: ``(file, fps, frame, joint, vals)``, frames from 0, values in the order of the joint's channels."""
+
+    def parse(text: str):
+        joints, rows, fps = _bvh(text)
+        for frame, values in enumerate(rows):
+            if len(values) != sum(len(j[3]) for j in joints):
+                raise ValueError("values do not fit the channels")
+            at = 0
+            for joint, _, _, channels in joints:
+                yield fps, frame, joint, values[at : at + len(channels)]
+                at += len(channels)
+
+    return _parsed(texts, parse, ["fps", "frame", "joint", "vals"], "fps double, frame int, joint string, vals array<double>")
+
+
 def obj_mesh(texts: DataFrame) -> DataFrame:
     """Triangle corners of ``v/vt/vn/f`` meshes: ``(file, face, corner, vertex, x, y, z)``; ``vertex`` numbers the distinct
     (position, texture, normal) triples of a file in order of first use."""

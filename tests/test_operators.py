@@ -291,3 +291,19 @@ def test_numbered_rows_and_offsets(spark):
         assert got[x] == total
         total += n[x]
     assert series.numbered(df.limit(0), "x", "at").count() == 0 and series.running_offsets(df.limit(0), "x", "n").count() == 0
+
+
+def test_up_sampling_of_all_bones_of_a_take(spark):
+    rng = np.random.default_rng(2)
+    keys = [("c", s, b, t / 30, *rng.normal(0, 0.3, 3).round(3).tolist()) for s, b in ((0, "x"), (0, "y"), (1, "x")) for t in range(s * 8, s * 8 + 8)] + [("c", 0, "x", None, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(keys, "clip string, seg int, bone string, t double, rx double, ry double, rz double")
+    whole = motion.up_sample(df, ["clip", "seg"], 60.0, bone="bone")
+    each = motion.up_sample(df, ["clip", "bone", "seg"], 60.0)
+    assert rows(whole.select(*each.columns)) == rows(each) and whole.count() == 45
+    tied = motion.overlapping(df.where("t is not null"), ["clip", "bone"], "seg", "t")
+    assert tied.count() == 25 and tied.where("seg = 0 and bone = 'x'").agg(F.max("t")).first()[0] == pytest.approx(8 / 30)
+
+
+def test_folders(spark):
+    f = spark.createDataFrame([("a/b/c",), ("a/d",), (None,)], "path string")
+    assert rows(hierarchy.folders(f)) == [("a", None, 0, False), ("a/b", "a", 1, False), ("a/b/c", "a/b", 2, True), ("a/d", "a", 1, True)]

@@ -229,3 +229,35 @@ def test_black_and_gray():
     gx, gy, m, theta = images.sobel(np.tile(np.arange(5.0), (5, 1)))
     assert gx[2, 2] == 8 and gy[2, 2] == 0 and theta[2, 2] == 0
     assert F is not None
+
+
+def test_queries_again_and_latest_state(spark, tmp_path):
+    folder = tmp_path / "strokes"
+    schema = "user long, x double, ts timestamp"
+    from datetime import datetime
+
+    for i, r in enumerate([[(1, 2.0), (2, 5.0)], [(1, 3.0)], [(3, None)]]):
+        spark.createDataFrame([(*x, datetime(2020, 1, 1, 0, i)) for x in r], schema).coalesce(1).write.parquet(str(folder / f"part={i}"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "*"))
+    seen = []
+    answer = lambda d: (seen.append(d.select("user").distinct().count()), d.groupBy("user").agg(F.sum("x").alias("x"), F.count("*").alias("n")))[1]
+    scores.requery(stream(), ["user"], answer, str(tmp_path / "out"), str(tmp_path / "ck1")).awaitTermination()
+    assert sorted(tuple(r) for r in scores.answers(spark, str(tmp_path / "out"), ["user"]).select("user", "x", "n").collect()) == [(1, 5.0, 2), (2, 5.0, 1), (3, None, 1)]
+    assert len(seen) == 3 and max(seen) == 2
+    last = scores.drained(scores.running(stream(), ["user"], "x"), "update", "user")
+    assert sorted(tuple(r) for r in last.collect()) == [(1, 5.0, 2), (2, 5.0, 1), (3, None, 1)]
+    whole = scores.drained(scores.running(stream(), ["user"], "x"), "complete")
+    assert sorted(tuple(r) for r in whole.collect()) == [(1, 5.0, 2), (2, 5.0, 1), (3, None, 1)]
+    assert scores.drained(stream().where("x > 2"), "append").count() == 2
+    shown = scores.replay(spark.read.parquet(str(folder)), ["user"], "ts", "x", 30).orderBy("user", "elapsed").select("user", "elapsed", "wait").collect()
+    assert [tuple(r) for r in shown] == [(1, 0.0, 0.0), (1, 60.0, 60.0), (2, 0.0, 0.0), (3, 0.0, 0.0)]
+
+
+def test_hierarchy_and_motion_files(spark, tmp_path):
+    body = "HIERARCHY\nROOT a\n{\n OFFSET 0 0 0\n CHANNELS 1 Xposition\n JOINT b\n {\n  OFFSET 1 2 3\n  CHANNELS 2 Xrotation Yrotation\n  End Site\n  {\n   OFFSET 9 9 9\n  }\n }\n JOINT c\n {\n  OFFSET 0 1 0\n  CHANNELS 0\n }\n}\nMOTION\nFrames: 2\nFrame Time: 0.05\n1 2 3\n4 5 6\n"
+    t = read(spark, tmp_path, "m.bvh", body)
+    assert rows(text.bvh_joints(t)) == [(0, "a", None, [0.0, 0.0, 0.0], ["Xposition"]), (1, "b", "a", [1.0, 2.0, 3.0], ["Xrotation", "Yrotation"]), (2, "c", "a", [0.0, 1.0, 0.0], [])]
+    assert rows(text.bvh_motion(t))[3:] == [(20.0, 1, "a", [4.0]), (20.0, 1, "b", [5.0, 6.0]), (20.0, 1, "c", [])]
+    assert text.bvh_motion(read(spark, tmp_path, "e.bvh", "")).count() == 0
+    with pytest.raises(Exception, match="channels"):
+        text.bvh_motion(read(spark, tmp_path, "bad.bvh", body.replace("4 5 6", "4 5"))).collect()
