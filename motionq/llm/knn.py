@@ -134,37 +134,40 @@ def neighbours(x: np.ndarray, ids: np.ndarray, asks: np.ndarray, answers: np.nda
 def closest(x, ids, y, names, limit2, k: int):
     """``(query row, data row, distance)``: for each row of ``x`` its k nearest of ``y``, with ties, within ``limit2``.
 
-    Nothing is lost: partial distances abandon only what is beyond the limit already. Rounded distances may tie where squares
-    differ.
+    Single precision gives lower bounds of all distances and, where more than k are within the limit, upper bounds of which
+    the k-th is the limit; what is left is measured exactly.
     """
     found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
     if len(x) and len(y):
-        middle, width = np.median(y, axis=0), y.shape[1]
+        middle = np.median(y, axis=0)
         x, y = x - middle, y - middle
-        slack = 1e-9 + 1e-11 * ((x * x).sum(1) + (y * y).sum(1).max())
-        xr = np.concatenate([x, y]) @ rotation(width)
-        norms = {s: (xr[:, s:e] ** 2).sum(1) for s, e in blocks(width)}
-        data = np.arange(len(x), len(x) + len(y))
-        bound = np.isfinite(limit2)
-        for some in _shares(np.flatnonzero(bound), len(y)):
-            i, j = scan(xr, norms, some, data, (np.sqrt(limit2[some]) + 2e-6) ** 2, slack[some], np.inf)
-            found.append(_best(x, ids, y, names, some[i], j, k))
-        for some in _shares(np.flatnonzero(~bound), len(y)):
-            near = C.squared(x[some], y)
-            near[ids[some][:, None] == names[None]] = np.inf
-            most = np.full(len(some), np.inf)
-            if len(y) > k:
-                most = np.partition(near, k - 1, axis=1)[:, k - 1]
-            most = (np.sqrt(most + slack[some]) + 2e-6) ** 2 + slack[some]
-            i, j = np.nonzero((near <= most[:, None]) & np.isfinite(near))
+        kind = np.float32 if max(np.abs(x).max(), np.abs(y).max()) < 1e15 else float
+        z, w = x.astype(kind), y.astype(kind)
+        sz, sw = np.einsum("ij,ij->i", z, z), np.einsum("ij,ij->i", w, w)
+        ez, ew = 8e-6 * sz + 1e-3, 8e-6 * sw + 1e-3
+        limit = ((np.sqrt(limit2) + 2e-6) ** 2 * (1 + 1e-6)).astype(kind)
+        own = np.isin(ids, names)
+        for some in np.array_split(np.arange(len(x)), len(x) * len(y) // 2_000_000 + 1):
+            if not len(some):
+                continue
+            low = z[some] @ w.T
+            low *= -2
+            low += sw - ew
+            low += (sz - ez)[some][:, None]
+            for r in np.flatnonzero(own[some]):
+                low[r, names == ids[some[r]]] = np.inf
+            alive = low <= limit[some][:, None]
+            alive &= low < np.inf
+            many = np.flatnonzero(np.count_nonzero(alive, axis=1) > k)
+            if len(many):
+                high = low[many] + 2 * ew
+                kth = np.maximum(np.partition(high, k - 1, axis=1)[:, k - 1] + 2 * ez[some[many]], 0)
+                alive[many] &= low[many] <= ((np.sqrt(kth) + 2e-6) ** 2 * (1 + 1e-6))[:, None]
+            i, j = np.nonzero(alive)
             found.append(_best(x, ids, y, names, some[i], j, k))
     return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
-def _shares(rows: np.ndarray, many: int) -> list[np.ndarray]:
-    return [part for part in np.array_split(rows, len(rows) * many // 2_000_000 + 1) if len(part)]
-
-
 def _best(x, ids, y, names, i, j, k: int):
     """The k nearest of the pairs of each query, and ties with the k-th."""
     other = ids[i] != names[j]
