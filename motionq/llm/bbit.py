@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from motionq.llm import buckets
 from motionq.llm import cells as C
-from motionq.llm.shared import components, dropped, list_parts, table
+from motionq.llm.shared import components, dropped, list_parts, partitions, table
 
 #: A pair of similarity 0.8 shares no band with a chance of 7e-5, one of 0.85 of 2e-6.
 BANDS, ROWS = 18, 4
@@ -26,6 +26,8 @@ SLOTS = WORDS * 64 // BITS
 #: Least bits of a band key, and of a content key in candidate rows: few bytes to shuffle. What meets by
 #: chance there is told apart by verification. More rows take more bits (see ``key_bits``).
 KEY_BITS = 40
+#: Lowest bits of a bucket, which number its band.
+BAND_BITS = 6
 #: Candidates estimated this far below the threshold are dropped (five standard deviations).
 MARGIN = 0.3
 
@@ -98,8 +100,8 @@ def minima(token: np.ndarray, count: int = BANDS * ROWS, seed: int = 5) -> np.nd
 
 
 def key_bits(rows: int) -> int:
-    """Bits of a key with which a row of ``rows`` shares its bucket by chance once in 256 times at most."""
-    return min(64, max(KEY_BITS, int(rows).bit_length() + 8))
+    """Bits of a key with which a row of ``rows`` shares its bucket by chance once in 256 times at most; the band takes the rest."""
+    return min(64 - BAND_BITS, max(KEY_BITS, int(rows).bit_length() + 8))
 
 
 def band_keys(low: np.ndarray, bands: int = BANDS, rows: int = ROWS, width: int = KEY_BITS) -> np.ndarray:
@@ -149,14 +151,15 @@ def _by_size(batch):
 
 
 def _bands(batches, width):
-    alias = np.int64(-1 if width == 64 else (1 << width) - 1)
+    alias = np.int64((1 << width) - 1)
     for batch in batches:
         k = batch.column("k").to_numpy()
         _, first = np.unique(k, return_index=True)  # copies meet here already
         batch, k = batch.take(pa.array(first)), k[first]
         for rows, x in _by_size(batch):
             keys = band_keys(minima(tokens(x)), width=width)
-            high = (keys << np.uint64(64 - width)).view(np.int64)  # zero bytes together: compresses better
+            high = keys << np.uint64(64 - width) | np.arange(BANDS, dtype=np.uint64)[:, None]
+            high = high.view(np.int64)  # zero bytes together: compresses better
             yield pa.RecordBatch.from_arrays([pa.array(high.ravel()), pa.array(np.tile(k[rows] & alias, BANDS))], names=["bucket", "k"])
 
 
@@ -183,6 +186,8 @@ def matching(s0, s1, t0, t1) -> np.ndarray:
 
 def shared_values(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Size of the multiset intersection of sorted ``x[i]`` and ``y[i]``, exactly."""
+    if not len(x):
+        return np.zeros(0, int)
     flat = np.concatenate([*x, *y])
     bits = flat.view(np.uint64)
     _, code = np.unique(bits, return_inverse=True)
@@ -218,7 +223,7 @@ def _verified(batches, threshold):
 
 
 def _alias(width: int) -> Column:
-    return F.col("k").bitwiseAND(F.lit(-1 if width == 64 else (1 << width) - 1))
+    return F.col("k").bitwiseAND(F.lit((1 << width) - 1))
 
 
 def signed(pairs: DataFrame, contents: DataFrame, width: int = KEY_BITS) -> DataFrame:
@@ -246,6 +251,34 @@ def verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     return whole.mapInArrow(lambda it: _verified(it, threshold), "a long, b long")
 
 
+#: Longest lists that are compared as padded rows of hashes before they are compared exactly.
+PADDED = 256
+#: Pairs of a block that are verified at once.
+STEP = 4_000
+
+
+def padded_tokens(enc, v, n) -> np.ndarray | None:
+    """A row of 64-bit hashes of (value, occurrence) for each list, filled up with hashes that occur in no other row."""
+    width = int(n.max(initial=0))
+    if width > PADDED:
+        return None
+    out = _mix(np.arange(len(n) * width, dtype=np.uint64).reshape(len(n), width) + np.uint64(0x632BE59BD9B4E019))
+    for size in np.unique(n):
+        at = np.flatnonzero(n == size)
+        bits = C.unpack(enc[at], v.take(pa.array(at)), int(size)).view(np.uint64)
+        run = np.zeros(bits.shape, np.uint64)
+        for j in range(1, int(size)):
+            run[:, j] = np.where(bits[:, j] == bits[:, j - 1], run[:, j - 1] + np.uint64(1), np.uint64(0))
+        out[at[:, None], np.arange(size)] = _mix(bits + run * np.uint64(0xD1B54A32D192ED03))
+    return out
+
+
+def at_most_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of hashes that rows of ``padded_tokens`` share: no fewer than the values they share."""
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    return np.count_nonzero(both[:, 1:] == both[:, :-1], axis=1)
+
+
 def _roots(parent: np.ndarray) -> np.ndarray:
     roots = parent
     while not np.array_equal(further := parent[roots], roots):
@@ -253,25 +286,35 @@ def _roots(parent: np.ndarray) -> np.ndarray:
     return roots
 
 
-def _link(t: pa.Table, left: np.ndarray, right: np.ndarray, threshold: float) -> pa.Table:
+def _link(t: pa.Table, left: np.ndarray, right: np.ndarray, threshold: float, earlier: np.ndarray | None = None) -> pa.Table:
     """Links that join different components, of rows ``left`` with rows ``right``; at most one fewer than there are components.
 
+    ``earlier``: the large buckets of each row in earlier bands; pairs that share one are compared there.
+
     Pairs are verified likeliest first, and no more once their ends are joined by others: in a dense group nearly
     every record needs one verification only.
     """
     col = lambda name: t.column(name).to_numpy()
     k, n, s0, s1, enc, v = col("k"), col("n"), col("s0"), col("s1"), col("enc"), t.column("v").combine_chunks()
+    hashes = padded_tokens(enc, v, n)
     names, name = np.unique(col("root"), return_inverse=True)
     parent = np.arange(len(names))
     links: list = []
     for some in np.array_split(left, max(1, len(left) * len(right) // 1_000_000)):
         m = matching(s0[some][:, None], s1[some][:, None], s0[right][None], s1[right][None])
         root = _roots(parent)[name]
-        a, b = np.nonzero((estimate(m) >= threshold - MARGIN) & (root[some][:, None] != root[right][None]))
+        open_ = (estimate(m) >= threshold - MARGIN) & (root[some][:, None] != root[right][None])
+        for own in earlier if earlier is not None else ():
+            open_ &= own[some][:, None] != own[right][None]
+        a, b = np.nonzero(open_)
         order = np.argsort(-m[a, b], kind="stable")
         a, b = some[a[order]], right[b[order]]
         while len(a):
-            p, q = a[:2000], b[:2000]
+            p, q = a[:STEP], b[:STEP]
+            if hashes is not None:
+                both = at_most_shared(hashes[p], hashes[q])
+                maybe = both >= threshold * (n[p] + n[q] - both) - 1e-9
+                p, q = p[maybe], q[maybe]
             both = shared_values(_unpacked(enc[p], v.take(pa.array(p)), n[p]), _unpacked(enc[q], v.take(pa.array(q)), n[q]))
             ok = both >= threshold * (n[p] + n[q] - both) - 1e-9
             for x, y in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
@@ -284,8 +327,8 @@ def _link(t: pa.Table, left: np.ndarray, right: np.ndarray, threshold: float) ->
                     parent[max(i, j)] = min(i, j)
                     links.append((k[x], k[y]))
             root = _roots(parent)[name]
-            open_ = root[a[2000:]] != root[b[2000:]]
-            a, b = a[2000:][open_], b[2000:][open_]
+            open_ = root[a[STEP:]] != root[b[STEP:]]
+            a, b = a[STEP:][open_], b[STEP:][open_]
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
@@ -298,7 +341,15 @@ def _to_block(t: pa.Table, threshold: float) -> pa.Table:
     """Links of the rows that came from elsewhere with those of the block."""
     t = t.combine_chunks()
     guest = t.column("guest").to_numpy(zero_copy_only=False)
-    return _link(t, np.flatnonzero(guest), np.flatnonzero(~guest), threshold)
+    starts, sizes, flat, _ = list_parts(t.column("hots"))
+    band = t.column("bucket")[0].as_py() & ((1 << BAND_BITS) - 1)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    hots = flat[np.repeat(starts, sizes) + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+    earlier = np.tile(-np.arange(1, len(sizes) + 1, dtype=np.int64), (band, 1))  # none: shared with nobody
+    bands = hots & ((1 << BAND_BITS) - 1)
+    before = bands < band
+    earlier[bands[before], row[before]] = hots[before]
+    return _link(t, np.flatnonzero(guest), np.flatnonzero(~guest), threshold, earlier)
 
 
 def near_duplicates(points: DataFrame, threshold: float = 0.8, big: int = buckets.BIG, block: int = buckets.BLOCK) -> DataFrame:
@@ -344,9 +395,11 @@ def _inside(large: DataFrame, links: DataFrame, known: DataFrame, threshold: flo
 
     First every bucket is cut into blocks of about ``block`` nodes, each searched for itself, which joins
     nearly all of a dense group. Then the nodes outside the largest component of their bucket (the guests) visit all
-    blocks of it, in groups of a block's size, so that every pair of different components has met.
+    blocks of it, in groups of a block's size, so that every pair of different components has met. Pairs that share large
+    buckets in several bands are compared in the first of them.
     """
-    rows = table(large.join(known, "p").drop("p"))
+    hots = large.groupBy("p").agg(F.collect_set("bucket").alias("hots"))  # at most one a band
+    rows = table(large.join(hots, "p").join(known, "p").drop("p"))
     count = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = table(rows.join(count, "bucket").withColumn("o", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")))
 
@@ -361,11 +414,12 @@ def _inside(large: DataFrame, links: DataFrame, known: DataFrame, threshold: flo
 
     schema = "a long, b long"
     first = mixed(links)
-    found = table(first.drop("largest", "groups").groupBy("bucket", "o").applyInArrow(lambda t: _in_block(t, threshold), schema))
+    many = partitions(large.sparkSession, -(-rows.count() // block))  # given, or small blocks would be worked by few tasks
+    found = table(first.drop("largest", "groups", "hots").repartition(many, "bucket", "o").groupBy("bucket", "o").applyInArrow(lambda t: _in_block(t, threshold), schema))
     named = table(mixed(links.unionByName(found)))
     guests = named.where("root <> largest").withColumns({"o": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "g": F.pmod(F.xxhash64("k", F.lit(1)), F.col("groups")).cast("int")})
     hosts = named.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     visits = guests.withColumn("guest", F.lit(True)).unionByName(hosts.withColumn("guest", F.lit(False))).drop("largest", "blocks", "groups")
-    more = table(visits.groupBy("bucket", "o", "g").applyInArrow(lambda t: _to_block(t, threshold), schema))
+    more = table(visits.repartition(many, "bucket", "o", "g").groupBy("bucket", "o", "g").applyInArrow(lambda t: _to_block(t, threshold), schema))
     dropped(rows, named)
     return found.unionByName(more)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionq.llm import cells as C
-from motionq.llm.shared import components, dropped, merge_labels, table
+from motionq.llm.shared import components, dropped, merge_labels, partitions, table
 
 #: Bands and minima in each. Grid cells are GRID * radius / sqrt(columns) wide: a pair just within the
 #: radius then differs in about one of GRID tokens, and is missed by all bands with a chance of 6e-6.
@@ -341,6 +341,7 @@ def split_loose(points: DataFrame, members: DataFrame, radius: float = 6.0, spre
         medoids = top.groupBy("cluster_id").applyInArrow(choose, f"{rows}, turn int")
         each = medoids.join(sizes, "cluster_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         by = ["cluster_id", "salt"]
+        salted = salted.repartition(partitions(points.sparkSession), *by)
         before, named = left, table(salted.groupBy(*by).cogroup(each.groupBy(*by)).applyInArrow(gather, f"{rows}, medoid long"))
         dropped(before)
         done.append(named.where("medoid is not null").select("id", "cluster_id", "medoid"))

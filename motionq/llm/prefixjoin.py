@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionq.llm import buckets
-from motionq.llm.shared import list_parts, table
+from motionq.llm.shared import list_parts, partitions, table
 
 #: A token with less than 1 / HEAVY of all occurrences counts as rare; there are at most HEAVY others.
 HEAVY = 200_000
@@ -208,6 +208,7 @@ def class_pairs(classes: DataFrame, threshold: float, big: int = buckets.BIG, bl
     if large.head(1):
         large = large.join(classes.select(F.col("c").alias("k"), "s"), "k")
         blocks = buckets.block_pairs(large, block)
+        blocks = blocks.repartition(partitions(classes.sparkSession, -(-large.count() // block)), "bucket", "i", "j")
         similar.append(blocks.groupBy("bucket", "i", "j").applyInArrow(lambda t: _in_blocks(t, threshold), "a long, b long"))
     out = similar[0]
     for more in similar[1:]:
