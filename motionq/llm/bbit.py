@@ -398,10 +398,10 @@ def _inside(large: DataFrame, links: DataFrame, known: DataFrame, threshold: flo
     blocks of it, in groups of a block's size, so that every pair of different components has met. Pairs that share large
     buckets in several bands are compared in the first of them.
     """
-    hots = large.groupBy("p").agg(F.collect_set("bucket").alias("hots"))  # at most one a band
-    rows = table(large.join(hots, "p").join(known, "p").drop("p"))
-    count = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = table(rows.join(count, "bucket").withColumn("o", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")))
+    count = large.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    named_ = large.join(known.select("p", "k"), "p").join(count, "bucket")
+    rows = table(named_.select("bucket", "k", "blocks", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("o")))
+    contents = known.drop("p")  # joined only to what is compared
 
     def mixed(links: DataFrame) -> DataFrame:
         roots = components(links).select(F.col("id").alias("k"), "root")
@@ -415,11 +415,13 @@ def _inside(large: DataFrame, links: DataFrame, known: DataFrame, threshold: flo
     schema = "a long, b long"
     first = mixed(links)
     many = partitions(large.sparkSession, -(-rows.count() // block))  # given, or small blocks would be worked by few tasks
-    found = table(first.drop("largest", "groups", "hots").repartition(many, "bucket", "o").groupBy("bucket", "o").applyInArrow(lambda t: _in_block(t, threshold), schema))
-    named = table(mixed(links.unionByName(found)))
+    found = table(first.drop("largest", "groups", "blocks").join(contents, "k").repartition(many, "bucket", "o").groupBy("bucket", "o").applyInArrow(lambda t: _in_block(t, threshold), schema))
+    mixed_ = named = table(mixed(links.unionByName(found)))
+    hots = named.groupBy("k").agg(F.collect_set("bucket").alias("hots"))  # at most one a band
+    named = named.join(hots, "k").join(contents, "k")
     guests = named.where("root <> largest").withColumns({"o": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "g": F.pmod(F.xxhash64("k", F.lit(1)), F.col("groups")).cast("int")})
     hosts = named.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     visits = guests.withColumn("guest", F.lit(True)).unionByName(hosts.withColumn("guest", F.lit(False))).drop("largest", "blocks", "groups")
     more = table(visits.repartition(many, "bucket", "o", "g").groupBy("bucket", "o", "g").applyInArrow(lambda t: _to_block(t, threshold), schema))
-    dropped(rows, named)
+    dropped(rows, mixed_)
     return found.unionByName(more)
