@@ -394,8 +394,8 @@ def _inside(large: DataFrame, links: DataFrame, known: DataFrame, threshold: flo
     """Further links inside the large buckets that hold several components.
 
     First every bucket is cut into blocks of about ``block`` nodes, each searched for itself, which joins
-    nearly all of a dense group. Then the nodes outside the largest component of their bucket (the guests) visit all
-    blocks of it, in groups of a block's size, so that every pair of different components has met. Pairs that share large
+    nearly all of a dense group. Then, in buckets of several blocks, the nodes outside the largest component (the guests) visit all
+    blocks, in groups of a block's size, so that every pair of different components has met. Pairs that share large
     buckets in several bands are compared in the first of them.
     """
     count = large.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -416,7 +416,10 @@ def _inside(large: DataFrame, links: DataFrame, known: DataFrame, threshold: flo
     first = mixed(links)
     many = partitions(large.sparkSession, -(-rows.count() // block))  # given, or small blocks would be worked by few tasks
     found = table(first.drop("largest", "groups", "blocks").join(contents, "k").repartition(many, "bucket", "o").groupBy("bucket", "o").applyInArrow(lambda t: _in_block(t, threshold), schema))
-    mixed_ = named = table(mixed(links.unionByName(found)))
+    if not rows.where("blocks > 1").head(1):  # every bucket was one block: all its pairs have met
+        dropped(rows)
+        return found
+    mixed_ = named = table(mixed(links.unionByName(found)).where("blocks > 1"))
     hots = named.groupBy("k").agg(F.collect_set("bucket").alias("hots"))  # at most one a band
     named = named.join(hots, "k").join(contents, "k")
     guests = named.where("root <> largest").withColumns({"o": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "g": F.pmod(F.xxhash64("k", F.lit(1)), F.col("groups")).cast("int")})
