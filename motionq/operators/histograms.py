@@ -48,15 +48,16 @@ def bins_correlation(db: DataFrame, query: DataFrame, key: str, cells: int) -> D
     has at most ``cells`` rows, so it is broadcast.
     """
     q = query.select("tb", "rb", F.col("weight").cast("double").alias("q"))
-    s = q.agg(F.sum("q").alias("sq"), F.sum(F.col("q") * F.col("q")).alias("qq"))
+    sq, qq = q.agg(F.sum("q")).scalar(), q.agg(F.sum(F.col("q") * F.col("q"))).scalar()
     w = F.col("weight").cast("double")
     sums = db.join(F.broadcast(q), ["tb", "rb"], "left").groupBy(key).agg(
         F.sum(w * F.coalesce("q", F.lit(0.0))).alias("wq"), F.sum(w).alias("sw"), F.sum(w * w).alias("ww")
     )
     n = F.lit(float(cells))
+    sums = sums.withColumns({"sq": sq, "qq": qq})
     up = n * F.col("wq") - F.col("sw") * F.col("sq")
     down = F.sqrt((n * F.col("ww") - F.col("sw") * F.col("sw")) * (n * F.col("qq") - F.col("sq") * F.col("sq")))
-    return sums.join(F.broadcast(s)).select(key, F.try_divide(up, down).alias("score"))
+    return sums.select(key, F.try_divide(up, down).alias("score"))
 
 
 def multi_resolution(lines: DataFrame, query: DataFrame, key: str, levels=LEVELS) -> DataFrame:

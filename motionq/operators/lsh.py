@@ -93,9 +93,14 @@ def plan(dim: int, points: int, distances, radius: float, success: float = 0.9,
 def sample_distances(df: DataFrame, key: str, vector: str, queries: int = 100, points: int = 1000, seed: int = 7) -> list[float]:
     """Distances between bounded samples of queries and of points, drawn by a mix of the (whole number) key."""
     mixed = lambda n: F.pmod(F.col(key).cast("long") * 7919 + n, F.lit(104_729))
-    q = df.orderBy(mixed(seed), key).limit(queries).select(vec.col(vector).alias("q"))
-    p = df.orderBy(mixed(seed + 1), key).limit(points).select(vec.col(vector).alias("p"))
-    return [r.d for r in q.join(F.broadcast(p)).select(F.round(vec.l2("q", "p"), 6).alias("d")).collect() if r.d]  # at most queries * points
+    drawn = [df.orderBy(mixed(n), key).limit(rows).select(vec.col(vector).alias("v")).collect() for n, rows in ((seed, queries), (seed + 1, points))]
+    sides = [[np.array(r.v, float) for r in d if r.v is not None and None not in r.v] for d in drawn]
+    out: list[float] = []
+    for q in sides[0]:
+        same = np.array([p for p in sides[1] if len(p) == len(q)])
+        if len(same):
+            out += [d for d in np.round(np.sqrt(((same - q) ** 2).sum(1)), 6).tolist() if d]
+    return out
 
 
 def measured_costs(dim: int, repeats: int = 200_000, seed: int = 0) -> tuple[float, float, float]:

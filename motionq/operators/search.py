@@ -257,11 +257,10 @@ def align(query: DataFrame, db: DataFrame, key: str, reach: int, by: str = "ssd"
     """``(key, dx, dy, score)``: the offset within ``reach`` that fits grid ``query(x, y, v)`` best to each of ``db(key, x, y, v)``.
 
     ``by``: ``ssd`` (least sum of squared differences over all query cells, absent cells 0) or ``corr``
-    (largest sum of products). Offsets are a bounded table; the grid join is an equi-join.
+    (largest sum of products). The grid join is an equi-join.
     """
-    spark = db.sparkSession
-    offsets = spark.range(-reach, reach + 1).select(F.col("id").alias("dx")).crossJoin(spark.range(-reach, reach + 1).select(F.col("id").alias("dy")))
-    moved = query.join(F.broadcast(offsets)).select((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "dx", "dy", F.col("v").alias("q"))
+    every = F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long")))
+    moved = query.withColumn("dx", every).withColumn("dy", every).select((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "dx", "dy", F.col("v").alias("q"))
     hit = db.join(moved, ["x", "y"]).groupBy(key, "dx", "dy")
     if by == "corr":
         score = hit.agg(F.round(F.sum(F.col("v") * F.col("q")), 6).alias("score"))

@@ -107,7 +107,7 @@ def read_xml_features(spark: SparkSession, path: str | list[str], view_id: int)
     )
 
 
-def write_xml_features(features: DataFrame, path: str, feature: str, per_file: int = FILE_IMAGES) -> None:
+def write_xml_features(features: DataFrame, path: str, feature: str, per_file: int = 500) -> None:
     """The same format: ``features(img_id, patch, hist)`` in files of ``per_file`` images, whose names keep the order.
 
     A file says how many images it has up to its last one; every file but the last is taken to be full.
