@@ -81,3 +81,17 @@ def by_part(part: str, vector: str, queries: Mapping[int, Sequence[float]], weig
         return pa.array(out, mask=none)
 
     return score(F.col(part), F.col(vector))
+
+
+def filled(places: Column, values: Column, size: int) -> Column:
+    """Arrays of ``size`` with ``values`` at the given 0-based ``places`` (of each row, equally many), and 0 elsewhere."""
+
+    @F.arrow_udf("array<double>")
+    def fill(at: pa.Array, v: pa.Array) -> pa.Array:
+        out = np.zeros((len(at), size))
+        offsets = at.offsets.to_numpy()
+        row = np.repeat(np.arange(len(at)), np.diff(offsets))
+        out[row, at.flatten().to_numpy()] = v.flatten().to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * size), pa.array(out.ravel()))
+
+    return fill(places, values)

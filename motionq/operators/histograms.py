@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motionq.functions import vec
+from motionq.functions import batch, vec
 
 HALF_PI = math.pi / 2
 #: Range of the distance of a line from the origin, canvas and patch size, radius of the patch grid.
@@ -249,5 +249,5 @@ def dense(bins: DataFrame, keys: list[str], shape: list[tuple[str, int]], value:
         at = F.col(name) if at is None else at * n + F.col(name)
     size = int(np.prod([n for _, n in shape]))
     pairs = bins.select(*keys, F.struct(at.cast("int").alias("at"), F.col(value).cast("double").alias("w")).alias("p"))
-    m = pairs.groupBy(*keys).agg(F.map_from_entries(F.collect_list("p")).alias("m"))
-    return m.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("hist"))
+    m = pairs.groupBy(*keys).agg(F.collect_list("p").alias("m"))
+    return m.select(*keys, batch.filled(F.transform("m", lambda p: p["at"]), F.transform("m", lambda p: p["w"]), size).alias("hist"))

@@ -7,6 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motionq.functions import batch
 from motionq.operators.series import running_offsets
 from motionq.tables import partitions
 
@@ -173,8 +174,8 @@ def plane(matrices: DataFrame, i: int, height: int = 8) -> DataFrame:
 def from_cells(cells: DataFrame, keys: list[str], rows: int, cols: int) -> DataFrame:
     """``(keys, rows, cols, data)``: sparse cells ``(keys, x, y, v)`` as row-major matrices, absent cells 0."""
     pair = F.struct((F.col("x") * cols + F.col("y")).cast("int").alias("at"), F.col("v").cast("double").alias("v"))
-    m = cells.where((F.col("x") >= 0) & (F.col("x") < rows) & (F.col("y") >= 0) & (F.col("y") < cols)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(pair)).alias("m"))
-    data = F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    m = cells.where((F.col("x") >= 0) & (F.col("x") < rows) & (F.col("y") >= 0) & (F.col("y") < cols)).groupBy(*keys).agg(F.collect_list(pair).alias("m"))
+    data = batch.filled(F.transform("m", lambda p: p["at"]), F.transform("m", lambda p: p["v"]), rows * cols)
     return m.select(*keys, F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), data.alias("data"))
 
 
