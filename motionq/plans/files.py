@@ -169,7 +169,7 @@ def limb_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, s = fresh(spark), histograms.segments(spark, sf_dir).withColumnRenamed("img", "img_id")
     stores.write_grouped_text(s.withColumn("pos", F.lit(0)), path, ["x1", "y1", "x2", "y2"], per_file=8)
-    return text.reindexed(text.lines(text.files(spark, path))).groupBy("img_id", "x1", "y1", "x2", "y2").agg(F.count("*").alias("n"))
+    return text.line_store(spark, path).groupBy("img_id", "x1", "y1", "x2", "y2").agg(F.count("*").alias("n"))
 
 
 @query(f"with {histograms._PIXELS} select distinct img img_id, r::int x, c::int y from p")

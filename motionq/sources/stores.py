@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionq.functions import batch
 from motionq.operators.series import running_offsets
-from motionq.tables import partitions
+from motionq.tables import cleaned, dropped, partitions, table
 
 log = logging.getLogger(__name__)
 
@@ -189,17 +193,59 @@ def write_grouped_text(rows: DataFrame, path: str, columns: list[str], factor: i
     """Token text: number of images, then for each image ``factor * n`` and its values in ``pos`` order.
 
     ``columns``: ``x, y`` for point sets (factor 2), ``x1, y1, x2, y2`` for lines. Files of ``per_file`` images, whose names
-    keep the order: read them back with ``text.reindexed``. Images without rows have a 0.
+    keep the order: read them back with ``text.line_store`` or ``text.reindexed``. Images without rows have a 0. The rows of a
+    file are sorted by its task and written as they come, so neither a file nor an image has to fit in memory.
     """
-    last = rows.agg(F.max("img_id")).first()[0]
+    spark = rows.sparkSession
+    counts = table(rows.where("img_id >= 0").groupBy("img_id").agg(F.count("*").alias("n")))  # one row an image
+    last = counts.agg(F.max("img_id")).first()[0]
     total = 0 if last is None else last + 1
+    system, p = _on_system(spark, path)
+    system.mkdirs(p)
     item = F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])
-    lists = rows.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("pos", item.alias("t")))).alias("l"))
-    lines = lists.select("img_id", F.concat_ws(" ", (F.size("l") * factor).cast("string"), F.array_join(F.transform("l", lambda s: s["t"]), " ")).alias("value"))
-    every = rows.sparkSession.range(0, total).select(F.col("id").alias("img_id")).join(lines, "img_id", "left").withColumn("value", F.coalesce("value", F.lit("0")))
-    body = _in_files(every, "img_id", per_file).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("local", "value"))).alias("l"))
-    text = F.concat(F.size("l").cast("string"), F.lit("\n"), F.array_join(F.transform("l", lambda s: s["value"]), "\n"), F.lit("\n"))
-    write_files(body.select(_file_name("txt"), text.alias("content")), path)
+    every = spark.range(0, total).withColumnRenamed("id", "img_id").join(counts, "img_id", "left")
+    # the line of an image begins with its count, so that row has no pos and sorts first
+    heads = every.select("img_id", F.lit(None).cast(rows.schema["pos"].dataType).alias("pos"), F.concat(F.lit("\n"), (F.coalesce("n", F.lit(0)) * factor).cast("string")).alias("t"))
+    items = rows.where("img_id >= 0").select("img_id", "pos", F.concat(F.lit(" "), item).alias("t"))
+    many = max(1, min(-(-total // per_file), partitions(spark)))
+    spread = heads.unionByName(items).repartitionById(many, F.expr(f"cast(img_id div {per_file} % {many} as int)"))
+    lines = spread.sortWithinPartitions("img_id", "pos", "t").select(F.expr(f"img_id div {per_file}").alias("file"), "t")
+    place = qualified(spark, path)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(place)
+        file, out, named, got = None, None, 0, 0
+
+        def close() -> None:
+            if out is not None:
+                out.write(b"\n")
+                out.close()
+                if named != got * factor:
+                    raise ValueError(f"file {file} of {place}: the rows are not those that were counted")
+
+        for batch in batches:
+            files = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(files)) + 1).tolist(), len(files)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if files[a] != file:
+                    close()
+                    file, named, got = int(files[a]), 0, 0
+                    out = system.open_output_stream(f"{base}/part-{file:010d}.txt")
+                    out.write(str(min(per_file, total - file * per_file)).encode())
+                t = batch.column(1).slice(a, b - a)
+                first = t.filter(pc.starts_with(t, "\n")).to_pylist()
+                named, got = named + sum(map(int, first)), got + len(t) - len(first)
+                out.write(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), t), "")[0].as_buffer())
+        close()
+        yield from ()
+
+    with cleaned(spark):
+        lines.mapInArrow(put, "done boolean").collect()
+    dropped(counts)
 
 
 def write_sketches(sketches: DataFrame, path: str) -> None:

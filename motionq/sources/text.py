@@ -1,7 +1,7 @@
 """Readers of the text formats: token files, configs, cameras, motion and skeleton files, parameters, meshes.
 
-All go through Spark's file sources (any Hadoop file system, one row a file, in parallel by file) and parse in
-``mapInPandas`` or Columns. Malformed files raise with their name; empty files give no rows.
+All but ``line_store`` go through Spark's file sources (any Hadoop file system, one row a file, in parallel by file) and parse
+in ``mapInPandas`` or Columns; that one opens listed files in its tasks, as ``stores.write_files`` does. Malformed files raise with their name; empty files give no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,90 @@ def lines(texts: DataFrame) -> DataFrame:
     return _parsed(texts, parse, ["img_id", "pos", "x1", "y1", "x2", "y2"], "img_id long, pos int, x1 int, y1 int, x2 int, y2 int")
 
 
+#: Bytes of a token file that are parsed at once.
+BLOCK = 1 << 20
+
+
+def _tokens(file: str) -> Iterator[np.ndarray]:
+    """The whole numbers of a file in order, a block at a time."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(file)
+    with system.open_input_stream(path) as stream:
+        rest = b""
+        while block := stream.read(BLOCK):
+            block = rest + block
+            cut = max(block.rfind(b" "), block.rfind(b"\n"), block.rfind(b"\t"), block.rfind(b"\r")) + 1  # a number may go on in the next block
+            rest = block[cut:]
+            yield np.array(list(map(int, block[:cut].decode().split())), np.int64)
+        yield np.array(list(map(int, rest.decode().split())), np.int64)
+
+
+def _grouped(blocks: Iterable[np.ndarray], width: int, factor: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of image, pos and ``width`` values out of ``N``, then for each image ``factor * n`` and n times the values."""
+    total: int | None = None
+    img, pos, left = -1, 0, 0
+    rest = np.empty(0, np.int64)
+    for block in blocks:
+        t, at, found = np.concatenate([rest, block]), 0, []
+        if total is None and len(t):
+            total, at = int(t[0]), 1
+        while total is not None:
+            if left == 0:
+                if img + 1 >= total:
+                    at = len(t)
+                    break
+                if at >= len(t):
+                    break
+                img, pos, left, at = img + 1, 0, max(0, int(t[at]) // factor), at + 1
+            elif n := min(left, (len(t) - at) // width):
+                found.append((img, pos, at, n))
+                pos, left, at = pos + n, left - n, at + n * width
+            else:
+                break
+        rest = t[at:]
+        if found:
+            imgs, firsts, starts, ns = np.array(found, np.int64).T
+            inside = np.arange(ns.sum()) - np.repeat(np.cumsum(ns) - ns, ns)
+            where = np.repeat(starts, ns) + inside * width
+            yield np.repeat(imgs, ns), np.repeat(firsts, ns) + inside, *(t[where + c] for c in range(width))
+    if left or img + 1 < (total or 0):
+        raise ValueError("values are missing")
+
+
+def line_store(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The images of ``lines`` files in file order as one store: ``(img_id, pos, x1, y1, x2, y2)``.
+
+    A task opens its files and parses them block by block, so a file and an image may be of any size. Ids of a file follow the
+    images that the files before say they have, with lines or without.
+    """
+    names = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    schema = pa.schema([("img_id", pa.int64()), ("pos", pa.int64()), *((c, pa.int32()) for c in ("x1", "y1", "x2", "y2"))])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column("file").to_pylist():
+                try:
+                    n = next((int(t[0]) for t in _tokens(file) if len(t)), 0)
+                except (ValueError, OverflowError) as e:
+                    raise ValueError(f"{file}: {e}") from e
+                yield pa.RecordBatch.from_pydict({"file": [file], "n": [max(0, n)]})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, offset in zip(batch.column("file").to_pylist(), batch.column("offset").to_pylist(), strict=True):
+                try:
+                    for img, *values in _grouped(_tokens(file), 4, 1):
+                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip([img + offset, *values], schema, strict=True)], schema=schema)
+                except (ValueError, OverflowError) as e:
+                    raise ValueError(f"{file}: {e}") from e
+
+    first = table(running_offsets(names.mapInArrow(counted, "file string, n long"), "file", "n"))
+    if first.count() <= 100_000:
+        first = F.broadcast(first)  # Spark's packing of files into tasks by size stays
+    return names.join(first, "file").select("file", "offset").mapInArrow(work, "img_id long, pos long, x1 int, y1 int, x2 int, y2 int")
+
+
 def joints(texts: DataFrame) -> DataFrame:
     """Joint names up to the first token that begins with a digit (the image count), then two integers a joint:
     ``(file, img_id, joint, x, y)``."""

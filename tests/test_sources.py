@@ -261,3 +261,46 @@ def test_hierarchy_and_motion_files(spark, tmp_path):
     assert text.bvh_motion(read(spark, tmp_path, "e.bvh", "")).count() == 0
     with pytest.raises(Exception, match="channels"):
         text.bvh_motion(read(spark, tmp_path, "bad.bvh", body.replace("4 5 6", "4 5"))).collect()
+
+
+def test_line_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "BLOCK", 7)  # numbers and images go on from block to block
+    lines = [(0, 0, 100, 20, 3, 4), (0, 1, 5, 6, 7, 8), (2, 0, 9, 10, 11, 12), (5, 0, -1, 0, 0, 12345)]
+    df = spark.createDataFrame(lines[::-1], "img_id long, pos int, x1 int, y1 int, x2 int, y2 int")
+    stores.write_grouped_text(df, str(tmp_path / "two"), ["x1", "y1", "x2", "y2"], per_file=4)
+    files = sorted((tmp_path / "two").iterdir())
+    assert [f.read_text() for f in files if f.name.startswith("part")] == ["4\n2 100 20 3 4 5 6 7 8\n0\n1 9 10 11 12\n0\n", "2\n0\n1 -1 0 0 12345\n"]
+    assert sorted(map(tuple, text.line_store(spark, str(tmp_path / "two")).collect())) == lines
+    stores.write_grouped_text(df.where("false"), str(tmp_path / "none"), ["x1", "y1", "x2", "y2"])
+    assert text.line_store(spark, str(tmp_path / "none")).count() == 0
+    assert text.line_store(spark, write(tmp_path, "empty", "")).count() == 0
+    assert text.line_store(spark, write(tmp_path, "a b%", "1 1 1 2 3 4")).count() == 1
+    for bad in ("1 2 0 0 1 1 2", "2 0", "1 1 0 0 x 1", "1 1 0 0 1 9999999999"):
+        with pytest.raises(Exception, match="odd"):
+            text.line_store(spark, write(tmp_path, "odd", bad)).collect()
+
+
+def test_line_lists_with_images_without_lines(spark, tmp_path):
+    """The last image of the first file has no lines: the images behind it keep their numbers."""
+    from motionq.plans import files
+
+    keys = [(o, 3 * o, 5, 1) for o in (*range(7), 9, 49, 109) for _ in range(o % 3 + 1)]
+    spark.createDataFrame(keys, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(tuple(r) for r in files.line_lists(spark, str(tmp_path)).collect())
+    assert got == sorted((o % 50, 3 * o, 5, o, 67, keys.count((o, 3 * o, 5, 1))) for o in {k[0] for k in keys})
+
+
+def test_line_store_memory(spark, tmp_path, monkeypatch):
+    """Of a file, only a block is in memory, also where one image has all lines."""
+    import tracemalloc
+
+    monkeypatch.setattr(text, "BLOCK", 1 << 16)
+    n = 200_000
+    file = write(tmp_path, "big", f"1\n{n} " + " ".join(f"{i % 480} {i % 479} 1000 {i % 7}" for i in range(n)))
+    list(text._grouped(text._tokens("file://" + write(tmp_path, "small", "1 1 1 2 3 4")), 4, 1))
+    tracemalloc.start()
+    rows = sum(len(b[0]) for b in text._grouped(text._tokens("file://" + file), 4, 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and peak < 10e6
+    assert text.line_store(spark, file).selectExpr("count(*)", "sum(x1)", "max(pos)").first()[:] == (n, sum(i % 480 for i in range(n)), n - 1)
